@@ -56,3 +56,10 @@ def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
             same = same & F.col(k).eqNullSafe(F.lit(v))
         keep = keep | (same & (hashed < F.lit(int(spread * min(1.0, rows / n)))))
     return df.where(keep)
+
+
+def with_id(df: DataFrame, ddl: str, id_col: str = "doc_id"):
+    """A schema: df's id column, then those of the DDL."""
+    from pyspark.sql.types import StructType
+
+    return StructType([df.schema[id_col], *StructType.fromDDL(ddl).fields])

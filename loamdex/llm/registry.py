@@ -30,3 +30,58 @@ def _op9(spark, sf_dir):
     from .tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mpeg_audio")
+def _op4(spark, sf_dir):
+    from .media import audio_features, encode_audio
+
+    return audio_features(encode_audio(table(spark, sf_dir, "documents")))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select cast(item_id as varchar) item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item, least(10, len(w)) n, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') g
+        from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) s from i where len(w) > 0)),
+dw as (select doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') g
+       from (select doc_id, w, n, unnest(range(1, cast(len(w) as bigint) - n + 2)) s from d, (select distinct n from win) where len(w) >= n)),
+hit as (select distinct doc_id, dw.n, s, item from dw join win on win.n = dw.n and win.g = dw.g),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + n)) p from (select distinct doc_id, n, s from hit)) group by doc_id),
+its as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) x from (select distinct doc_id, item from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+       sha256(coalesce(x, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
+
+@query("op5_benchmark_decontamination", OP5_SQL)
+def _op5(spark, sf_dir):
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op6_lpt_sharding")
+def _op6(spark, sf_dir):
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages), q as (select page_id, h, min(page_id) over (partition by h) kept from p)
+select page_id, cast(strlen(h) as bigint) payload_bytes, sha256(h) payload_digest,
+       case when strlen(h) >= 100 and page_id <> kept then 'revisit' else 'response' end record_type,
+       case when strlen(h) >= 100 and page_id <> kept then kept end refers_to
+from q
+"""
+
+
+@query("op10_warc_records", OP10_SQL)
+def _op10(spark, sf_dir):
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
