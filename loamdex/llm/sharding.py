@@ -86,8 +86,9 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
         scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.col("bytes"))) + 1 - digits)).cast("long")
         key = (F.floor(F.col("bytes") / scale) * scale).cast("long") if digits < 18 else F.col("bytes")
         sizes = groups.withColumn("class", key).groupBy("class").agg(F.avg("bytes").alias("weight"), F.count("*").alias("n"))
-        classes = sizes.limit(max_classes + 1).collect()
-        if len(classes) <= max_classes or digits <= 2:
+        # one digit makes at most nine classes per power of ten, whatever the limit
+        classes = (sizes if digits == 1 else sizes.limit(max_classes + 1)).collect()
+        if len(classes) <= max_classes or digits == 1:
             break
         digits = 4 if digits == 18 else digits - 1
     spark = df.sparkSession
