@@ -85,3 +85,24 @@ def _op10(spark, sf_dir):
     from .warc import archive
 
     return archive(table(spark, sf_dir, "pages"))
+
+
+@query("op1_toxicity")
+def _op1(spark, sf_dir):
+    from ._common import held_out
+    from .toxicity import score, train
+    from pyspark.sql import functions as F
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits", "n_quoted")
+
+
+@query("op8_language_id")
+def _op8(spark, sf_dir):
+    from ._common import held_out
+    from .langid import identify
+    from pyspark.sql import functions as F
+
+    out = identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
