@@ -106,3 +106,10 @@ def _op8(spark, sf_dir):
 
     out = identify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_html_extraction")
+def _op7(spark, sf_dir):
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
