@@ -4,7 +4,7 @@ A page is a sequence of words and tags. Words score by where they stand
 (positive in running text), tags score negative, both with weights fitted
 on labelled pages; one linear scan finds the contiguous run of the
 highest sum. The text of the run is taken without what lies in menus,
-asides, forms, comment sections and the like inside it.
+asides, forms, comment sections and the like inside it, which scores nothing.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Nothing is capped.
@@ -63,9 +63,10 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
 
 
 def tokens(page: str, hints: bool = True) -> list[tuple[str, str | None]]:
-    """(kind, text) in page order: kind is `tag:name` without text, or `word:place` with a piece of decoded text.
+    """(kind, text) in page order: kind is `tag:name` (`tag:in:name` inside an article or main) or `off`, for all of a boilerplate
+    element, without text, or `word:place` with a piece of decoded text.
 
-    Places: off (boilerplate), link, in (inside an article or main), out (outside, in a page that has one), text (a page without)."""
+    Places: in (inside an article or main), out (outside, in a page that has one), text (a page without), link."""
     out: list[tuple[str, str | None]] = []
     stack: list[tuple[str, bool]] = []
     off = holders = links = 0
@@ -77,7 +78,9 @@ def tokens(page: str, hints: bool = True) -> list[tuple[str, str | None]]:
             if piece:
                 out.append(("space", " "))
             return
-        place = "off" if off else "in" if holders else "link" if links else "out" if has_holder else "text"
+        if off:
+            return
+        place = "in" if holders else "link" if links else "out" if has_holder else "text"
         out.append((f"word:{place}", html.unescape(piece) if "&" in piece else piece))
 
     for m in _MARKUP.finditer(page):
@@ -111,7 +114,10 @@ def tokens(page: str, hints: bool = True) -> list[tuple[str, str | None]]:
             off += is_off
             holders += name in HOLDERS
             links += name == "a"
-        out.append((f"tag:{name}", None))
+        if not off:
+            out.append((f"tag:{name}", None) if not holders or name in HOLDERS else (f"tag:in:{name}", None))
+        elif out and out[-1][0] != "off":
+            out.append(("off", None))  # what lies in boilerplate neither scores nor shows
     text(page[at:])
     return out
 
@@ -123,10 +129,10 @@ def fit(labelled: list[tuple[str, str]]) -> dict[str, float]:
         left, seen = Counter(main.split()), []
         for kind, piece in tokens(page):
             if piece is None:
-                seen.append((kind, 0, 0))
+                seen += [(kind, 0, 0)] * (kind != "off")
             elif kind != "space":
                 words = piece.split()
-                good = sum((Counter(words) & left).values()) if kind != "word:off" else 0
+                good = sum((Counter(words) & left).values())
                 good = good if 2 * good >= len(words) else 0
                 if good:
                     left -= Counter(words)
@@ -147,23 +153,23 @@ def fit(labelled: list[tuple[str, str]]) -> dict[str, float]:
         if kind.startswith("word"):
             weights[kind] = max(-2.0, min(2.0, math.log((a + 1) / (b + 1))))
         else:
-            weights[kind] = -0.1 - 2.0 * (b + 0.5) / (a + b + 1)
+            weights[kind] = -0.05 - 2.0 * (b + 0.1) / (a + b + 0.5)
     return weights
 
 
-#: Of a tag that no labelled page has.
-UNSEEN_TAG = -1.0
-_DEFAULT = {"word:in": 1.5, "word:text": 0.7, "word:out": -1.0, "word:link": -1.0, "word:off": -1.0}
+#: Of a tag that no labelled page has, outside and inside an article, and of a word in a place that none has.
+UNSEEN_TAG, UNSEEN_INSIDE = -1.0, -0.1
+_DEFAULT = {"word:in": 1.5, "word:text": 0.7, "word:out": -1.0, "word:link": -1.0}
 
 
 def region(items: list[tuple[str, str | None]], weights: dict[str, float]) -> tuple[int, int]:
     """The run [first, end) of the highest sum, by one scan; empty if no sum is positive."""
     best, run, start, found = 0.0, 0.0, 0, (0, 0)
     for i, (kind, piece) in enumerate(items):
-        if kind == "space":
+        if kind in ("space", "off"):
             continue
         if piece is None:
-            run += weights.get(kind, UNSEEN_TAG)
+            run += weights.get(kind, UNSEEN_INSIDE if kind.startswith("tag:in:") else UNSEEN_TAG)
         else:
             run += weights.get(kind, _DEFAULT.get(kind, 0.0)) * (piece.count(" ") + 1)
         if run <= 0:
@@ -184,9 +190,9 @@ def _extract(page: str, weights: dict[str, float], hints: bool) -> str:
     parts = []
     for kind, piece in items[first:end]:
         if piece is None:
-            if kind[4:] not in INLINE:
+            if kind.rpartition(":")[2] not in INLINE:
                 parts.append(" ")
-        elif kind != "word:off":
+        else:
             parts.append(piece)
     return " ".join("".join(parts).split())
 
