@@ -8,9 +8,9 @@ count. No pre-token is ever shuffled.
 
 A pre-token here is a run without ASCII white space. The tokenizer drops
 white space and its pattern never crosses it, so a text's ids are the
-concatenation of its pre-tokens' ids. Three cases go to the library as
-whole texts: special strings (`<|`), combining marks of U+0300-037F
-(lower-casing and composition do not commute there) and control characters.
+concatenation of its pre-tokens' ids. Two cases go to the library as
+whole texts: special strings (`<|`) and combining marks of U+0300-037F
+(lower-casing and composition do not commute there).
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated
 rows give repeated rows; an empty table gives an empty table; columns of
@@ -20,6 +20,8 @@ the input other than the two named are ignored, so they cannot clash.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,11 +34,12 @@ VOCABULARY = "word_bpe_49k.json"
 #: Tier one: at most so many pre-tokens, from about so many rows.
 FREQUENT, SAMPLE_ROWS = 50_000, 4_000
 #: Tier two: at most so many pre-tokens a worker.
-CACHED = 250_000
-_WHOLE = re.compile(rb"<\||[\xcc\xcd]|[\x00-\x08\x0e-\x1f]")
+CACHED = 300_000
+_WHOLE = re.compile(rb"<\||[\xcc\xcd]")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BREAK = b"\x01"
-_TAIL = b".,;:!?"
+_TAIL = b".,;:!?*&%$#@)]}\"~^_+=/|>-"
+#: Words of ASCII lower-case and Latin-1 letters: normalised letter by letter, one pre-token each, so the merges alone apply.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -45,6 +48,23 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """Pre-tokens and their values; one that is missing is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes):
+        core = word.rstrip(_TAIL)
+        if core and len(core) < len(word) and _PLAIN(core):
+            value = self[core] + self[word[len(core) :]]
+        else:
+            value = self.encode(word)
+        self[word] = value
+        return value
+
+
 class Coder:
     """ids of texts as little-endian uint32 bytes, by two tiers of known pre-tokens.
 
@@ -52,74 +72,46 @@ class Coder:
 
     def __init__(self, path: str, frequent: Iterable[bytes] = (), lengths_only: bool = False, cached: int = CACHED):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lengths_only, self.cached = lengths_only, cached
-        ids = self._ids(_BREAK.decode())
-        self.mark = ids[0] if len(ids) == 1 else None
+        self.merges = self.tokenizer.model.tokenize
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c).lower())[0][0] for c in range(0xC0, 0x100)}
         self.frequent: dict[bytes, object] = {}
-        self.frequent = dict(self._encode(list(frequent)))
-        self.known = dict(self.frequent)
+        self.known = Known(self._encode)
+        for w in frequent:
+            self.known[w]
+        self.frequent = dict(self.known)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _value(self, ids) -> object:
-        return len(ids) if self.lengths_only else np.asarray(ids, "<u4").tobytes()
-
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, object]]:
-        """Pre-tokens to values: joined by a mark of one id, so one call encodes many."""
-        if self.mark is None:
-            for w in words:
-                yield w, self._value(self._ids(w.decode()))
-            return
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            ids = np.asarray(self._ids((b" " + _BREAK + b" ").join(part).decode()), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            starts, ends = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)]))
-            if len(starts) != len(part):
-                raise ValueError("the mark's id occurs inside a pre-token")
-            if self.lengths_only:
-                yield from zip(part, (ends - starts).tolist(), strict=True)
-            else:
-                raw = ids.tobytes()
-                yield from zip(part, [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make every word of one slice known."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.cached + len(self.frequent):
-            self.known = dict(self.frequent)
-            new = words - self.known.keys()
-        if not new:
-            return
-        split, cores = [], set()
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if core and core is not w and len(core) < len(w) and core[-1:].isalpha():
-                split.append((w, core))
-                cores.add(core)
-                cores.add(w[len(core) :])
-            else:
-                cores.add(w)
-        self.known.update(self._encode(list(cores - self.known.keys())))
-        known = self.known
-        for w, core in split:
-            known[w] = known[core] + known[w[len(core) :]]
+        return len(ids) if self.lengths_only else np.asarray(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
+
+    def _encode(self, word: bytes) -> object:
+        """Plain words by the model's merges alone, others by the whole tokenizer."""
+        if not _PLAIN(word):
+            return self._value(self._ids(word.decode()))
+        got = self.merges(word.decode() if word.isascii() else word.decode().translate(self.letters))
+        return len(got) if self.lengths_only else self._value([t.id for t in got])
+
+    def text(self, text: bytes) -> object:
+        """The ids of a text, or their number."""
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+            return self._value(self._ids(text.decode()))
+        got = map(self.known.__getitem__, text.translate(_LOWER).split())
+        return sum(got) if self.lengths_only else b"".join(got)
 
     def texts(self, texts: list[bytes]) -> list:
-        """The value of each text; ids if not lengths_only."""
-        parts = [None if _WHOLE.search(t) else t.translate(_LOWER).split() for t in texts]
-        self.learn(set().union(*(p for p in parts if p)))
-        get, out = self.known.__getitem__, []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self._value(self._ids(t.decode())))
-            else:
-                out.append(sum(map(get, p)) if self.lengths_only else b"".join(map(get, p)))
+        out = [self.text(t) for t in texts]
+        if len(self.known) > self.cached + len(self.frequent):
+            self.known.clear()
+            self.known.update(self.frequent)
         return out
 
 
