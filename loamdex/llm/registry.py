@@ -113,3 +113,28 @@ def _op7(spark, sf_dir):
     from .html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = rf"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, cast(len(w) as bigint) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d),
+c as (select doc_id, count(*) n from s group by doc_id),
+h as (select doc_id, n, string_agg(g, '|' order by g) k from s join c using (doc_id) group by doc_id, n),
+r as (select doc_id, n, min(doc_id) over (partition by sha256(k)) rep from h),
+t as (select s.doc_id, g, n from s join r using (doc_id) where doc_id = rep),
+p as (select a.doc_id a, b.doc_id b from t a join t b on a.g = b.g and a.doc_id < b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+reach(x, y) as (select distinct a, a from e union select reach.x, e.b from reach join e on reach.y = e.a),
+comp as (select x, min(y) m from reach group by x)
+select d.doc_id, cast(coalesce(r.n, 0) as bigint) n_shingles, cast(coalesce(comp.m, r.rep, d.doc_id) as bigint) component_id
+from d left join r using (doc_id) left join comp on comp.x = r.rep
+"""
+
+
+@query("op2_ngram_jaccard_join", OP2_SQL)
+def _op2(spark, sf_dir):
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
