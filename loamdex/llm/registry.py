@@ -138,3 +138,10 @@ def _op2(spark, sf_dir):
     from .jaccard import similar
 
     return similar(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
