@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import materialise, shuffle_partitions
 
-SHARDS, OVERHEAD, MAX_CLASSES = 40, 16, 20_000
+SHARDS, OVERHEAD, MAX_CLASSES = 40, 16, 4_096
 
 
 def schedule(classes: list[tuple[int, float, int]], shards: int = SHARDS) -> list[tuple[int, int, int, int]]:
