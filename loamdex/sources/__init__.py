@@ -1 +1 @@
-"""See the package README."""
+"""Where documents, configuration and model output come from."""
