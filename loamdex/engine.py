@@ -58,10 +58,13 @@ class Engine:
 
     def _sync_one(self, kb: str, force: bool, dry_run: bool, reembed: bool) -> tuple:
         now = self._files(kb).cache()
+        held = [now]
         try:
             stored = self.store.read("documents")
             own = stored.where(F.col("kb") == kb)
+            # the diff is read several times and must not see files change meanwhile
             changes = ingest.diff(now.select("path", "content_hash"), own.select("path", "content_hash"), force).cache()
+            held.append(changes)
             n = {r.change_type: r["count"] for r in changes.groupBy("change_type").count().collect()}
             counts = (n.get("new", 0), n.get("updated", 0), n.get("deleted", 0), n.get("unchanged", 0))
             if dry_run:
@@ -101,7 +104,8 @@ class Engine:
             entities = self.store.read("nodes").where((F.col("kb") == kb) & (F.col("label") == "Entity")).count()
             return (kb, *counts, total, entities, self.store.read("vectors").where(F.col("kb") == kb).count(), "synced")
         finally:
-            now.unpersist()
+            for df in held:
+                df.unpersist(blocking=True)
 
     def _chunks(self, kb: str | None) -> DataFrame:
         df = self.store.read("chunks").where(F.col("kb").isin(self._bases(kb)))

@@ -109,6 +109,16 @@ def _condition(q: Query, tf: list[Column]) -> Column:
     return out
 
 
+def _counted(q: Query, tf: list[Column], out: dict[int, Column], within: Column) -> dict[int, Column]:
+    """Where each phrase adds to the score: every part of the query around it matches the row. What NOT excludes adds nothing."""
+    if q.kind == "phrase":
+        out[q.phrase] = within
+        return out
+    for i, part in enumerate(q.parts):
+        _counted(part, tf, out, F.lit(False) if q.kind == "not" and i else within & _condition(part if q.kind == "or" else q, tf))
+    return out
+
+
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)))
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
@@ -130,7 +140,11 @@ def search(docs: DataFrame, query: str, text: str = "content", keys: tuple[str,
     counted = counted.select(*docs.columns, F.size("_tokens").alias("_length"), *[phrase_count(F.col("_tokens"), p).alias(f"_tf{i}") for i, p in enumerate(distinct)])
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_average"), *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(distinct))])
     tf = [F.col(f"_tf{number[tuple(p)]}") for p in phrases]
-    score = sum((idf(F.col("_n"), F.col(f"_df{number[tuple(p)]}")) * gain(t, F.col("_length"), F.col("_average")) for p, t in zip(phrases, tf, strict=True)), F.lit(0.0))
+    counted_in = _counted(parsed, tf, {}, F.lit(True))
+    score = F.lit(0.0)
+    for i, (p, t) in enumerate(zip(phrases, tf, strict=True)):
+        part = idf(F.col("_n"), F.col(f"_df{number[tuple(p)]}")) * gain(t, F.col("_length"), F.col("_average"))
+        score = score + F.when(counted_in[i], part).otherwise(0.0)
     # stats is one row
     hits = counted.where(_condition(parsed, tf)).crossJoin(F.broadcast(stats)).select(*docs.columns, F.round(score, 6).alias("score"))
     return hits.orderBy(F.desc("score"), *keys).limit(limit) if limit else hits

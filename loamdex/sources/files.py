@@ -56,13 +56,13 @@ def read_tree(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataF
     rel = F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
     # the walk's filters are on the path alone, so files they drop are never read
     df = raw.withColumn("rel", rel).where(allowed_extension(F.col("rel")) & kept_directory(F.col("rel")) & ~ignored(F.col("rel"), list(patterns)))
-    return df.select(F.col("rel").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
+    return df.select(F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Single files, by their bare names; neither extensions nor ignore patterns apply."""
     raw = spark.read.format("binaryFile").load(paths)
-    return raw.select(file_name(F.col("path")).alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
+    return raw.select(file_name(F.col("path")).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
 
 
 def read_watch_path(spark: SparkSession, path: str, patterns: list[str] = ()) -> DataFrame | None:
@@ -78,7 +78,7 @@ def read_watch_path(spark: SparkSession, path: str, patterns: list[str] = ()) ->
         return read_tree(spark, path, patterns) if "://" in path else None
     raw = spark.read.format("binaryFile").load(found)
     plain = F.regexp_replace("path", r"^file:/+", "/")
-    return raw.select(plain.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
+    return raw.select(plain.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
 
 
 def has_code(paths: DataFrame) -> Column:

@@ -7,6 +7,7 @@ import re
 import zlib
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 EXTRACTION = "struct<entities: array<struct<name: string, type: string, description: string>>, relationships: array<struct<source: string, target: string, relation: string, description: string>>>"
@@ -98,8 +99,6 @@ def parse_extraction(reply: Column) -> Column:
 
 def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", into: str = "embedding", batch: int = 100) -> DataFrame:
     """df with an embedding column; the model gets batches of at most `batch` texts."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         out = []
@@ -112,8 +111,6 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", into:
 
 def extract_column(df: DataFrame, extractor: Extractor, content: str = "content", path: str = "path") -> DataFrame:
     """df with entities and relationships."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def extract(texts: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([json.dumps(extractor.extract(t, p)) for t, p in zip(texts, paths, strict=True)])

@@ -25,7 +25,8 @@ def watch(engine, kb: str | None = None, interval: int | None = None, once: bool
 
     clock = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{engine.config.data_dir}/watch")
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    # the clock's first batch is empty but runs, so one pass is one sync
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
 def stream_changes(files: DataFrame, stored: DataFrame) -> DataFrame:
