@@ -21,12 +21,15 @@ into too few segments) makes the whole join start anew with another salt,
 as does a clash of the 64-bit names of sets: the result is exact, not
 likely.
 *Lists.* Signatures go to partitions in packed blocks. Sets that share one
-form a list. Short lists give all their pairs. A long list gives the pairs
-of its first member with each other one; after these are verified and
-their components known, pairs of different components are taken from what
-long lists still hold several. There each set first leaves out its longest
-lists, as many as its allocation has to spare, so a passage that many
-unrelated documents share is not compared all against all.
+form a list. Of its long lists each set leaves out the longest, as many as
+its allocation has to spare, so a passage that many unrelated documents
+share is not compared at all. Short lists give all their pairs, of which
+those stay that share more lists than the larger set has to spare. What is
+left of a long list gives the pairs of its first member with each other
+one; after these are verified and their components known, long lists that still
+hold several are taken again: what two members can share at most follows
+from bit masks of what each shares with the list's first member, and the
+pairs of different components that these allow are verified too.
 *Verification* compares the whole sets of each candidate pair. Sets are
 made again from the texts of candidates; each goes to the partition of its
 pair's less connected member, so a hub is sent once per partition.
@@ -54,7 +57,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Lists of so many sets give all their pairs.
-SHORT = 6
+SHORT = 3
 #: Designated segments of a scheme; schemes of small sets designate all.
 DESIGNATED, SMALL = 8, 32
 #: Candidate ids are broadcast up to so many, beyond that they are joined by shuffle.
@@ -290,20 +293,20 @@ def _lists(short: int):
             for g in range(2, short + 1):
                 at = starts[sizes == g]
                 for i, j in combinations(range(g), 2) if len(at) else ():
+                    below = flag[at + i] | flag[at + j]
                     ok = (flag[at + i] & flag[at + j]) == 0
-                    pairs.append(np.unique(number[at[ok] + i] << np.uint64(32) | number[at[ok] + j]))
+                    pairs.append((number[at + i] << np.uint64(32) | number[at + j] << np.uint64(1) | below)[ok])
             long = sizes > short
             if long.any():
                 of = np.repeat(np.arange(len(starts)), sizes)
                 some = long[of]
-                hub, other = number[starts[of[some]]], number[some]
-                pairs.append(np.unique((hub << np.uint64(32) | other)[hub != other]))
-                yield _found(2, _long(sig[some] ^ np.uint64(key) << np.uint64(48)), _long(node[some]), flag[some].astype(np.int64))
+                yield _found(2, _long(sig[some] ^ np.uint64(key) << np.uint64(48)), _long(node[some]), flag[some].astype(np.int64), sizes[of[some]].astype(np.int32))
             if pairs:
-                pairs = np.unique(np.concatenate(pairs))
+                pairs, shared = np.unique(np.concatenate(pairs), return_counts=True)
                 for i in range(0, len(pairs), 1 << 16):
                     p = pairs[i : i + (1 << 16)]
-                    yield _found(1, _long(names[(p >> np.uint64(32)).astype(np.int64)]), _long(names[(p & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+                    a, b = (p >> np.uint64(32)).astype(np.int64), (p >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+                    yield _found(1, _long(names[a]), _long(names[b]), shared[i : i + (1 << 16)].astype(np.int64), (p & np.uint64(1)).astype(np.int32))
 
     return run
 
@@ -354,17 +357,114 @@ def _compare(percent: int):
     return run
 
 
+def _mask_rows():
+    """Sets (kind 0) before the pairs of a hub and a node (kind 1): which of the hub's elements the node has, as bits, and how many others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, sets = None, {}
+        for batch in batches:
+            rows = []
+            for k, kind, hub, node, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "a", "b", "elements")), strict=True):
+                if k != bucket:
+                    bucket, sets = k, {}
+                if kind == 0:
+                    sets[hub] = np.frombuffer(raw, np.uint64)
+                    continue
+                u, v = sets[hub], sets[node]
+                has = np.isin(u, v, assume_unique=True)
+                rows.append((hub, node, np.packbits(has).tobytes(), len(v) - int(has.sum())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["hub", "node", "mask", "extra"])
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Blocks of members of one hub, sorted by (hub, bi, bj): pairs of a probing x and a y of another component whose bits allow a link."""
+
+    def pairs(x: list, y: list) -> pa.RecordBatch | None:
+        width = -(-max(len(r[3]) for r in x) // 8) * 8
+        bits = np.frombuffer(b"".join(r[3].ljust(width, b"\0") for r in y), np.uint64).reshape(len(y), -1)
+        node, label, n, extra = (np.array([r[i] for r in y], np.int64) for i in (0, 1, 2, 4))
+        a, b = [], []
+        for who, own, size, mask, more in x:
+            ok = np.flatnonzero((label != own) & (n <= size) & (100 * n >= percent * size))
+            if len(ok):
+                most = np.bitwise_count(bits[ok] & np.frombuffer(mask.ljust(width, b"\0"), np.uint64)).sum(axis=1).astype(np.int64) + np.minimum(extra[ok], more)
+                ok = ok[100 * most >= percent * (size + n[ok] - most)]
+                a.append(np.minimum(node[ok], who))
+                b.append(np.maximum(node[ok], who))
+        if not a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a, b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x, y = None, [], []
+        for batch in batches:
+            for hub, bi, bj, side, *row in zip(*(batch.column(c).to_pylist() for c in ("hub", "bi", "bj", "side", "node", "label", "n", "mask", "extra")), strict=True):
+                if (hub, bi, bj) != key:
+                    if x and y and (got := pairs(x, y)) is not None:
+                        yield got
+                    key, x, y = (hub, bi, bj), [], []
+                (y if side else x).append(row)
+        if x and y and (got := pairs(x, y)) is not None:
+            yield got
+
+    return run
+
+
+#: Members of a hub that one task compares with as many others, and the bytes of their masks.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 25
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (hub, node, label, n, probing) of long lists with several components: the pairs that may link, of a probing member and a
+    smaller one of another component.
+
+    What two sets share with each other is at most what they share of the hub, counted by bits, and the smaller of what else they
+    have. Blocks of a hub's members meet in separate tasks, so no hub needs to fit one."""
+    n = shuffle_partitions(members.sparkSession)
+    asked = members.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.lit(2 * n)).cast("int").alias("bucket"))
+    masks = _with_sets(asked, sets, n).mapInArrow(_mask_rows(), "hub long, node long, mask binary, extra long")
+    rows = materialise(members.join(masks, ["hub", "node"]), "jaccard-masks")
+    most = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / F.greatest(F.max(F.octet_length("mask")), F.lit(1))))
+    blocks = rows.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["node", "label", "n", "mask", "extra"]
+    x = rows.where("probing").select("hub", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(0).alias("side"), *columns)
+    y = rows.select("hub", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side"), *columns)
+    dealt = x.unionByName(y).repartition(n, "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
+    return dealt.mapInArrow(_block_pairs(percent), "a long, b long")
+
+
+def _with_sets(counted: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Pairs (bucket, a, b) with the sets their buckets need, each sent once to a bucket: sorted by bucket, sets first."""
+    asked = counted.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = asked.join(sets, "node").select("bucket", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+    told = counted.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements"))
+    return sent.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Bucketed by the member with fewer pairs; a set is sent once to each bucket that asks for it."""
     n = shuffle_partitions(pairs.sparkSession)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     counted = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("db")), "b")
-    many = 8 * n
+    many = 2 * n
     counted = counted.select("a", "b", F.pmod(F.xxhash64(F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b"))), F.lit(many)).cast("int").alias("bucket"))
-    asked = counted.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = asked.join(sets, "node").select("bucket", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
-    told = counted.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements"))
-    return sent.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_compare(percent), "a long, b long")
+    return _with_sets(counted, sets, n).mapInArrow(_compare(percent), "a long, b long")
+
+
+def _sets_of(df: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, salt: int) -> DataFrame:
+    """(node, elements) of the nodes, and perhaps of others, shingled again from one text each."""
+    members = docs.where("n_shingles > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    members = materialise(members, "jaccard-members")
+    ids = members.where("doc_id is not null").select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = df.join(ids, "doc_id", "left_semi")
+    if members.where("doc_id is null").limit(1).count():  # nodes without an id: all such texts are shingled again
+        texts = texts.unionByName(df.where("doc_id is null"))
+    return materialise(texts.mapInArrow(_set_rows(words, salt), "node long, elements binary"), "jaccard-sets")
 
 
 def _partition_keys(spark, n: int) -> list[int]:
@@ -394,33 +494,46 @@ def _join(df: DataFrame, words: int, percent: int, short: int, salt: int) -> Dat
     classes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("own").alias("own"), F.max("below").alias("below"), F.min("high").alias("h0"), F.max("high").alias("h1"), F.min("low").alias("l0"), F.max("low").alias("l1"))
     if docs.where("own < 0 or below < 0").limit(1).count() or classes.where("h0 <> h1 or l0 <> l1").limit(1).count():
         return None
-    pairs = materialise(found.where("kind = 1").select("a", "b").distinct(), "jaccard-pairs")
-    entries = found.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("node"), F.col("n").alias("probe"))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
-    members = docs.where("n_shingles > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = materialise(members, "jaccard-members")
-    # rows without an id are few or the table has no ids: they are shingled again whenever a node has no other row
-    nameless = members.where("doc_id is null").limit(1).count() > 0
-    ids = members.where("doc_id is not null").select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = df.join(ids, "doc_id", "left_semi")
-    texts = texts.unionByName(df.where("doc_id is null")) if nameless else texts
-    sets = materialise(texts.mapInArrow(_set_rows(words, salt), "node long, elements binary"), "jaccard-sets")
+    # long lists: every set leaves out its longest ones, as many as its allocation has to spare (one shuffle, by node)
+    entries = found.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("node"), F.col("n").cast("int").alias("probe"), F.col("own").alias("size"))
+    entries = entries.repartition(n, "node").join(classes.select("node", "own", "below").hint("shuffle_merge"), "node")
+    own = Window.partitionBy("node", "probe")
+    place = F.row_number().over(own.orderBy(F.desc("size"), "list"))
+    spare = F.when(F.col("probe") == 1, F.col("below")).otherwise(F.col("own"))
+    entries = entries.withColumn("probing", place > spare).withColumn("held", F.count("*").over(own).cast("int"))
+    entries = materialise(entries.select("list", "node", "probe", "held", "probing"), "jaccard-entries")
+    # the member of most long lists is the most central one: edited copies differ less from it than from one another (one shuffle, by list)
+    dealt = entries.select("list", "node", "held", "probing").repartition(n, "list")
+    hubs = dealt.groupBy("list").agg(F.max(F.struct("held", "node")).alias("hub"), F.max("probing").alias("probed")).where("probed").select("list", F.col("hub.node").alias("hub"))
+    members = materialise(dealt.join(hubs.hint("shuffle_merge"), "list").groupBy("hub", "node").agg(F.max("probing").alias("probing")), "jaccard-members")
+    stars = members.where("probing and hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    # short lists: linked sets share more lists than the larger one has to spare; some of these may be long
+    counted = found.where("kind = 1").groupBy("a", "b", F.col("own").alias("probe")).agg(F.sum("n").alias("shared"))
+    held = entries.groupBy("node", "probe").agg(F.max("held").alias("long"))
+    for side in ("a", "b"):
+        own = classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("own").alias(f"own_{side}"), F.col("below").alias(f"below_{side}"))
+        counted = counted.join(own, side)
+    own, below = (F.when(F.col("n_a") >= F.col("n_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")) for x in ("own", "below"))
+    counted = counted.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("needed", F.when(F.col("probe") == 1, below).otherwise(own) + 1)
+    enough = counted.where("shared >= needed").select("a", "b")
+    rest = counted.where("shared < needed").withColumn("larger", F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")))
+    rest = rest.join(held.withColumnRenamed("node", "larger"), ["larger", "probe"]).where("shared + long >= needed").select("a", "b")
+    pairs = materialise(enough.unionByName(rest).unionByName(stars).distinct(), "jaccard-pairs")
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
+    sets = _sets_of(df, docs, nodes, words, salt)
     links = materialise(_verified(pairs, sets, percent), "jaccard-links")
     labels = materialise(components(links), "jaccard-labels")
-    # long lists that hold several components still: their pairs across components
-    several = entries.join(labels, "node", "left").select("list", "node", "probe", F.coalesce("label", "node").alias("label"))
-    sizes = several.groupBy("list").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label"), F.count("*").alias("size")).where("low_label <> high_label").select("list", "size")
-    several = several.join(sizes, "list").join(classes.select("node", "n", "own", "below"), "node")
-    order = Window.partitionBy("node", "probe").orderBy(F.desc("size"), "list")
-    several = several.withColumn("left_out", F.row_number().over(order) <= F.when(F.col("probe") == 1, F.col("below")).otherwise(F.col("own")))
-    several = materialise(several.select("list", "node", "probe", "label", "n", "left_out"), "jaccard-several")
+    # hubs whose lists hold several components still: their pairs across components
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("hub").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("hub")
+    several = labelled.join(mixed, "hub", "left_semi").join(classes.select("node", "n"), "node")
+    several = materialise(several.select("hub", "node", "label", "n", "probing"), "jaccard-several")
     if several.limit(1).count():
-        x = several.where("not left_out").select("list", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-        y = several.where("probe = 0").select("list", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-        more = x.join(y, "list").where(f"lx <> ly and nx >= ny and 100 * ny >= {percent} * nx")
-        more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialise(_verified(materialise(more, "jaccard-more"), sets, percent), "jaccard-more-links")
+        others = several.select("node").distinct().join(nodes, "node", "left_anti")
+        sets = sets.unionByName(_sets_of(df, docs, materialise(others, "jaccard-more-nodes"), words, salt))
+        more = _across(several, sets, percent).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialise(more, "jaccard-more")
+        more = materialise(_verified(more, sets, percent), "jaccard-more-links")
         if more.limit(1).count():
             labels = materialise(components(links.unionByName(more)), "jaccard-labels")
     reps = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
