@@ -25,11 +25,11 @@ form a list. Of its long lists each set leaves out the longest, as many as
 its allocation has to spare, so a passage that many unrelated documents
 share is not compared at all. Short lists give all their pairs, of which
 those stay that share more lists than the larger set has to spare. What is
-left of a long list gives the pairs of its first member with each other
-one; after these are verified and their components known, long lists that still
-hold several are taken again: what two members can share at most follows
-from bit masks of what each shares with the list's first member, and the
-pairs of different components that these allow are verified too.
+left of a long list gives the pairs of its most central member with each
+other one; after these are verified and their components known, long lists that still
+hold several are taken again: each member is written as a bit mask of what
+it shares with the list's central one and its other elements, which decides
+any pair exactly, and members of different components are compared so.
 *Verification* compares the whole sets of each candidate pair. Sets are
 made again from the texts of candidates; each goes to the partition of its
 pair's less connected member, so a hub is sent once per partition.
@@ -358,7 +358,7 @@ def _compare(percent: int):
 
 
 def _mask_rows():
-    """Sets (kind 0) before the pairs of a hub and a node (kind 1): which of the hub's elements the node has, as bits, and how many others."""
+    """Sets (kind 0) before the pairs of a hub and a node (kind 1): which of the hub's elements the node has, as bits, and its others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, sets = None, {}
@@ -372,36 +372,52 @@ def _mask_rows():
                     continue
                 u, v = sets[hub], sets[node]
                 has = np.isin(u, v, assume_unique=True)
-                rows.append((hub, node, np.packbits(has).tobytes(), len(v) - int(has.sum())))
+                rows.append((hub, node, np.packbits(has).tobytes(), v[np.isin(v, u, assume_unique=True, invert=True)].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["hub", "node", "mask", "extra"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["hub", "node", "mask", "others"])
 
     return run
 
 
 def _block_pairs(percent: int):
-    """Blocks of members of one hub, sorted by (hub, bi, bj): pairs of a probing x and a y of another component whose bits allow a link."""
+    """Blocks of members of one hub, sorted by (hub, bi, bj): links between a probing x and a smaller y of another component.
+
+    Two sets share what they share of the hub, counted by bits, and what they share of their others: the pair is decided exactly.
+    Components that a link joins count as one from there on, so a block gives at most as many links as it has members."""
 
     def pairs(x: list, y: list) -> pa.RecordBatch | None:
         width = -(-max(len(r[3]) for r in x) // 8) * 8
         bits = np.frombuffer(b"".join(r[3].ljust(width, b"\0") for r in y), np.uint64).reshape(len(y), -1)
-        node, label, n, extra = (np.array([r[i] for r in y], np.int64) for i in (0, 1, 2, 4))
+        node, label, n = (np.array([r[i] for r in y], np.int64) for i in (0, 1, 2))
+        others = [np.frombuffer(r[4], np.uint64) for r in y]
+        extra = np.array([len(o) for o in others], np.int64)
+        joined: dict[int, int] = {}
         a, b = [], []
-        for who, own, size, mask, more in x:
+        for who, own, size, mask, rest in x:
+            while own in joined:
+                own = joined[own]
+            rest = np.frombuffer(rest, np.uint64)
             ok = np.flatnonzero((label != own) & (n <= size) & (100 * n >= percent * size))
-            if len(ok):
-                most = np.bitwise_count(bits[ok] & np.frombuffer(mask.ljust(width, b"\0"), np.uint64)).sum(axis=1).astype(np.int64) + np.minimum(extra[ok], more)
-                ok = ok[100 * most >= percent * (size + n[ok] - most)]
-                a.append(np.minimum(node[ok], who))
-                b.append(np.maximum(node[ok], who))
-        if not a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a, b)], ["a", "b"])
+            if not len(ok):
+                continue
+            common = np.bitwise_count(bits[ok] & np.frombuffer(mask.ljust(width, b"\0"), np.uint64)).sum(axis=1).astype(np.int64)
+            most = common + np.minimum(extra[ok], len(rest))
+            may = 100 * most >= percent * (size + n[ok] - most)
+            for i, both in zip(ok[may].tolist(), common[may].tolist(), strict=True):
+                if label[i] == own:
+                    continue
+                both += len(np.intersect1d(others[i], rest, assume_unique=True))
+                if 100 * both >= percent * (size + int(n[i]) - both):
+                    a.append(min(int(node[i]), who))
+                    b.append(max(int(node[i]), who))
+                    joined[int(label[i])] = own
+                    label[label == label[i]] = own
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, x, y = None, [], []
         for batch in batches:
-            for hub, bi, bj, side, *row in zip(*(batch.column(c).to_pylist() for c in ("hub", "bi", "bj", "side", "node", "label", "n", "mask", "extra")), strict=True):
+            for hub, bi, bj, side, *row in zip(*(batch.column(c).to_pylist() for c in ("hub", "bi", "bj", "side", "node", "label", "n", "mask", "others")), strict=True):
                 if (hub, bi, bj) != key:
                     if x and y and (got := pairs(x, y)) is not None:
                         yield got
@@ -418,19 +434,16 @@ BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 25
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (hub, node, label, n, probing) of long lists with several components: the pairs that may link, of a probing member and a
-    smaller one of another component.
-
-    What two sets share with each other is at most what they share of the hub, counted by bits, and the smaller of what else they
-    have. Blocks of a hub's members meet in separate tasks, so no hub needs to fit one."""
+    """members (hub, node, label, n, probing) of long lists with several components: links of a probing member and a smaller one of
+    another component. Blocks of a hub's members meet in separate tasks, so no hub needs to fit one."""
     n = shuffle_partitions(members.sparkSession)
     asked = members.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), F.lit(2 * n)).cast("int").alias("bucket"))
-    masks = _with_sets(asked, sets, n).mapInArrow(_mask_rows(), "hub long, node long, mask binary, extra long")
+    masks = _with_sets(asked, sets, n).mapInArrow(_mask_rows(), "hub long, node long, mask binary, others binary")
     rows = materialise(members.join(masks, ["hub", "node"]), "jaccard-masks")
-    most = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / F.greatest(F.max(F.octet_length("mask")), F.lit(1))))
+    most = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / F.greatest(F.max(F.octet_length("mask") + F.octet_length("others")), F.lit(1))))
     blocks = rows.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
     rows = rows.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["node", "label", "n", "mask", "extra"]
+    columns = ["node", "label", "n", "mask", "others"]
     x = rows.where("probing").select("hub", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(0).alias("side"), *columns)
     y = rows.select("hub", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side"), *columns)
     dealt = x.unionByName(y).repartition(n, "hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
@@ -439,8 +452,10 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_sets(counted: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Pairs (bucket, a, b) with the sets their buckets need, each sent once to a bucket: sorted by bucket, sets first."""
-    asked = counted.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = asked.join(sets, "node").select("bucket", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+    asked = materialise(counted.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-asked")
+    # requests are broadcast up to a checked number; beyond it both sides are dealt by node
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    sent = sets.join(asked, "node").select("bucket", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
     told = counted.select("bucket", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements"))
     return sent.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
@@ -531,9 +546,7 @@ def _join(df: DataFrame, words: int, percent: int, short: int, salt: int) -> Dat
     if several.limit(1).count():
         others = several.select("node").distinct().join(nodes, "node", "left_anti")
         sets = sets.unionByName(_sets_of(df, docs, materialise(others, "jaccard-more-nodes"), words, salt))
-        more = _across(several, sets, percent).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, "jaccard-more")
-        more = materialise(_verified(more, sets, percent), "jaccard-more-links")
+        more = materialise(_across(several, sets, percent), "jaccard-more-links")
         if more.limit(1).count():
             labels = materialise(components(links.unionByName(more)), "jaccard-labels")
     reps = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
