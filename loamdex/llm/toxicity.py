@@ -37,7 +37,7 @@ from ._common import bounded_sample, held_out, slices, with_id
 SAMPLE_ROWS, THRESHOLD, WINDOW = 2_500, 0.7, 8
 #: A stem has at least so many letters; a word or stem may be misspelt from so many letters on.
 STEM, FUZZY = 4, 5
-#: Most entries of a lexicon, most words known to be clean in a worker.
+#: Most entries of a lexicon; words that a worker keeps as known to be clean, and as hits, before it forgets them and looks them up again.
 ENTRIES, CLEAN = 4_096, 300_000
 _PARTS = re.compile(r"[\w@$*!'’+]+")
 _EDGES = "@$*!'’+_"
@@ -140,7 +140,7 @@ class Lexicon:
 
 
 class Scanner:
-    """Hits of a text and their weights, with the words known to be clean kept from text to text."""
+    """Hits of a text and their weights; words known to be clean and known hits are kept from text to text, which changes the speed only."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -163,13 +163,15 @@ class Scanner:
         tokens = text.lower().split()
         if len(self.clean) > CLEAN:
             self.clean = set()
+        if len(self.bad) > CLEAN:
+            self.bad = {}
         seen = set(tokens)
         for token in seen - self.clean:
             if token not in self.bad:
                 found = self._token(token)
                 if found is None:
                     self.clean.add(token)
-                elif len(self.bad) < CLEAN:
+                else:
                     self.bad[token] = found
         if seen.isdisjoint(self.bad):
             return [], len(tokens)

@@ -49,6 +49,16 @@ def test_quotation():
         assert [q for *_, q in scan.hits(text)[0]] == quotes, text
 
 
+def test_hits_do_not_depend_on_what_was_read_before(monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN", 3)
+    lexicon = toxicity.Lexicon({"idiot": 1.0}, {"loweb": 1.0})
+    texts = [*(f"you idiot#{i} and loweb{'abcdefghijklmnopqrst'[i]}" for i in range(20)), " ".join(f"idiot#{i}" for i in range(20)), "all is well", "an idoit"]
+    scanner = toxicity.Scanner(lexicon)
+    assert [scanner.hits(t) for t in texts] == [toxicity.Scanner(lexicon).hits(t) for t in texts]
+    assert [len(scanner.hits(t)[0]) for t in texts] == [2] * 20 + [20, 0, 1]
+    assert len(scanner.bad) <= 3 + 20
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(1)
     clean = ["".join(rng.choice("bcdfgh") + rng.choice("aeiou") for _ in range(2)) for _ in range(5000)]
