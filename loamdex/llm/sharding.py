@@ -3,8 +3,11 @@
 Groups of equal texts stay together. Their sizes, largest first, go to
 the least-loaded shard through a heap. The schedule depends on sizes
 alone, so the driver sees only a histogram of group sizes (at most
-`max_classes` entries: beyond that, sizes are rounded to fewer digits and
-a class weighs its mean), never the groups. A class of many equal groups
+`max_classes` entries), never the groups. Beyond that many distinct sizes
+the largest half of `max_classes` stay exact, and the smaller ones are
+classed in steps of equal width, as narrow as the other half allows; such
+a class weighs its mean, and which of its groups come first is left to
+their digests. Shards then differ by more than under exact sizes. A class of many equal groups
 is dealt in closed form up to a level, the rest through the heap. Groups
 then find their shard by their place within their class, and rows their
 slot by their place within the shard; both places come from one range
@@ -81,18 +84,19 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("digest"))
     rows = materialise(rows, "shard-rows")
     groups = materialise(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
-    digits = 18
-    while True:
-        scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.col("bytes"))) + 1 - digits)).cast("long")
-        key = (F.floor(F.col("bytes") / scale) * scale).cast("long") if digits < 18 else F.col("bytes")
-        sizes = groups.withColumn("class", key).groupBy("class").agg(F.avg("bytes").alias("weight"), F.count("*").alias("n"))
-        # one digit makes at most nine classes per power of ten, whatever the limit
-        classes = (sizes if digits == 1 else sizes.limit(max_classes + 1)).collect()
-        if len(classes) <= max_classes or digits == 1:
-            break
-        digits = 4 if digits == 18 else digits - 1
+    size = F.col("bytes")
+    classes = [(r.bytes, float(r.bytes), r["count"]) for r in groups.groupBy("bytes").count().orderBy(F.desc("bytes")).limit(max_classes + 1).collect()]
+    key = size
+    if len(classes) > max_classes:
+        exact = max_classes // 2
+        # the sizes below the exact ones: up to `top`, in at most max_classes - exact steps
+        top = classes[exact][0]
+        step = top // (max_classes - exact) + 1
+        key = F.when(size <= top, (F.floor(size / step) * step).cast("long")).otherwise(size)
+        light = groups.where(size <= top).groupBy(key.alias("class")).agg(F.avg("bytes").alias("weight"), F.count("*").alias("n")).collect()
+        classes = classes[:exact] + [(r["class"], r.weight, r.n) for r in light]
     spark = df.sparkSession
-    plan = spark.createDataFrame(schedule([(r["class"], r.weight, r.n) for r in classes], shards) or [(0, 0, 0, 0)], "class long, first long, end long, shard int")
+    plan = spark.createDataFrame(schedule(classes, shards) or [(0, 0, 0, 0)], "class long, first long, end long, shard int")
     placed = places(groups.withColumn("class", key), "class", ["digest"], "place", "shard-places")
     assigned = placed.join(F.broadcast(plan), "class").where("place >= first and place < end").select("digest", "shard")
     rows = rows.join(assigned, "digest").select("doc_id", "size", "text_crc32", "shard")

@@ -122,6 +122,15 @@ def test_shard(spark):
     assert len(few) == len(rows) and {r.shard for r in few} == set(range(5))
 
 
+def test_shard_keeps_heavy_sizes_exact(spark):
+    rows = [(i, f"{i:04d}" + "x" * (i * 37 if i < 200 else 7000 + i * i)) for i in range(300)]
+    loads = defaultdict(int)
+    for r in sharding.shard(docs(spark, rows), shards=5, max_classes=200).collect():
+        loads[r.shard] += r.size
+    # a step of the light sizes' classes is 74 bytes wide; LPT over exact sizes comes within the smallest ones
+    assert max(loads.values()) - min(loads.values()) < 400
+
+
 def brute(text, items, width=10):
     words = words_of((text or "").encode())
     hit, own = set(), set()
