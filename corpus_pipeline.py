@@ -27,19 +27,34 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest doc_id; without shingles or an id, all."""
+    """Keeps of each group of near-duplicates the document of the smallest doc_id; without shingles or an id, all.
+
+    Rows that share an id are one document only where their texts are near-duplicates too."""
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.limit(1).count():
+        return _duplicates_by_name(docs)
     found = materialise(jaccard.similar(docs), "duplicates")
     gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicate-ids")
     # a list of ids is broadcast only up to a checked size; beyond it, rows are dealt by id
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.limit(1).count():
-        return kept
-    # rows that share an id are one document
-    twice = materialise(twice, "repeated-ids")
-    one = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _duplicates_by_name(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: rows are told apart by a hash of id and text."""
+    for salt in range(8):
+        named = docs.withColumn("_name", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(salt), "doc_id", F.coalesce("text", F.lit("")))))
+        names = named.where("_name is not null").select("_name", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).distinct()
+        names = materialise(names, "duplicate-names")
+        if not names.groupBy("_name").count().where("count > 1").limit(1).count():
+            break
+    else:
+        raise RuntimeError("no salt gave every document a name of its own")
+    found = jaccard.similar(named, "_name").where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_name"), "component_id").distinct()
+    found = materialise(found.join(names.select("_name", "doc_id"), "_name"), "duplicates")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_name")).alias("x")).select("x._name")
+    one = named.join(first, "_name", "left_semi").dropDuplicates(["_name"])
+    return named.join(found, "_name", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,13 @@ def test_pipeline(spark):
     odd = docs(spark, [*AWKWARD, (70, "some words that nobody else has here")]).select(before.columns)
     unique = corpus_pipeline.duplicate_stage(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in unique.collect()) == sorted(map(str, [1, 2, 3, 4, None, 6, 7, 8, 9, 70]))
+
+
+def test_rows_of_one_id_with_unlike_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b + " more"), (7, c), (7, c + " more"), (7, None), (None, c)]
+    d = docs(spark, rows)
+    kept = corpus_pipeline.duplicate_stage(spark, d, SF)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == d.columns and len(got) == 5
+    assert {(3, a), (5, b), (7, None), (None, c)} < set(got) and {(7, c), (7, c + " more")} & set(got)
