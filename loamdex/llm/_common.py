@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -45,17 +47,20 @@ def held_out(doc_id):
 def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """About `rows` rows of each value of `key` by a hash of doc_id: two narrow scans, no shuffle of texts.
 
-    The counts come from all rows; the hash threshold of each key value follows from them."""
-    counts = {tuple(r[k] for k in key): r["count"] for r in df.groupBy(*key).count().orderBy(F.desc("count"), *key).limit(256).collect()}
+    The counts come from all rows; the hash threshold of each key value follows from them. Every value of
+    `key` is sampled, and the driver holds a count of each."""
+    counts = {tuple(r[k] for k in key): r["count"] for r in df.groupBy(*key).count().collect()}
     spread = 1 << 30
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    keep = F.lit(False)
+    keep = []
     for values, n in counts.items():
         same = F.lit(True)
         for k, v in zip(key, values, strict=True):
             same = same & F.col(k).eqNullSafe(F.lit(v))
-        keep = keep | (same & (hashed < F.lit(int(spread * min(1.0, rows / n)))))
-    return df.where(keep)
+        keep.append(same & (hashed < F.lit(int(spread * min(1.0, rows / n)))))
+    while len(keep) > 1:  # as a balanced tree, for many values
+        keep = [reduce(or_, keep[i : i + 2]) for i in range(0, len(keep), 2)]
+    return df.where(keep[0] if keep else F.lit(False))
 
 
 def with_id(df: DataFrame, ddl: str, id_col: str = "doc_id"):

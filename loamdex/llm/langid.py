@@ -144,7 +144,8 @@ class Scorer:
     """Log probabilities of words under each language, cached up to a bound."""
 
     def __init__(self, languages: list[str], pieces: list[str], weights: np.ndarray, cached: int = CACHED):
-        self.languages, self.weights, self.cached = languages, weights, cached
+        # with more than four languages fewer words at a time, so that many take no more memory
+        self.languages, self.weights, self.cached, self.step = languages, weights, cached * 4 // max(4, len(languages)), max(1, 16_384 // max(4, len(languages)))
         self.lattice = Lattice(pieces) if pieces else None
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(languages)))
@@ -152,8 +153,8 @@ class Scorer:
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), len(self.languages)))
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for i in range(0, len(order), 4096):
-            some = order[i : i + 4096]
+        for i in range(0, len(order), self.step):
+            some = order[i : i + self.step]
             lengths, spans = self.lattice.spans([words[j] for j in some])
             alpha = forward(lengths, spans, self.weights)
             out[some] = np.log(np.maximum(alpha[lengths, np.arange(len(some))], 1e-300))
@@ -184,7 +185,8 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: i
     """Fit on a bounded sample of rows with a language; df needs doc_id."""
     df = df.select("doc_id", F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     some = bounded_sample(df, rows, "lang")
-    cut = f"transform(regexp_extract_all(lower(text), '\\\\p{{L}}+', 0), w -> left(w, {WORD_CUT}))"
+    runs = "regexp_extract_all(lower(text), '\\\\p{L}+', 0)"
+    cut = f"flatten(transform({runs}, w -> transform(sequence(0, (length(w) - 1) div {WORD_CUT}), i -> substring(w, int(i * {WORD_CUT} + 1), {WORD_CUT}))))"
     counted = some.select("lang", F.explode(F.expr(cut)).alias("word")).groupBy("lang", "word").count()
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= fit_words)
     counts: dict[str, dict[str, int]] = {}

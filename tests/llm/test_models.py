@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamdex.llm import langid, toxicity
+from loamdex.llm import _common, langid, toxicity
 from loamdex.session import table
 
 from .util import AWKWARD, docs
@@ -148,3 +148,12 @@ def test_rows_of_one_id_with_unlike_texts(spark):
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert kept.columns == d.columns and len(got) == 5
     assert {(3, a), (5, b), (7, None), (None, c)} < set(got) and {(7, c), (7, c + " more")} & set(got)
+
+
+def test_training_sees_whole_runs_and_every_language(spark):
+    head = "abcdefghijklmnopqrstuvwxyzabcd"
+    rows = [*((i, f"{head}katzehund", "de") for i in range(20)), *((100 + i, f"{head}dogandcat", "en") for i in range(20)), (200, "dogandcat", None), (201, "katzehund", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows), docs(spark, rows)).collect()}
+    assert (got[200], got[201]) == ("en", "de")
+    many = docs(spark, [(i, "x", f"l{i % 300}") for i in range(900)])
+    assert _common.bounded_sample(many, 3, "lang").select("lang").distinct().count() == 300
