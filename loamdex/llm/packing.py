@@ -6,7 +6,8 @@ best bin for a piece is the lowest set bit at or above its length. At
 most `open_bins` are open; to open one more, the fullest closes first.
 What is still open when a task ends and is not nearly full is taken
 apart; these pieces, a bounded number per task, are dealt to a second,
-smaller set of tasks, which pack them longest first by the same rule.
+smaller set of tasks, which pack them longest first by the same rule, with
+as many bins open as there are pieces, so that none closes early.
 
 Defined results: a null text is empty and yields one piece, the closing
 id alone; a document longer than the capacity is cut into pieces of the
@@ -163,7 +164,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
             cols = [batch.column(n).to_pylist() for n in names if n not in ("sequence_id", "offset")]
             items.extend(zip(*cols, strict=True))
         items.sort(key=lambda r: (-r[3], str(r[0]), r[1]))
-        packer, out = Packer(capacity, open_bins), []
+        packer, out = Packer(capacity, len(items)), []
         number = numbers((1 << 60) + (TaskContext.get().partitionId() << 36))
         for item in items:
             _rows(packer.add(item, item[3]), number, out)

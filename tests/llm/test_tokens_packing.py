@@ -81,3 +81,11 @@ def test_pack_round_trip(spark, library):
             at += length
         assert at <= 512
     assert len(by_sequence) <= -(-sum(r.length for r in rows) // 512) + 1
+
+
+def test_second_pass_closes_no_bin_early(spark):
+    rows = [(i, "a " * (1 + i * 23 % 50)) for i in range(200)]
+    got = pack(docs(spark, rows).repartition(50), capacity=64, open_bins=2).collect()
+    assert sorted((r.doc_id, r.piece) for r in got) == [(r[0], 0) for r in rows]
+    assert max(r.offset + r.length for r in got) <= 64
+    assert len({r.sequence_id for r in got}) <= 1.1 * sum(r.length for r in got) / 64
