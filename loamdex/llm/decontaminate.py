@@ -10,8 +10,10 @@ through in blocks, each a pass over the documents that adds to the spans
 found so far, so nothing depends on its size but the number of passes.
 
 Defined results: null and empty texts have no words and no hits; repeated
-items count once per item_id; repeated documents are judged each; an empty
-benchmark hits nothing; other columns are ignored.
+items count once per item_id; items without an id are searched like others,
+count as one item together and are left out of items_sha256; repeated
+documents are judged each; an empty benchmark hits nothing; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ def words_of(text: bytes) -> list[bytes]:
 class Windows:
     """The windows of one block of items: word numbers, sorted hashes, and what verifies a hit."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int = WIDTH):
         self.numbers: dict[bytes, int] = {}
-        self.owners: dict[tuple, set[str]] = defaultdict(set)
+        self.owners: dict[tuple, set[str | None]] = defaultdict(set)
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
@@ -55,7 +57,7 @@ class Windows:
         x = (windows * self.odd[: windows.shape[1]]).sum(axis=1, dtype=np.uint64)
         return x ^ x >> np.uint64(29)
 
-    def find(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, set[str]]]:
+    def find(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, set[str | None]]]:
         """(document, first word, number of words, items) of each occurrence."""
         get = self.numbers.get
         lengths = np.array([len(d) + 1 for d in docs])
@@ -80,13 +82,13 @@ class Windows:
                     yield doc, int(starts[k] - base[doc]), n, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items, in lists of about block_bytes of text."""
-    df = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null and item is not null")
+    df = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        part = df if n == 1 else df.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        part = df if n == 1 else df.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r.item, r.text.encode()) for r in part.toLocalIterator()]
 
 
@@ -118,7 +120,7 @@ def _scan(table, last: bool):
             for part in slices(batch, "text"):
                 docs = [words_of(t) if t else [] for t in as_bytes(part.column("text"))]
                 hit: dict[int, np.ndarray] = {}
-                items: dict[int, set[str]] = {}
+                items: dict[int, set[str | None]] = {}
                 for i, (m, own) in enumerate(zip(part.column("marked").to_pylist(), part.column("items").to_pylist(), strict=True)):
                     if m is not None:
                         hit[i], items[i] = np.frombuffer(m, bool).copy(), set(own)
@@ -135,11 +137,11 @@ def _scan(table, last: bool):
                         spans.append([{"first": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                     columns = [
                         pa.array([len(d) for d in docs], pa.int64()), pa.array([int(hit[i].sum()) if i in hit else 0 for i in k], pa.int64()), pa.array([len(items.get(i, ())) for i in k], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest() for i in k], pa.string()), pa.array(spans, _SPANS),
+                        pa.array([hashlib.sha256(",".join(sorted(x for x in items.get(i, ()) if x is not None)).encode()).hexdigest() for i in k], pa.string()), pa.array(spans, _SPANS),
                     ]
                     names = ["n_words", "n_hit", "n_items", "items_sha256", "spans"]
                 else:
-                    columns = [part.column("text"), pa.array([hit[i].tobytes() if i in hit else None for i in k], pa.binary()), pa.array([sorted(items[i]) if i in items else None for i in k], pa.list_(pa.string()))]
+                    columns = [part.column("text"), pa.array([hit[i].tobytes() if i in hit else None for i in k], pa.binary()), pa.array([list(items[i]) if i in items else None for i in k], pa.list_(pa.string()))]
                     names = ["text", "marked", "items"]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from loamdex.llm import media, sharding, warc
 from loamdex.llm.decontaminate import contamination, decontaminate, words_of
+from loamdex.llm.registry import OP5_SQL
 
 from .util import AWKWARD, docs
 
@@ -161,3 +162,17 @@ def test_decontamination_against_brute_force(spark):
     cut = {r.doc_id: r.text for r in decontaminate(docs(spark, rows), bench, remove="spans").collect()}
     assert cut[22] == "zero  four" and cut[20] == "x  yy" and cut[21] == "a b c d e f g h i" and cut[1] is None
     assert contamination(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_benchmark_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "red green blue"), (None, "zinc iron"), (7, "green blue"), (8, "tin")], "item_id long, text string")
+    rows = [(1, "a red green blue b"), (2, "zinc iron, red green blue"), (3, "tin"), (4, "none")]
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("", "7", "8")}
+    want = [(1, 5, 3, 2, sha["7"], True), (2, 5, 5, 2, sha["7"], True), (3, 1, 1, 1, sha["8"], True), (4, 1, 0, 0, sha[""], False)]
+    for block in (1 << 20, 8):
+        got = contamination(docs(spark, rows), bench, block_bytes=block).drop("spans").collect()
+        assert sorted(tuple(r) for r in got) == want
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("create table documents as select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in rows) + ") t(doc_id, text)")
+    con.execute("create table benchmark as select * from (values (null, 'red green blue'), (null, 'zinc iron'), (7, 'green blue'), (8, 'tin')) t(item_id, text)")
+    assert sorted(con.execute(OP5_SQL).fetchall()) == want
