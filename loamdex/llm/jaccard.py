@@ -18,8 +18,10 @@ elements, which the fewest other sets share, leaves out empty ones, which
 many do, and buys what is missing with one-deletion neighbours of
 designated segments. A set that cannot reach d + 1 so (its hashes fell
 into too few segments) makes the whole join start anew with another salt,
-as does a clash of the 64-bit names of sets: the result is exact, not
-likely.
+as does a clash of the 64-bit names of sets. A set's elements are 64-bit hashes
+of its shingles, and counts of shared elements are exact over these: two
+unlike shingles of one pair of documents are taken for one with a chance
+of |x| |y| / 2**64, 1e-11 for two texts of 15,000 words.
 *Lists.* Signatures go to partitions in packed blocks. Sets that share one
 form a list. Of its long lists each set leaves out the longest, as many as
 its allocation has to spare, so a passage that many unrelated documents
@@ -51,8 +53,9 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ._common import as_bytes, materialise, shuffle_partitions, slices
+from ._common import SLICE_BYTES, as_bytes, materialise, shuffle_partitions, slices
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -64,6 +67,8 @@ DESIGNATED, SMALL = 8, 32
 BROADCAST_IDS = 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CACHED = 400_000
+# a slice's rows are numbered in 15 bits of a packed signature, and slices() counts at least 64 bytes a row
+assert SLICE_BYTES // 64 < 1 << 15
 _M1, _M2, _K1, _K2 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
@@ -125,7 +130,7 @@ class Shingler:
         flat = np.fromiter(map(get, chain.from_iterable(docs)), np.uint64, sum(map(len, docs)))
         rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
         for j in range(k):
-            rolled += flat[j : len(flat) - k + 1 + j] * self.odd[j]
+            rolled += flat[j : j + len(rolled)] * self.odd[j]
         rolled = mix(mix(rolled) ^ self.salt)
         out, at = [], 0
         for d in docs:
@@ -431,6 +436,8 @@ def _block_pairs(percent: int):
 
 #: Members of a hub that one task compares with as many others, and the bytes of their masks.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 25
+#: Shares into which the members of each hub are dealt where the hubs are too many to broadcast.
+SALTS = 16
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -441,8 +448,14 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     masks = _with_sets(asked, sets, n).mapInArrow(_mask_rows(), "hub long, node long, mask binary, others binary")
     rows = materialise(members.join(masks, ["hub", "node"]), "jaccard-masks")
     most = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / F.greatest(F.max(F.octet_length("mask") + F.octet_length("others")), F.lit(1))))
-    blocks = rows.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = materialise(rows.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")), "jaccard-hubs")
+    # a row for each hub: broadcast up to a checked number, beyond it dealt by hub and salt, so that no hub's members meet in one task
+    if blocks.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(blocks), "hub")
+    else:
+        salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"]).drop("salt")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["node", "label", "n", "mask", "others"]
     x = rows.where("probing").select("hub", F.col("own").alias("bi"), F.col("other").alias("bj"), F.lit(0).alias("side"), *columns)
     y = rows.select("hub", F.col("other").alias("bi"), F.col("own").alias("bj"), F.lit(1).alias("side"), *columns)
@@ -491,7 +504,9 @@ def _partition_keys(spark, n: int) -> list[int]:
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, short: int = SHORT, salts: int = 8) -> DataFrame:
-    """A row per input row: doc_id, n_shingles, component_id."""
+    """A row per input row: doc_id, n_shingles, component_id. Ids are compared in their own type; integers come out as long."""
+    if not isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return _by_rows(df, id_col, text_col, words=words, percent=percent, short=short, salts=salts)
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for salt in range(salts):
         out = _join(df, words, percent, short, salt)
@@ -500,6 +515,15 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     raise RuntimeError("no salt gave every set an allocation and every set a name of its own")
 
 
+def _by_rows(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """similar() for ids that are no integers: rows are numbered, and a component's smallest id is found afterwards."""
+    rows = materialise(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-rows")
+    found = similar(rows, "row", "text", **options).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row")
+    found = materialise(found, "jaccard-named")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
 def _join(df: DataFrame, words: int, percent: int, short: int, salt: int) -> DataFrame | None:
     spark = df.sparkSession
     n = min(shuffle_partitions(spark), 1 << 16)

@@ -84,6 +84,25 @@ def test_awkward_rows(spark):
     assert jaccard.similar(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_batches_of_few_words():
+    for k in (1, 2, 3, 5, 7):
+        for texts in ([], [b""], [None, b"a"], [b"a b"], [b"a b c"], [b"a", b"b c"], [b"a b c d"], [b"a b", None, b"c d e"], [b"a b c d e"], [b"a b c d e f"]):
+            for found, text in zip(jaccard.Shingler(k).sets(texts), texts, strict=True):
+                n = len((text or b"").split())
+                assert len(found) == (max(1, n - k + 1) if n else 0)
+
+
+@pytest.mark.parametrize("rows", [[(1, "one two three"), (2, None)], [(1, "one")], [(3, None)], [(2, "a b"), (1, "A B"), (4, "c d e")]])
+def test_tiny_tables(spark, rows):
+    assert sorted(map(tuple, jaccard.similar(docs(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_ids_that_are_no_integers(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two three four five six"), (None, "one two three four five six"), ("c", ""), (None, None), ("d", "something else altogether it is")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, jaccard.similar(df).collect()), key=str) == brute(rows)
+
+
 def test_allocations_never_lose_a_link():
     """Random linked pairs of sets: the larger one's probes meet an index entry of the smaller, even after it left out what it has to spare."""
     rng, bands = np.random.default_rng(5), jaccard.Bands()
