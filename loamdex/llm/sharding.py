@@ -1,104 +1,135 @@
 """Sharding (operator 6): longest-processing-time scheduling.
 
 Groups of equal texts stay together. Their sizes, largest first, go to
-the least-loaded shard through a heap. The schedule depends on sizes
-alone, so the driver sees only a histogram of group sizes (at most
-`max_classes` entries), never the groups. Beyond that many distinct sizes
-the largest half of `max_classes` stay exact, and the smaller ones are
-classed in steps of equal width, as narrow as the other half allows; such
-a class weighs its mean, and which of its groups come first is left to
-their digests. Shards then differ by more than under exact sizes. A class of many equal groups
-is dealt in closed form up to a level, the rest through the heap. Groups
-then find their shard by their place within their class, and rows their
-slot by their place within the shard; both places come from one range
-sort and small per-partition counts, so no group, class or shard needs to
-fit a task.
+the least-loaded shard through a heap. Every size is exact, however many
+there are.
+
+The schedule depends on the histogram of group sizes alone. That has at
+most sqrt(2 * total bytes) entries, since as many distinct sizes add up to
+at least their number squared over two (14 million at 100 TB); one task
+streams it, largest first, with nothing in memory but a heap of the
+shards. A size that many groups have is dealt in closed form, which gives
+what the heap would. The schedule is a table of runs of places in the
+order (size descending, digest): run, shard. Groups are numbered in that
+order by a range sort, and meet the runs in an equi join on blocks of
+places, so no part of it is broadcast. Rows find their group by a shuffle
+on its digest, but for groups that hold a large share of all rows: these
+are few (at most four per partition) and are broadcast. Slots are places
+within a shard, from a second range sort.
 
 Defined results: a null text is an empty one (0 bytes, crc32 0) and both
-form one group; repeated rows each get a slot; an empty table gives an
-empty table; other columns are ignored.
+form one group; equal sizes go by digest, equal loads to the lower shard;
+repeated rows each get a slot; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ._common import discard, materialise, shuffle_partitions
+
+SHARDS, OVERHEAD = 40, 16
+#: Places of one block of the join of groups and runs.
+BLOCK = 256
+
 
-from pyspark.sql import DataFrame, functions as F
-
-from ._common import materialise, shuffle_partitions
-
-SHARDS, OVERHEAD, MAX_CLASSES = 40, 16, 4_096
-
-
-def schedule(classes: list[tuple[int, float, int]], shards: int = SHARDS) -> list[tuple[int, int, int, int]]:
-    """LPT over (class, weight, groups), heaviest first: rows (class, first, end, shard) that deal a class's groups, by place, to shards."""
-    heap = [(0.0, s) for s in range(shards)]
-    out = []
-    for key, weight, n in sorted(classes, key=lambda c: (-c[1], c[0])):
-        got = [0] * shards
-        if n > 4 * shards and weight > 0:
-            # as far as LPT is sure to go: shards filled to a common level that takes fewer than n groups
-            loads = dict((s, load) for load, s in heap)
-            low, high = min(loads.values()), max(loads.values()) + weight * n
-            while high - low > weight / 4:
-                level = (low + high) / 2
-                low, high = (level, high) if sum(max(0, int((level - x) // weight)) for x in loads.values()) <= n - shards else (low, level)
-            for s, x in loads.items():
-                got[s] = max(0, int((low - x) // weight))
-            n -= sum(got)
-            heap = [(x + got[s] * weight, s) for s, x in loads.items()]
+class Schedule:
+    """LPT over classes of equal groups, heaviest first; holds a load per shard."""
+
+    def __init__(self, shards: int = SHARDS):
+        self.heap = [(0, s) for s in range(shards)]
+
+    def deal(self, weight: int, n: int) -> list[tuple[int, int]]:
+        """(shard, groups) for n groups of one weight, by shard."""
+        heap, got = self.heap, {}
+        if weight > 0 and n > 4 * len(heap):
+            got = self._level(weight, n)
+            self.heap = heap = [(load + got.get(s, 0) * weight, s) for load, s in heap]
             heapq.heapify(heap)
-        for _ in range(n):
-            load, s = heapq.heappop(heap)
-            got[s] += 1
-            heapq.heappush(heap, (load + weight, s))
-        at = 0
-        for s, k in enumerate(got):
-            if k:
-                out.append((key, at, at + k, s))
-                at += k
-    return out
+        else:
+            for _ in range(n):
+                load, s = heap[0]
+                got[s] = got.get(s, 0) + 1
+                heapq.heapreplace(heap, (load + weight, s))
+        return sorted(got.items())
+
+    def _level(self, weight: int, n: int) -> dict[int, int]:
+        """What n turns of the heap give: the n smallest (load before, shard) over all shards, by bisection of that load."""
+        low, high = min(self.heap)[0], max(self.heap)[0] + weight * n
 
+        def below(level: int) -> int:
+            return sum(max(0, -(-(level - load) // weight)) for load, _ in self.heap)
 
-def places(df: DataFrame, group: str, order: list[str], into: str, name: str) -> DataFrame:
-    """Number the rows of each `group` from 0 without gaps, in `order`, as column `into`.
+        while high - low > 1:  # the highest level below which at most n turns start
+            middle = (low + high) // 2
+            low, high = (middle, high) if below(middle) <= n else (low, middle)
+        got = {s: k for load, s in self.heap if (k := max(0, -(-(low - load) // weight)))}
+        left = n - sum(got.values())
+        for load, s in sorted(self.heap, key=lambda x: x[1]):
+            if left and load + got.get(s, 0) * weight == low:
+                got[s] = got.get(s, 0) + 1
+                left -= 1
+        return got
+
+
+def _runs(shards: int):
+    """The histogram (bytes, groups), largest first, to runs of places (first, end, shard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schedule, at = Schedule(shards), 0
+        for batch in batches:
+            first, end, shard = [], [], []
+            for size, n in zip(batch.column("bytes").to_pylist(), batch.column("groups").to_pylist(), strict=True):
+                for s, k in schedule.deal(size, n):
+                    first.append(at)
+                    at += k
+                    end.append(at)
+                    shard.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(shard, pa.int32())], ["first", "end", "shard"])
+
+    return run
+
+
+def places(df: DataFrame, group: list[str], order: list[str], into: str, name: str) -> DataFrame:
+    """df, materialised, with column `into`: its rows numbered from 0 without gaps within `group`, in `order`.
 
     The rows are range-sorted by (group, order) and written with a running number; a row's
     place is its number less its partition's first of that group, plus what earlier
     partitions hold. Only a count per (partition, group) is gathered."""
     n = shuffle_partitions(df.sparkSession)
-    df = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+    df = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
     df = materialise(df.withColumn("_n", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id()), name)
-    counts = df.groupBy("_p", group).agg(F.min("_n").alias("_first"), F.count("*").alias("_count"))
-    from pyspark.sql import Window
-
-    before = F.sum("_count").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_p", group, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    counts = df.groupBy("_p", *group).agg(F.min("_n").alias("_first"), F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_p", *group, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     # counts has at most a row per partition and group boundary: groups + partitions
-    return df.join(F.broadcast(counts), ["_p", group]).withColumn(into, F.col("_n") - F.col("_first") + F.col("_before")).drop("_n", "_p", "_first", "_before")
+    out = df.join(F.broadcast(counts), ["_p", *group]).withColumn(into, F.col("_n") - F.col("_first") + F.col("_before")).drop("_n", "_p", "_first", "_before")
+    out._scratch = df._scratch
+    return out
 
 
-def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD, max_classes: int = MAX_CLASSES) -> DataFrame:
+def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
     """A row per input row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null)."""
+    n = shuffle_partitions(df.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("digest"))
     rows = materialise(rows, "shard-rows")
-    groups = materialise(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
-    size = F.col("bytes")
-    classes = [(r.bytes, float(r.bytes), r["count"]) for r in groups.groupBy("bytes").count().orderBy(F.desc("bytes")).limit(max_classes + 1).collect()]
-    key = size
-    if len(classes) > max_classes:
-        exact = max_classes // 2
-        # the sizes below the exact ones: up to `top`, in at most max_classes - exact steps
-        top = classes[exact][0]
-        step = top // (max_classes - exact) + 1
-        key = F.when(size <= top, (F.floor(size / step) * step).cast("long")).otherwise(size)
-        light = groups.where(size <= top).groupBy(key.alias("class")).agg(F.avg("bytes").alias("weight"), F.count("*").alias("n")).collect()
-        classes = classes[:exact] + [(r["class"], r.weight, r.n) for r in light]
-    spark = df.sparkSession
-    plan = spark.createDataFrame(schedule(classes, shards) or [(0, 0, 0, 0)], "class long, first long, end long, shard int")
-    placed = places(groups.withColumn("class", key), "class", ["digest"], "place", "shard-places")
-    assigned = placed.join(F.broadcast(plan), "class").where("place >= first and place < end").select("digest", "shard")
-    rows = rows.join(assigned, "digest").select("doc_id", "size", "text_crc32", "shard")
-    out = places(rows, "shard", ["doc_id", "text_crc32"], "slot", "shard-slots")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")).withColumn("light", -F.col("bytes"))
+    groups = places(groups, [], ["light", "digest"], "place", "shard-groups")
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("groups")).repartition(1).sortWithinPartitions(F.desc("bytes"))
+    runs = materialise(histogram.mapInArrow(_runs(shards), "first long, end long, shard int"), "shard-runs")
+    blocks = runs.withColumn("block", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}"))))
+    placed = groups.select("digest", "copies", "place", F.expr(f"place div {BLOCK}").alias("block")).join(blocks.hint("shuffle_merge"), "block").where("place >= first and place < end")
+    assigned = materialise(placed.select("digest", "copies", "shard"), "shard-assigned")
+    # groups that hold over a share of all rows are at most 4 * n
+    hot = assigned.where(F.col("copies") > max(1000, rows.count() // (4 * n))).select("digest", "shard")
+    light = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(assigned.select("digest", "shard").hint("shuffle_merge"), "digest")
+    dealt = rows.join(F.broadcast(hot), "digest").unionByName(light).select("doc_id", "size", "text_crc32", "shard")
+    out = places(dealt, ["shard"], ["doc_id", "text_crc32"], "slot", "shard-slots")
+    discard(rows, groups, runs, assigned)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

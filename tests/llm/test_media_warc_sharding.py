@@ -89,20 +89,25 @@ def test_warc_files(spark, tmp_path):
         list(warc.read_file(io.BytesIO(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort")))
 
 
-@settings(max_examples=100, deadline=None)
+def plain_heap(sizes, shards):
+    """Loads of LPT by a heap of (load, shard), group by group."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 500), st.integers(1, 300)), max_size=8, unique_by=lambda x: x[0]), st.integers(1, 7))
-def test_schedule_is_as_even_as_a_plain_heap(classes, shards):
-    plan = sharding.schedule([(s, float(s), n) for s, n in classes], shards)
-    loads = [0] * shards
-    for key, a, b, s in plan:
-        loads[s] += key * (b - a)
-    for key, n in classes:
-        assert sorted(x for k, a, b, _ in plan if k == key for x in range(a, b)) == list(range(n))
-    heap = [0] * shards
-    for s, n in sorted(classes, reverse=True):
-        for _ in range(n):
-            heapq.heapreplace(heap, heap[0] + s)
-    assert sorted(loads) == sorted(heap)
+def test_schedule_equals_a_plain_heap(classes, shards):
+    schedule, loads = sharding.Schedule(shards), [0] * shards
+    for size, n in sorted(classes, reverse=True):
+        dealt = schedule.deal(size, n)
+        assert sum(k for _, k in dealt) == n
+        for s, k in dealt:
+            loads[s] += size * k
+    assert loads == plain_heap([size for size, n in classes for _ in range(n)], shards)
 
 
 def test_shard(spark):
@@ -119,17 +124,17 @@ def test_shard(spark):
     assert all(len(s) == 1 for s in where.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(docs(spark, rows).limit(0)).count() == 0
-    few = sharding.shard(docs(spark, rows), shards=5, max_classes=20).collect()
-    assert len(few) == len(rows) and {r.shard for r in few} == set(range(5))
 
 
-def test_shard_keeps_heavy_sizes_exact(spark):
-    rows = [(i, f"{i:04d}" + "x" * (i * 37 if i < 200 else 7000 + i * i)) for i in range(300)]
+def test_shard_with_many_sizes_equals_a_plain_heap(spark):
+    sizes = [*range(1, 5601), *[40] * 300, *[9000] * 3]
+    rows = [(i, f"{i:x}".ljust(n, "-")) for i, n in enumerate(sizes)]
+    copies = [(10_000 + i, "a hot text") for i in range(2500)]
     loads = defaultdict(int)
-    for r in sharding.shard(docs(spark, rows), shards=5, max_classes=200).collect():
+    for r in sharding.shard(docs(spark, rows + copies), shards=7).collect():
         loads[r.shard] += r.size
-    # a step of the light sizes' classes is 74 bytes wide; LPT over exact sizes comes within the smallest ones
-    assert max(loads.values()) - min(loads.values()) < 400
+    groups = [len(t) + 16 for _, t in rows] + [26 * 2500]
+    assert [loads[s] for s in range(7)] == plain_heap(groups, 7)
 
 
 def brute(text, items, width=10):
