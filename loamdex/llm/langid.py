@@ -5,8 +5,8 @@ vocabulary. A word's probability is the sum over all its segmentations
 into pieces, by the forward algorithm; a text's is the product over its
 words. Piece probabilities are fitted by expectation maximisation over
 word counts of a bounded sample of training documents (`SAMPLE_ROWS` per
-language, chosen by a hash of doc_id, and at most `FIT_WORDS` distinct
-words each); scoring covers every word of every text.
+language, chosen by a hash of doc_id; all their words count); scoring
+covers every word of every text.
 
 Words: runs of letters, lower-cased; longer ones are cut every
 `WORD_CUT` letters. A letter that is no piece has a small probability,
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._common import bounded_sample, held_out, slices, with_id
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_ROWS, FIT_WORDS, ROUNDS, WORD_CUT = 600, 12_000, 4, 30
+SAMPLE_ROWS, ROUNDS, WORD_CUT = 600, 4, 30
 UNKNOWN, FLOOR = 1e-7, 1e-9
 #: Words whose probabilities a worker keeps.
 CACHED = 250_000
@@ -109,33 +109,42 @@ def forward(lengths: np.ndarray, spans, weights: np.ndarray) -> np.ndarray:
     return alpha
 
 
+#: Words that one step of the fit works on.
+FIT_STEP = 8_192
+
+
+def _expect(n: np.ndarray, lengths: np.ndarray, spans, w: np.ndarray, expected: np.ndarray) -> None:
+    """Add each piece's expected uses in n copies of the words, over all segmentations."""
+    every = np.arange(len(lengths))
+    alpha = forward(lengths, spans, w)[:, :, 0]
+    beta = np.zeros_like(alpha)
+    beta[lengths, every] = 1
+    share = n / alpha[lengths, every]
+    at = len(spans)
+    for end in range(alpha.shape[0] - 1, 0, -1):
+        beta[end - 1] += beta[end] * UNKNOWN
+        while at and spans[at - 1][0] == end:
+            at -= 1
+            _, m, who, piece = spans[at]
+            back = beta[end, who] * w[piece, 0]
+            beta[end - m, who] += back
+            expected += np.bincount(piece, alpha[end - m, who] * back * share[who], len(expected))
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, the pieces that matter, and their probabilities (piece x language), from word counts by language."""
     languages = sorted(counts)
     lattice = Lattice(pieces)
     weights = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for k, language in enumerate(languages):
-        words = list(counts[language])
-        if not words:
-            continue
-        n = np.array([counts[language][w] for w in words], float)
-        lengths, spans = lattice.spans(words)
-        for _ in range(rounds):
-            w = weights[:, [k]]
-            alpha = forward(lengths, spans, w)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[lengths, np.arange(len(words))] = 1
-            total = alpha[lengths, np.arange(len(words))]
-            expected = np.zeros(len(pieces))
-            by_end: dict[int, list] = {}
-            for s in spans:
-                by_end.setdefault(s[0], []).append(s)
-            for end in range(alpha.shape[0] - 1, 0, -1):
-                beta[end - 1] += beta[end] * UNKNOWN
-                for _, m, who, piece in by_end.get(end, ()):
-                    beta[end - m, who] += beta[end, who] * w[piece, 0]
-                    expected += np.bincount(piece, alpha[end - m, who] * w[piece, 0] * beta[end, who] / total[who] * n[who], len(pieces))
-            weights[:, k] = (expected + 1e-3) / (expected + 1e-3).sum()
+        words = sorted(counts[language], key=len)
+        # by length, so that words of a chunk take positions alike
+        chunks = [(np.array([counts[language][w] for w in part], float), *lattice.spans(part)) for i in range(0, len(words), FIT_STEP) for part in [words[i : i + FIT_STEP]]]
+        for _ in range(rounds if words else 0):
+            expected = np.full(len(pieces), 1e-3)
+            for n, lengths, spans in chunks:
+                _expect(n, lengths, spans, weights[:, [k]], expected)
+            weights[:, k] = expected / expected.sum()
     used = np.flatnonzero(weights.max(axis=1) > FLOOR * 100)
     return languages, [pieces[i] for i in used], weights[used]
 
@@ -181,16 +190,15 @@ class Scorer:
         return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, fit_words: int = FIT_WORDS, path: str | None = None) -> tuple[list[str], list[str], np.ndarray]:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS, path: str | None = None) -> tuple[list[str], list[str], np.ndarray]:
     """Fit on a bounded sample of rows with a language; df needs doc_id."""
     df = df.select("doc_id", F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     some = bounded_sample(df, rows, "lang")
     runs = "regexp_extract_all(lower(text), '\\\\p{L}+', 0)"
     cut = f"flatten(transform({runs}, w -> transform(sequence(0, (length(w) - 1) div {WORD_CUT}), i -> substring(w, int(i * {WORD_CUT} + 1), {WORD_CUT}))))"
     counted = some.select("lang", F.explode(F.expr(cut)).alias("word")).groupBy("lang", "word").count()
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= fit_words)
     counts: dict[str, dict[str, int]] = {}
-    for r in top.collect():
+    for r in counted.collect():  # the words of a bounded sample
         counts.setdefault(r.lang, {})[r.word] = r["count"]
     return fit(counts, vocabulary_pieces(path)) if counts else ([], [], np.zeros((0, 0)))
 

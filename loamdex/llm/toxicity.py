@@ -13,8 +13,10 @@ rather than abuse. A logistic regression on the abuse weight (piecewise),
 the quoted weight and the hits per hundred words gives the score.
 
 Learning uses a bounded sample: about `SAMPLE_ROWS` labelled rows per
-label, chosen by a hash of doc_id, never a held-out one. The score uses
-the text alone, all of it.
+label, chosen by a hash of doc_id, never a held-out one; of their words
+all that tell are learned, short, long or many. Stems and misspellings
+need a few letters (`STEM`, `FUZZY`), or nearly every word would be one. The
+score uses the text alone, all of it.
 
 Defined results: null and empty texts have no hits and get the score of a
 document without any; rows without a label are scored alike; a label of
@@ -37,8 +39,8 @@ from ._common import bounded_sample, held_out, slices, with_id
 SAMPLE_ROWS, THRESHOLD, WINDOW = 2_500, 0.7, 8
 #: A stem has at least so many letters; a word or stem may be misspelt from so many letters on.
 STEM, FUZZY = 4, 5
-#: Most entries of a lexicon; words that a worker keeps as known to be clean, and as hits, before it forgets them and looks them up again.
-ENTRIES, CLEAN = 4_096, 300_000
+#: Words that a worker keeps as known to be clean, and as hits, before it forgets them and looks them up again.
+CLEAN = 300_000
 _PARTS = re.compile(r"[\w@$*!'’+]+")
 _EDGES = "@$*!'’+_"
 # Marks of quotation and words of reporting.
@@ -203,7 +205,7 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int, share: float = 0.015,
     # a word counts once per word before it, so that copies of one passage count once, whatever their number
     found = F.expr("regexp_extract_all(lower(text), '\\\\p{L}+', 0)")
     pairs = rows.select("toxic", found.alias("w")).withColumn("b", F.expr("concat(array(''), w)")).select("toxic", F.explode(F.arrays_zip("w", "b")).alias("x"))
-    pairs = pairs.select("toxic", F.col("x.w").alias("w"), F.xxhash64("x.b").alias("before")).where(f"length(w) between {STEM} and 40").distinct()
+    pairs = pairs.select("toxic", F.col("x.w").alias("w"), F.xxhash64("x.b").alias("before")).distinct()
     keys = F.array_distinct(F.transform(F.sequence(F.lit(STEM), F.lit(8)), lambda n: F.left(F.col("w"), n)))
     docs = pairs.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     least = max(5, int(toxic * share))
@@ -215,10 +217,10 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int, share: float = 0.015,
         odds = (min(t, toxic) + 1) / (toxic + 2) / ((min(c, clean) + 1) / (clean + 2))
         return min(1.0, max(0.1, math.log(odds) / 4))
 
-    found = {r.w: weight(r.t, r.c) for r in docs.where(telling(F.col("t"), F.col("c"))).orderBy(F.desc("t"), "w").limit(ENTRIES).collect()}
-    heads = docs.withColumn("p", F.explode(keys)).groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("t").alias("one"), F.count("*").alias("words"))
+    found = {r.w: weight(r.t, r.c) for r in docs.where(telling(F.col("t"), F.col("c"))).orderBy(F.desc("t"), "w").collect()}
+    heads = docs.where(F.length("w") >= STEM).withColumn("p", F.explode(keys)).groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("t").alias("one"), F.count("*").alias("words"))
     heads = heads.where(telling(F.col("t"), F.col("c")) & (F.col("t") >= 4 * least) & (F.col("t") >= 1.5 * F.col("one")) & (F.col("words") >= 5))
-    heads = {r.p: (r.t, r.c) for r in heads.orderBy(F.desc("t"), "p").limit(ENTRIES).collect()}
+    heads = {r.p: (r.t, r.c) for r in heads.orderBy(F.desc("t"), "p").collect()}
     stems = []
     for p in sorted(heads, key=lambda p: (len(p), p)):
         if any(p.startswith(s) for s in stems):
@@ -256,7 +258,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col:
         return None
     words, stems = learn_lexicon(sample, n[1], n[0])
     counted = sample.mapInArrow(_near_words(words, stems), "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    benign = [r.word for r in counted.where("c > 0").orderBy(F.desc("c"), "word").limit(ENTRIES).collect()]
+    benign = [r.word for r in counted.where("c > 0").orderBy(F.desc("c"), "word").collect()]
     x = sample.mapInArrow(_features(words, stems, benign), "x array<double>, toxic int").collect()
     y = np.array([r.toxic for r in x], float)
     fitted = logistic(np.array([r.x for r in x]), y)
