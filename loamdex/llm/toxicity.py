@@ -231,15 +231,16 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int, share: float = 0.015,
     return {w: x for w, x in found.items() if not any(w.startswith(s) for s in stems)}, {p: weight(*heads[p]) for p in stems}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression, the intercept last, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 25, count: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression, the intercept last, by Newton's method. count: how often each row counts."""
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
-    scale = len(y) / 100
+    count = np.ones(len(y)) if count is None else count
+    scale = count.sum() / 100
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         keep = np.append(np.full(x.shape[1] - 1, ridge * scale), 1e-3)
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        w -= np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (count * (p - y)) + keep * w)
     return w
 
 
