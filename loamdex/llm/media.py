@@ -4,8 +4,10 @@
 and parses ID3v2, APE-less ID3v1 and Xing/Info/VBRI headers, finds frame
 headers (again after damage: a header counts only if another of the same
 stream, a tag or the end follows where it says), checks the checksums of
-protected layer III frames, and returns exact durations and the byte
-offsets of frames for seeking.
+protected frames of all layers, and returns exact durations and the byte
+offset of every frame for seeking (or of every `seek_every`-th).
+Free-format frames, whose headers don't give their length, are skipped as
+damage. A table that does not lie within its frame counts as none.
 
 `encode_audio` stores bytes losslessly as a layer III stream: each frame
 of 576 samples (MPEG-2, 16 kHz, mono, 144 kbit/s, protected) has a silent
@@ -13,8 +15,10 @@ granule of length 0, so that its whole main data is ancillary data, and
 576 bytes of payload there. The unit of the format is thus 576 bytes.
 Decoders play silence; `decode` returns the payload.
 
+The query stores the streams in the shared folder and reads that table back.
+
 Defined results: null text is empty; an empty text has one frame of
-padding; repeated rows give repeated rows; an empty table gives an empty
+padding; a stream without a (valid) `n_bytes` tag gives null for it; repeated rows give repeated rows; an empty table gives an empty
 table; other columns are ignored. Damaged media give what frames remain,
 with the number of failed checksums and bytes skipped.
 """
@@ -30,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import as_bytes, slices, with_id
+from ._common import as_bytes, materialise, slices, with_id
 
 # Fixed values of the MPEG audio standards: kbit/s by (MPEG-1?, layer), Hz by version.
 BITRATES = {
@@ -49,7 +53,7 @@ _PROTECTED, _PLAIN = b"\xff\xf2\xd8\xc4", b"\xff\xf3\xd8\xc4"
 _SIDE = 9
 _FRAME = 648
 #: A seek point at every so many frames.
-SEEK_EVERY = 8
+SEEK_EVERY = 1
 
 
 def crc16(data: bytes, value: int = 0xFFFF) -> int:
@@ -104,31 +108,83 @@ def _id3v2(data: bytes, at: int, size: int) -> dict[str, str]:
 
 
 def _vbr(data: bytes, at: int, h: dict) -> dict | None:
-    """The Xing, Info or VBRI table of a first frame."""
-    for p in (at + 4 + h["side"], at + 6 + h["side"]):
-        kind = data[p : p + 4]
-        if kind in (b"Xing", b"Info"):
-            flags, p, out = struct.unpack(">I", data[p + 4 : p + 8])[0], p + 8, {"kind": kind.decode()}
+    """The Xing, Info or VBRI table of a first frame, if it lies within the frame."""
+    frame = data[at : at + h["length"]]
+    for p in (4 + h["side"], 6 + h["side"]):
+        kind = frame[p : p + 4]
+        if kind in (b"Xing", b"Info") and len(frame) >= p + 8:
+            flags, p, out = struct.unpack_from(">I", frame, p + 4)[0], p + 8, {"kind": kind.decode()}
+            if len(frame) < p + 4 * (flags & 1) + 2 * (flags & 2) + 25 * (flags & 4):
+                return None
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
-                    out[name], p = struct.unpack(">I", data[p : p + 4])[0], p + 4
+                    out[name], p = struct.unpack_from(">I", frame, p)[0], p + 4
             if flags & 4:
-                out["toc"] = list(data[p : p + 100])
+                out["toc"] = list(frame[p : p + 100])
             return out
-    if data[at + 36 : at + 40] == b"VBRI":
-        size, frames, entries, scale, width = struct.unpack(">IIHHH", data[at + 46 : at + 60])
-        toc = [int.from_bytes(data[at + 62 + i * width : at + 62 + (i + 1) * width], "big") * scale for i in range(entries)]
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width = struct.unpack_from(">IIHHH", frame, 46)
+        if len(frame) >= 62 + entries * width:
+            toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries)]
+            return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc}
     return None
 
 
+# Fixed values of the standard: bits of a layer II allocation, by runs of subbands, in each of its tables.
+ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def _allocation(h: dict) -> list[int]:
+    """Bits of each subband's allocation in a layer II frame."""
+    if h["version"] != 3:
+        return ALLOCATION["lsf"]
+    each = h["kbit"] if h["mono"] else h["kbit"] // 2
+    if each <= 48:
+        return ALLOCATION["d" if h["hz"] == 32000 else "c"]
+    return ALLOCATION["a" if h["hz"] == 48000 or each <= 80 else "b"]
+
+
+def _protected_bits(frame: bytes, h: dict) -> int:
+    """Bits after the checksum that it covers: side information; in layers I and II the allocation, in II the scale factor selection too."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    bounds = 32 if frame[3] >> 6 != 1 else 4 + 4 * (frame[3] >> 4 & 3)  # joint stereo shares the allocation from a bound on
+    channels = 1 if h["mono"] else 2
+    if h["layer"] == 1:
+        return 4 * (channels * bounds + 32 - bounds) if channels == 2 else 128
+    at = 48
+    value, size = int.from_bytes(frame[:70], "big"), 8 * len(frame[:70])
+    used = 0
+    for band, width in enumerate(_allocation(h)):
+        for _ in range(channels if band < bounds else 1):
+            own = value >> max(0, size - at - width) & (1 << width) - 1
+            used += bool(own) * (1 if band < bounds else channels)
+            at += width
+    return at - 48 + 2 * used
+
+
+def crc_ok(frame: bytes, h: dict) -> bool:
+    """Whether the checksum of a protected frame is right."""
+    bits = _protected_bits(frame, h)
+    whole, rest = divmod(bits, 8)
+    if len(frame) < 6 + whole + (rest > 0):
+        return False
+    value = crc16(frame[2:4] + frame[6 : 6 + whole])
+    if rest:
+        last = frame[6 + whole]
+        for i in range(rest):
+            value ^= (last >> 7 - i & 1) << 15
+            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+    return value == frame[4] << 8 | frame[5]
+
+
 def probe(data: bytes, seek_every: int = SEEK_EVERY) -> dict:
     """What a stream holds; `frames` has (offset, length) of its audio frames, without a table frame."""
     tags, at, end, vbr = {}, 0, len(data), None
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    frames, skipped, samples, good, bad, unchecked, first = [], 0, 0, 0, 0, 0, None
+    frames, skipped, samples, good, bad, first = [], 0, 0, 0, 0, None
     known: dict[bytes, dict | None] = {}
     checked: dict[bytes, bool] = {}
     while at + 4 <= end:
@@ -156,14 +212,16 @@ def probe(data: bytes, seek_every: int = SEEK_EVERY) -> dict:
                 at += h["length"]
                 continue
         if h["protected"]:
-            if h["layer"] == 3:
-                part = data[at + 2 : at + 6 + h["side"]]
+            if h["layer"] == 3:  # the streams of encode() repeat one checksum
+                part = data[at : at + 6 + h["side"]]
                 ok = checked.get(part)
                 if ok is None:
-                    ok = checked[part] = crc16(part[:2] + part[4:]) == part[2] << 8 | part[3]
-                good, bad = good + ok, bad + (not ok)
+                    if len(checked) > 1000:
+                        checked.clear()
+                    ok = checked[part] = crc_ok(part, h)
             else:
-                unchecked += 1
+                ok = crc_ok(data[at : at + min(h["length"], 80)], h)
+            good, bad = good + ok, bad + (not ok)
         frames.append((at, h["length"]))
         samples += h["samples"]
         at += h["length"]
@@ -172,7 +230,7 @@ def probe(data: bytes, seek_every: int = SEEK_EVERY) -> dict:
     return {
         "tags": tags, "vbr": vbr, "frames": frames, "samples": samples, "hz": hz, "duration_us": samples * 1_000_000 // hz if hz else 0,
         "version": VERSION_NAMES[first["version"]] if first else "", "layer": first["layer"] if first else 0, "mono": bool(first and first["mono"]),
-        "crc_good": good, "crc_bad": bad, "crc_unchecked": unchecked, "skipped": skipped, "seek": [f[0] for f in frames[::seek_every]],
+        "crc_good": good, "crc_bad": bad, "skipped": skipped, "seek": [f[0] for f in frames[::seek_every]],
     }
 
 
@@ -201,10 +259,11 @@ def encode(raw: bytes) -> bytes:
 
 
 def decode(data: bytes, found: dict) -> tuple[bytes, int | None]:
-    """The padded payload of a stream by encode(), and the bytes before padding; found: probe() of it."""
+    """The padded payload of a stream by encode(), and the bytes before padding (None if no tag tells); found: probe() of it."""
     at = 6 + _SIDE
     raw = b"".join([data[p + at : p + at + UNIT] for p, n in found["frames"] if n == _FRAME])
-    return raw, int(found["tags"]["n_bytes"]) if "n_bytes" in found["tags"] else None
+    told = found["tags"].get("n_bytes", "")
+    return raw, int(told) if told.isascii() and told.isdigit() and int(told) <= len(raw) else None
 
 
 def encode_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,6 +279,11 @@ def encode_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.mapInArrow(write, with_id(df, "media binary"))
 
 
+def stored_audio(df: DataFrame, **columns: str) -> DataFrame:
+    """encode_audio(), written to the shared folder as a table of media and read back."""
+    return materialise(encode_audio(df, **columns), "media")
+
+
 _FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, frames int, crc_bad int, seek_offsets array<long>"
 
 

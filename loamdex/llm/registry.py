@@ -34,9 +34,9 @@ def _op9(spark, sf_dir):
 
 @query("op4_mpeg_audio")
 def _op4(spark, sf_dir):
-    from .media import audio_features, encode_audio
+    from .media import audio_features, stored_audio
 
-    return audio_features(encode_audio(table(spark, sf_dir, "documents")))
+    return audio_features(stored_audio(table(spark, sf_dir, "documents")))
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

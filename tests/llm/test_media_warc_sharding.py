@@ -44,8 +44,62 @@ def test_audio_headers_of_other_layers():
     assert media.header(bytes([0xFF, 0xEB, 0x90, 0x00])) is None
 
 
+def protect(frame, bits):
+    """The frame with its checksum over the header's last two bytes and so many bits."""
+    value = 0xFFFF
+    for i in [*range(16, 32), *range(48, 48 + bits)]:
+        top = value >> 15 ^ frame[i // 8] >> 7 - i % 8 & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return frame[:4] + bytes([value >> 8, value & 255]) + frame[6:]
+
+
+@pytest.mark.parametrize(
+    "head, body, bits",
+    [
+        ("FFFEB400", b"", 256),  # layer I, stereo
+        ("FFFEB4C0", b"", 128),  # mono
+        ("FFFEB460", b"", 4 * (2 * 12 + 20)),  # joint stereo, bound 12
+        ("FFFC84C0", b"\xff" * 26, 11 * 4 + 12 * 3 + 4 * 2 + 27 * 2),  # layer II, 160 kbit/s mono at 48 kHz: 27 subbands, all in use
+        ("FFFC84C0", b"\x00" * 26, 11 * 4 + 12 * 3 + 4 * 2),  # none in use
+        ("FFFC18C0", b"\xff" * 26, 2 * 4 + 10 * 3 + 12 * 2),  # 32 kbit/s mono at 32 kHz: 12 subbands
+        ("FFFCA000", b"\xff" * 60, 2 * (11 * 4 + 12 * 3 + 7 * 2) + 60 * 2),  # 224 kbit/s stereo at 44.1 kHz: 30 subbands
+        ("FFF48400", b"\xff" * 60, 2 * (4 * 4 + 7 * 3 + 19 * 2) + 60 * 2),  # MPEG-2
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, body, bits):
+    head = bytes.fromhex(head)
+    h = media.header(head)
+    frame = protect((head + b"\0\0" + body).ljust(h["length"], b"\xa5" if not body else b"\x5a"), bits)
+    assert len(frame) == h["length"] and media.crc_ok(frame, h)
+    found = media.probe(frame * 3)
+    assert (found["crc_good"], found["crc_bad"], len(found["frames"]), found["layer"]) == (3, 0, 3, h["layer"])
+    damaged = bytearray(frame * 3)
+    damaged[6 + (bits - 1) // 8] ^= 0x80 >> (bits - 1) % 8
+    assert media.probe(bytes(damaged))["crc_bad"] >= 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=40), st.sampled_from([bytes.fromhex(x) for x in ("FFF2D8C4", "FFFB9000", "FFFF1400", "FFFC84C0", "FFF30800", "494433030000")] + [b"Xing", b"Info", b"VBRI", b"TAG", b"TXXX", b"\0" * 9, b"\0" * 32, b"\xff" * 8])), max_size=12))
+def test_probe_never_raises(parts):
+    data = b"".join(parts)
+    found = media.probe(data)
+    media.decode(data, found)
+    assert sum(n for _, n in found["frames"]) <= len(data)
+
+
+def test_tables_and_tags_cut_short(spark):
+    streams = [bytes.fromhex("FFF308C4") + b"\0" * 9 + b"Xing" + b"\0" * 7, bytes.fromhex("FFF318C4").ljust(36, b"\0") + b"VBRI" + b"\xff" * 8]
+    text = b"\0n_bytes\0many"
+    tag = b"TXXX" + len(text).to_bytes(4, "big") + b"\0\0" + text
+    streams += [b"ID3\x03\0\0" + bytes([0, 0, 0, len(tag)]) + tag, b"ID3", b"", None]
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(streams)], "doc_id long, media binary")
+    got = media.audio_features(rows).collect()
+    assert len(got) == len(streams) and {r.n_bytes for r in got} == {None}
+
+
 def test_audio_query(spark):
-    rows = media.audio_features(media.encode_audio(docs(spark, AWKWARD))).collect()
+    rows = media.audio_features(media.stored_audio(docs(spark, AWKWARD))).collect()
+    assert media.audio_features(media.stored_audio(docs(spark, AWKWARD).limit(0))).count() == 0
     want = defaultdict(list)
     for i, t in AWKWARD:
         raw = (t or "").encode()
