@@ -13,8 +13,13 @@ longer ones are dealt by record and sorted by chunk_no.
 
 Deduplication: of equal payloads of at least `min_revisit` bytes, the row
 with the smallest page_id is a response, the others revisit it. Payloads
-are compared by their SHA-256; only digests that occur twice are joined
-back, so payloads are not shuffled as long as those are few.
+are compared by their SHA-256. Digests that occur twice are broadcast, up
+to `BROADCAST_DIGESTS` of them, so no payload is shuffled and copies stay
+where they lie. Beyond that, the digests of many copies, whose number is
+bounded, are still broadcast, and pages are dealt by digest for the rest.
+
+After reading, every revisit is held against its response: they must have
+one digest and one length.
 
 Defined results: a null payload is empty; a null url leaves the target
 header out; rows that repeat the smallest page_id with the same payload
@@ -32,9 +37,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import materialise, shuffle_partitions, slices
+from ._common import discard, materialise, shuffle_partitions, slices
 
 CHUNK_BYTES, MIN_REVISIT = 1 << 18, 100
+#: Repeated digests are broadcast up to so many (about 100 bytes each).
+BROADCAST_DIGESTS = 500_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 _TABLE = "record long, chunk_no int, last boolean, data binary, payload_sha256 string"
@@ -57,20 +64,27 @@ def _head(page_id, url: str | None, size: int, digest: str, refers_to) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def record_types(pages: DataFrame, id_col: str, payload: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def record_types(pages: DataFrame, id_col: str, payload: str, min_revisit: int = MIN_REVISIT, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """pages with payload (binary), digest and refers_to."""
     df = pages.withColumn("payload", F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary")))
     df = df.withColumn("digest", F.sha2("payload", 256))
     seen = df.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min(id_col).alias("kept"), F.count("*").alias("copies"))
-    seen = materialise(seen.where("copies > 1").select("digest", "kept"), "repeated-payloads")
-    out = df.join(seen, "digest", "left")
+    seen = materialise(seen.where("copies > 1"), "repeated-payloads")
+    if seen.count() <= broadcast:
+        out = df.join(F.broadcast(seen.drop("copies")), "digest", "left")
+    else:
+        # digests of over a share of all copies: at most 4 a partition
+        share = seen.agg(F.sum("copies")).first()[0] // (4 * shuffle_partitions(df.sparkSession))
+        hot = seen.where(F.col("copies") > share).drop("copies")
+        rest = seen.where(F.col("copies") <= share).drop("copies").hint("shuffle_merge")
+        out = df.join(F.broadcast(hot), "digest").unionByName(df.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rest, "digest", "left"))
     return out.withColumn("refers_to", F.when(F.col(id_col).eqNullSafe(F.col("kept")), None).otherwise(F.col("kept"))).drop("kept")
 
 
-def write_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES, min_revisit: int = MIN_REVISIT, broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """The chunked record table; record numbers are unique within it."""
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
-    df = record_types(df, "page_id", "html", min_revisit).select("page_id", "url", "payload", "digest", "refers_to")
+    df = record_types(df, "page_id", "html", min_revisit, broadcast).select("page_id", "url", "payload", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -181,10 +195,22 @@ def read_records(records: DataFrame, id_type: str = "long") -> DataFrame:
     return both.select(F.col("page_id").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
+def mismatched(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) of revisits without a response of that digest and length."""
+    told = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return told.join(held, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def archive(pages: DataFrame, **options) -> DataFrame:
-    """Write the archives to the shared folder and read them back."""
+    """Write the archives to the shared folder, read them back and hold revisits against their responses."""
     kind = pages.schema[options.get("id_col", "page_id")].dataType.simpleString()
-    return read_records(materialise(write_records(pages, **options), "warc"), kind)
+    written = materialise(write_records(pages, **options), "warc")
+    records = materialise(read_records(written, kind), "warc-records")
+    discard(written)
+    if wrong := mismatched(records).limit(3).collect():
+        raise ValueError(f"revisits without their response: {wrong}")
+    return records
 
 
 def export(rows, path: str) -> int:

@@ -5,10 +5,11 @@ import io
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from loamdex.llm import media, sharding, warc
+from loamdex.llm import decontaminate as decontaminate_module, media, sharding, warc
 from loamdex.llm.decontaminate import contamination, decontaminate, words_of
 from loamdex.llm.registry import OP5_SQL
 
@@ -118,8 +119,9 @@ def pages(spark, rows):
 PAGES = [(5, "http://a/", "x" * 100), (3, "http://b/ c", "x" * 100), (4, None, "x" * 99), (1, "u", "x" * 99), (2, "v", None), (6, "w", ""), (7, "é", "é\r\n\r\n" * 40_000), (8, "z", "é\r\n\r\n" * 40_000), (3, "again", "x" * 100)]
 
 
-def test_warc_round_trip(spark):
-    got = sorted(tuple(r) for r in warc.archive(pages(spark, PAGES), chunk_bytes=1000).collect())
+@pytest.mark.parametrize("broadcast", [10, 1])
+def test_warc_round_trip(spark, broadcast):
+    got = sorted(tuple(r) for r in warc.archive(pages(spark, PAGES), chunk_bytes=1000, broadcast=broadcast).collect())
     want = []
     for i, _, h in PAGES:
         raw = (h or "").encode()
@@ -130,6 +132,12 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages(spark, PAGES).limit(0)).count() == 0
 
 
+def test_revisits_are_held_against_their_responses(spark):
+    rows = [(1, 200, "d", "response", None), (2, 200, "d", "revisit", 1), (3, 200, "e", "revisit", 1), (4, 7, "d", "revisit", 1), (5, 200, "d", "revisit", 2)]
+    records = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert sorted(map(tuple, warc.mismatched(records).collect())) == [(1, "d", 7), (1, "e", 200), (2, "d", 200)]
+
+
 def test_warc_files(spark, tmp_path):
     rows = warc.write_records(pages(spark, PAGES), chunk_bytes=700).orderBy("record", "chunk_no").collect()
     assert max(len(r.data) for r in rows) < 2000
@@ -223,6 +231,30 @@ def test_decontamination_against_brute_force(spark):
     assert contamination(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_long_items_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate_module, "PIECE", 7)
+    long = " ".join(f"w{i}" for i in range(40))
+    bench = [(1, long), (2, "w3 w4"), (3, long + " tail")]
+    rows = [(1, long), (2, " ".join(f"w{i}" for i in range(4, 17))), (3, "w5 w6 w7"), (4, "x w3 w4 y w3"), (5, "w38 w39")]
+    want = [(i, *brute(t, bench)) for i, t in rows]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    df = docs(spark, rows).withColumnsRenamed({"lang": "spans", "source": "row", "n_tokens": "contaminated", "shard": "items"})
+    for block in (1 << 20, 60):
+        assert sorted(tuple(r) for r in contamination(df, items, block_bytes=block).drop("spans").collect()) == want
+        kept = decontaminate(df, items, remove="spans", block_bytes=block)
+        assert kept.columns == df.columns and {r.doc_id: r.text for r in kept.collect()} == {1: "", 2: "", 3: "w5 w6 w7", 4: "x  y w3", 5: "w38 w39"}
+
+
+def test_a_block_is_compact():
+    import pickle
+
+    rng = np.random.default_rng(1)
+    words = np.array([b"".join([b"w", str(i).encode()]) for i in range(20_000)], object)
+    items = [(str(i), b" ".join(rng.choice(words, 300))) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate_module.Windows(items), protocol=5)) < 5 * size
+
+
 def test_benchmark_items_without_an_id(spark):
     bench = spark.createDataFrame([(None, "red green blue"), (None, "zinc iron"), (7, "green blue"), (8, "tin")], "item_id long, text string")
     rows = [(1, "a red green blue b"), (2, "zinc iron, red green blue"), (3, "tin"), (4, "none")]
