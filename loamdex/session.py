@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MARKED: set[str] = set()
+_OPEN = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +61,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for scope in getattr(_OPEN, "scopes", [])[-1:]:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised within are deleted at the end, but for those given to the function it yields."""
+    _OPEN.scopes = [*getattr(_OPEN, "scopes", []), []]
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        *_OPEN.scopes, scope = _OPEN.scopes
+        paths = {df._scratch for df in kept}
+        discard(*(df for df in scope if df._scratch not in paths))
+        for outer in _OPEN.scopes[-1:]:  # what is kept belongs to the scope around this one
+            outer.extend(df for df in scope if df._scratch in paths)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no plan still to be run reads."""
     for df in tables:
