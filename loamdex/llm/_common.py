@@ -9,7 +9,7 @@ from operator import or_
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loamdex.session import discard, materialise, scratch_dir, shuffle_partitions, table  # noqa: F401
+from loamdex.session import discard, materialise, scratch_dir, shuffle_partitions, table, temporary  # noqa: F401
 
 #: Bytes of text that a worker holds as Python objects at a time.
 SLICE_BYTES = 2_000_000

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from ._common import SLICE_BYTES, as_bytes, materialise, shuffle_partitions, slices
+from ._common import SLICE_BYTES, as_bytes, materialise, shuffle_partitions, slices, temporary
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -509,14 +509,20 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         return _by_rows(df, id_col, text_col, words=words, percent=percent, short=short, salts=salts)
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for salt in range(salts):
-        out = _join(df, words, percent, short, salt)
-        if out is not None:
-            return out
+        with temporary() as keep:
+            out = _join(df, words, percent, short, salt)
+            if out is not None:
+                return keep(materialise(out, "jaccard-components"))
     raise RuntimeError("no salt gave every set an allocation and every set a name of its own")
 
 
 def _by_rows(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """similar() for ids that are no integers: rows are numbered, and a component's smallest id is found afterwards."""
+    with temporary() as keep:
+        return keep(materialise(_named(df, id_col, text_col, options), "jaccard-components"))
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
     rows = materialise(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "jaccard-rows")
     found = similar(rows, "row", "text", **options).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row")
     found = materialise(found, "jaccard-named")

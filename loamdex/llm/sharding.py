@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import discard, materialise, shuffle_partitions
+from ._common import materialise, shuffle_partitions, temporary
 
 SHARDS, OVERHEAD = 40, 16
 #: Places of one block of the join of groups and runs.
@@ -115,6 +115,14 @@ def places(df: DataFrame, group: list[str], order: list[str], into: str, name: s
 
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
     """A row per input row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null)."""
+    with temporary() as keep:
+        out = places(_dealt(df, id_col, text_col, shards, overhead), ["shard"], ["doc_id", "text_crc32"], "slot", "shard-slots")
+        keep(out)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _dealt(df: DataFrame, id_col: str, text_col: str, shards: int, overhead: int) -> DataFrame:
+    """doc_id, size, text_crc32, shard."""
     n = shuffle_partitions(df.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("digest"))
@@ -129,7 +137,4 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     # groups that hold over a share of all rows are at most 4 * n
     hot = assigned.where(F.col("copies") > max(1000, rows.count() // (4 * n))).select("digest", "shard")
     light = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(assigned.select("digest", "shard").hint("shuffle_merge"), "digest")
-    dealt = rows.join(F.broadcast(hot), "digest").unionByName(light).select("doc_id", "size", "text_crc32", "shard")
-    out = places(dealt, ["shard"], ["doc_id", "text_crc32"], "slot", "shard-slots")
-    discard(rows, groups, runs, assigned)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.join(F.broadcast(hot), "digest").unionByName(light).select("doc_id", "size", "text_crc32", "shard")
