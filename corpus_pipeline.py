@@ -2,34 +2,45 @@
 
 Each stage takes what its predecessor kept and, but for the last, returns
 the columns of documents. run() writes each stage's rows to the shared
-folder and reads them again."""
+folder and reads them again; a stage's own scratch tables go when it ends.
+
+Defined results of all stages: an empty table gives an empty one; columns
+beyond doc_id and text are carried along untouched, whatever they are
+called; repeated rows are judged alike, and each stays or goes as its
+stage says; a null doc_id is nobody's twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamdex.llm import decontaminate, jaccard, langid, packing, toxicity
-from loamdex.session import materialise, table
+from loamdex.session import discard, materialise, table, temporary
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of score >= 0.7; learns from the labelled ones that are not held out."""
+    """Rejects documents of score >= 0.7; learns from the labelled ones that are not held out.
+
+    Null and empty texts have no hits and stay. Without labelled rows of both kinds nothing is rejected."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     judged = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
     return judged.where("predicted = 0").select("doc_id.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no known language: null texts and those without letters."""
+    """Rejects documents in no known language: null texts and those without letters (empty ones among them).
+
+    Learns from rows with a language that are not held out; without any, all texts are in no known language and go. Ties go to the
+    language first by name, and reject nothing."""
     training = docs.where(~langid.held_out(F.col("doc_id")))
     judged = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), training, "row")
     return judged.where("lang_pred <> 'und'").select("doc_id.*")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of the smallest doc_id; without shingles or an id, all.
+    """Keeps of each group of near-duplicates the document of the smallest doc_id; without shingles (null and empty texts) or an id, all.
 
-    Rows that share an id are one document only where their texts are near-duplicates too."""
+    Rows that share an id are one document only where their texts are near-duplicates too; of repeated rows, and of such rows of the
+    smallest id, one stays (which is not defined where the texts differ)."""
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if twice.limit(1).count():
         return _duplicates_by_name(docs)
@@ -58,12 +69,12 @@ def _duplicates_by_name(docs: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of the benchmark."""
+    """Rejects documents that hold a window of the benchmark. Null and empty texts hold none and stay; an empty benchmark rejects nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens."""
+    """Packs what is left into sequences of 4096 tokens: a row per piece. A null or empty text is one piece, its closing id; repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -82,5 +93,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary() as keep:
+            after = keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if hasattr(docs, "_scratch"):
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
