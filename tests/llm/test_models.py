@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamdex.llm import _common, langid, toxicity
+from loamdex.llm import _common, decontaminate, langid, toxicity
 from loamdex.session import table
 
 from .util import AWKWARD, docs
@@ -140,6 +140,59 @@ def test_pipeline(spark):
     assert sorted(str(r.doc_id) for r in unique.collect()) == sorted(map(str, [1, 2, 3, 4, None, 6, 7, 8, 9, 70]))
 
 
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    d = docs(spark, [*AWKWARD, (80, "x" * 3), (None, "no id")]).withColumn("spans", F.lit("clash")).withColumn("row", F.lit("clash")).withColumn("component_id", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, None)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "one two three"), (2, None), (None, "")], "item_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"toxicity": 13, "language ID": 10, "n-gram Jaccard join": 11, "benchmark decontamination": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, d, str(tmp_path)), stage(spark, d.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        if name in want:
+            assert got.columns == none.columns == d.columns and got.count() == want[name], name
+            assert got.exceptAll(d).count() == 0
+    assert got.select("doc_id", "piece").count() >= 13
+
+
+def test_pipeline_by_brute_force(spark):
+    """run() against its stages' rules applied row by row; scores and predictions are those of the fitted models."""
+    d = table(spark, SF, "documents")
+    rows = {r.doc_id: r.text for r in d.collect()}
+    toxic = {r.doc_id for r in toxicity.score(d, toxicity.train(d, table(spark, SF, "labels"))).where("score >= 0.7").collect()}
+    kept = {i: t for i, t in rows.items() if i not in toxic and any(c.isalpha() for c in t or "")}
+    sets = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()})(t.lower().split()) for i, t in kept.items()}
+    label = {i: i for i in kept}
+
+    def find(i):
+        return i if label[i] == i else find(label[i])
+
+    for i, j in itertools.combinations(sorted(kept), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            label[b] = a
+    kept = {i: t for i, t in kept.items() if find(i) == i}
+    bench = [decontaminate.words_of(r.text.encode()) for r in table(spark, SF, "benchmark").collect() if r.text]
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in bench if w for k in range(len(w) - min(10, len(w)) + 1)}
+    lengths = {len(w) for w in windows}
+
+    def clean(text):
+        w = decontaminate.words_of(text.encode())
+        return not any(tuple(w[k : k + n]) in windows for n in lengths for k in range(len(w) - n + 1))
+
+    kept = {i for i, t in kept.items() if clean(t)}
+    out = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept
+    spans = {}
+    for r in out.collect():
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in spans.values():
+        s.sort()
+        assert [a for a, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 4096
+
+
 def test_rows_of_one_id_with_unlike_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(3, a), (5, a), (5, b), (5, b), (6, b + " more"), (7, c), (7, c + " more"), (7, None), (None, c)]
