@@ -11,13 +11,13 @@ from pyspark.sql.types import StructType
 LEAST_BYTES, MOST_BYTES, MOST_LINES = 30, 8000, 100
 # Extensions by kind, and how a line that starts a definition begins.
 MARKDOWN = ("md", "markdown")
-CODE = ("rs", "py", "js", "ts", "jsx", "tsx", "go", "java", "kt", "scala", "c", "cpp", "h", "hpp", "rb", "swift", "cs")
+CODE = ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "kt", "c", "cpp", "h", "cs", "rb", "swift", "zig", "lua")
 BOUNDARIES = (
-    "fn ", "pub fn ", "pub(crate) fn ", "async fn ", "pub async fn ", "impl ", "impl<", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "mod ",
+    "fn ", "pub fn ", "async fn ", "pub async fn ", "impl ", "pub impl ", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "mod ", "pub mod ",
     "def ", "async def ", "class ",
-    "function ", "async function ", "export function ", "export default function ", "export class ", "export const ", "const ",
+    "function ", "async function ", "export function ", "export async function ", "export class ", "export default function", "export default class",
     "func ",
-    "public ", "private ", "protected ", "static ",
+    "public class ", "private class ", "protected class ", "fun ",
 )
 
 Chunk = tuple[str, int, int, str]
@@ -90,10 +90,10 @@ def chunk_markdown(text: str) -> list[Chunk]:
                 chunks.flush(kind)
                 kind = "heading_section"
             chunks.add(i + 1, line)
-            if chunks.size > MOST_BYTES and len(chunks.held) > 1:
+            if chunks.size > MOST_BYTES:
+                # after the last blank line of the second half, else in the middle
                 half = len(chunks.held) // 2
-                blank = next((k for k in range(len(chunks.held) - 1, half - 1, -1) if not chunks.held[k].strip()), None)
-                chunks.flush(kind, blank if blank else half)
+                chunks.flush(kind, next((k + 1 for k in range(len(chunks.held) - 1, half - 1, -1) if not chunks.held[k].strip()), half))
     chunks.flush(kind)
     return _whole(text, lines, "paragraph", chunks.out)
 
@@ -101,7 +101,7 @@ def chunk_markdown(text: str) -> list[Chunk]:
 def chunk_code(text: str) -> list[Chunk]:
     lines, chunks = split_lines(text), _Chunks()
     for i, line in enumerate(lines, 1):
-        if chunks.held and line.strip().startswith(BOUNDARIES):
+        if chunks.held and line.lstrip().startswith(BOUNDARIES):
             chunks.flush("function")
         chunks.add(i, line)
         if chunks.size > MOST_BYTES or len(chunks.held) >= MOST_LINES:
@@ -131,25 +131,25 @@ def chunk(path: str, text: str | None) -> list[Chunk]:
     return chunk_markdown(text) if kind in MARKDOWN else chunk_code(text) if kind in CODE else chunk_text(text)
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", path: str = "path", content: str = "content") -> DataFrame:
-    """(key, path, ordinal, content, line_start, line_end, chunk_type). Each document is chunked where it lies: no shuffle."""
+def chunk_documents(docs: DataFrame, key: str = "doc_id", path: str = "path", content: str = "content", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also, path, ordinal, content, line_start, line_end, chunk_type). Each document is chunked where it lies: no shuffle."""
     import pyarrow as pa
 
     added = StructType.fromDDL("path string, ordinal int, content string, line_start int, line_end int, chunk_type string")
-    schema = StructType([docs.schema[key], *added.fields])
+    held = [key, *also]
+    schema = StructType([*(docs.schema[c] for c in held), *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in schema.fields]
+        names, n = schema.names, len(held)
         types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows = [(k, p, n, *c) for k, p, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, c in enumerate(chunk(p, text))]
+            rows, place = [], []
+            for i, (p, text) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
+                for k, c in enumerate(chunk(p, text)):
+                    rows.append((p, k, *c))
+                    place.append(i)
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], names)
+                at = pa.array(place, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(n)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
 
-    return docs.select(key, F.col(path).alias("path"), content).mapInArrow(run, schema)
-
-
-def with_ids(chunks: DataFrame) -> DataFrame:
-    """Adds chunk_id, the same whenever the same chunk is made: a hash of path and ordinal."""
-    return chunks.withColumn("chunk_id", F.xxhash64("path", "ordinal"))
+    return docs.select(*held, F.col(path).alias("path"), content).mapInArrow(run, schema)

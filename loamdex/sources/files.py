@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loamdex.functions.text import extension, file_name
 
-# Extensions of indexed files, directories never entered, extensions of code.
-EXTENSIONS = "md markdown txt rst org adoc rs py js ts jsx tsx go java c cpp h rb sh toml yaml yml json html css".split()
-SKIPPED = ".git .svn .hg node_modules target dist build out __pycache__ .venv venv .cache".split()
-CODE_EXTENSIONS = "rs py js ts jsx tsx go java kt scala c cpp cc h hpp rb swift cs php sh bash sql toml json yaml yml html css lua r pl".split()
+# Extensions of indexed files; directories never entered (besides those whose names start with a dot); extensions of code.
+EXTENSIONS = "md txt rs toml yaml yml json py js ts tsx jsx sh css html xml csv sql tf hcl conf ini cfg env".split()
+SKIPPED = ".git .venv node_modules __pycache__ target dist build .next .nuxt .idea .vscode".split()
+CODE_EXTENSIONS = "rs py ts tsx js jsx go java kt c cpp h cs rb swift zig lua sh bash zsh ps1 sql toml yaml yml json xml html css scss".split()
 
 
 def allowed_extension(path: Column) -> Column:
@@ -81,6 +81,6 @@ def read_watch_path(spark: SparkSession, path: str, patterns: list[str] = ()) ->
     return raw.select(plain.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified"))
 
 
-def has_code(paths: DataFrame) -> Column:
-    """Aggregate: whether any path is code."""
-    return F.max(extension(F.col("path")).isin(CODE_EXTENSIONS))
+def has_code(path: Column) -> Column:
+    """Aggregate: whether any path is code (extensions as they are written, in lower case)."""
+    return F.coalesce(F.bool_or(F.regexp_extract(file_name(path), r"^.+\.([^.]*)$", 1).isin(CODE_EXTENSIONS)), F.lit(False))
