@@ -6,23 +6,28 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.catalog import TABLES, Store
+from loamdex.catalog import SCHEMA_VERSION, TABLES, Store, columns_of
 from loamdex.functions import text as T
 from loamdex.operators import chunking, fts, fusion, graph, ingest, lines, retrieve, vector, vocab
+from loamdex.session import materialise, temporary
 from loamdex.sources import files, providers
 from loamdex.sources.config import Config
 
 ENGINES = ("fuzzy", "graph", "vector")
+#: The counters of a sync, per knowledge base.
+REPORT = "kb string, new long, updated long, deleted long, unchanged long, resumed long, chunks long, vocabulary_words long, entities_extracted long, relationships_extracted long, vectors_embedded long, vectors_reembedded long, errors long, status string"
+_HIT = "engine string, file string, chunk_id long, score double, content string, line_start int, line_end int, chunk_type string"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config, embedder=None, extractor=None, decomposer=None):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: Config, embedder=None, extractor=None, decomposer=None, source=None):
+        """source: instead of the watch paths, a function from names of knowledge bases to (kb, path, content)."""
+        self.spark, self.config, self.source = spark, config, source
         self.store = Store(spark, config.data_dir)
-        dimension = config.embeddings.dimensions if config.embeddings else 64
-        self.embedder = embedder or providers.HashingEmbedder(dimension)
-        self.extractor = extractor or providers.RuleExtractor()
-        self.decomposer = decomposer or providers.KeywordDecomposer()
+        self.store.migrate()
+        self.embedder = embedder or providers.make_embedder(config.embeddings)
+        self.extractor = extractor or providers.make_extractor(config.extraction)
+        self.decomposer = decomposer or providers.make_decomposer(config.extraction)
 
     def _bases(self, kb: str | None, auto_only: bool = False) -> list[str]:
         if kb is not None:
@@ -31,151 +36,254 @@ class Engine:
             return [kb]
         return sorted(n for n, b in self.config.knowledge_bases.items() if b.auto_sync or not auto_only)
 
-    def _files(self, kb: str) -> DataFrame:
+    def _files(self, names: list[str]) -> DataFrame:
         """(kb, path, content, content_hash) of what the watch paths hold now."""
+        if self.source is not None:
+            return self.source(names).select("kb", "path", "content", T.content_hash(F.col("content")).alias("content_hash")).dropDuplicates(["kb", "path"])
         ignore = self.config.folder / ".loamignore"
         patterns = files.ignore_patterns(ignore.read_text()) if ignore.is_file() else []
-        found = [df for p in self.config.knowledge_bases[kb].watch_paths if (df := files.read_watch_path(self.spark, p, patterns)) is not None]
-        out = found[0] if found else self.spark.createDataFrame([], "path string, content string, content_hash string, modified timestamp")
-        for df in found[1:]:
-            out = out.unionByName(df)
-        return out.dropDuplicates(["path"]).withColumn("kb", F.lit(kb))
+        out = self.spark.createDataFrame([], "kb string, path string, content string, content_hash string")
+        for kb in names:
+            for p in self.config.knowledge_bases[kb].watch_paths:
+                df = files.read_watch_path(self.spark, p, patterns)
+                if df is not None:
+                    out = out.unionByName(df.select(F.lit(kb).alias("kb"), "path", "content", "content_hash"))
+        return out.dropDuplicates(["kb", "path"])
 
     def diff(self, kb: str, force: bool = False) -> DataFrame:
-        return ingest.diff(self._files(kb).select("path", "content_hash"), self.store.read("documents").where(F.col("kb") == kb).select("path", "content_hash"), force)
+        """(path, change_type) of one knowledge base."""
+        return ingest.diff(self._files([kb]).select("path", "content_hash"), self.store.read("documents", [kb]).select("path", "content_hash"), force)
+
+    # sync
 
     def sync(self, kb: str | None = None, force: bool = False, dry_run: bool = False, reembed: bool = False) -> DataFrame:
-        """Bring the store up to date; a row of counters per knowledge base."""
+        """Bring the store up to date; a row of counters per knowledge base. All bases are worked through in one plan, and only what
+        changes is chunked, indexed, embedded, extracted and written."""
         names = self._bases(kb)
         if not dry_run and not self.store.lock():
             raise RuntimeError("another sync is running")
         try:
-            rows = [self._sync_one(name, force, dry_run, reembed) for name in names]
+            with temporary():
+                rows = self._sync(names, force, dry_run, reembed) if names else []
         finally:
             if not dry_run:
                 self.store.unlock()
-        return self.spark.createDataFrame(rows, "kb string, new long, updated long, deleted long, unchanged long, chunks long, entities long, vectors_embedded long, status string")
+        return self.spark.createDataFrame(rows, REPORT)
 
-    def _sync_one(self, kb: str, force: bool, dry_run: bool, reembed: bool) -> tuple:
-        now = self._files(kb).cache()
-        held = [now]
-        try:
-            stored = self.store.read("documents")
-            own = stored.where(F.col("kb") == kb)
-            # the diff is read several times and must not see files change meanwhile
-            changes = ingest.diff(now.select("path", "content_hash"), own.select("path", "content_hash"), force).cache()
-            held.append(changes)
-            n = {r.change_type: r["count"] for r in changes.groupBy("change_type").count().collect()}
-            counts = (n.get("new", 0), n.get("updated", 0), n.get("deleted", 0), n.get("unchanged", 0))
-            if dry_run:
-                return (kb, *counts, 0, 0, 0, "dry run")
-            vectors = self.store.read("vectors")
-            missing = ingest.to_embed(self.store.read("chunks").where(F.col("kb") == kb), vectors, self.embedder.dimension).limit(1).count() > 0
-            if not any(counts[:3]) and not reembed and not missing:
-                return (kb, *counts, 0, 0, 0, "up to date")
-            changed = changes.where(F.col("change_type").isin("new", "updated"))
-            gone = changes.where("change_type <> 'unchanged'").select("path").withColumn("kb", F.lit(kb))
-            incoming = now.join(changed, "path", "left_semi")
-            fresh = incoming.select("kb", F.xxhash64("kb", "path").alias("doc_id"), "path", "content", "content_hash", F.lit(True).alias("extracted"), F.current_timestamp().alias("updated_at"))
-            documents = ingest.delete(stored, gone, ["kb", "path"]).unionByName(fresh)
-            made = chunking.chunk_documents(fresh).withColumn("kb", F.lit(kb)).withColumn("chunk_id", F.xxhash64("kb", "path", "ordinal"))
-            chunks = ingest.delete(self.store.read("chunks"), gone, ["kb", "path"]).unionByName(made.select(*[f.split()[0] for f in TABLES["chunks"].split(", ")]))
-            kept = vectors.join(chunks.select("kb", "chunk_id"), ["kb", "chunk_id"], "left_semi")
-            kept = kept.join(made.select("chunk_id"), "chunk_id", "left_anti").select(*vectors.columns)
-            if reembed:
-                kept = kept.where(F.col("kb") != kb)
-            kept = vector.check_dimension(kept, self.embedder.dimension)
-            todo = ingest.to_embed(chunks.where(F.col("kb") == kb), kept)
-            title = T.file_stem(F.col("path"))
-            embedded = providers.embed_column(todo.withColumn("_input", T.document_input(title, F.col("content"))), self.embedder, "_input").select("kb", "chunk_id", "embedding")
-            extracted = providers.extract_column(fresh.select("path", "content"), self.extractor)
-            nodes, edges = graph.ingest(extracted)
-            old_nodes, old_edges = self.store.read("nodes"), self.store.read("edges")
-            kept_nodes = old_nodes.join(gone.withColumn("label", F.lit("Document")), ["kb", "path", "label"], "left_anti").select(*old_nodes.columns)
-            kept_edges = old_edges.join(gone.withColumnRenamed("path", "source_doc"), ["kb", "source_doc"], "left_anti").select(*old_edges.columns)
-            nodes = nodes.withColumn("kb", F.lit(kb))
-            all_nodes = kept_nodes.join(nodes.select("kb", "node_id", "label"), ["kb", "node_id", "label"], "left_anti").select(*old_nodes.columns).unionByName(nodes.select(*old_nodes.columns))
-            words = vocab.build_vocabulary(documents.where(F.col("kb") == kb)).withColumn("kb", F.lit(kb))
-            vocabulary = self.store.read("vocabulary").where(F.col("kb") != kb).unionByName(words.select("kb", "word", "frequency"))
-            stamp = datetime.datetime.now(datetime.timezone.utc).isoformat()
-            meta = self.store.read("meta").where(F.col("kb") != kb).unionByName(self.spark.createDataFrame([(kb, "last_sync", stamp), (kb, "schema_version", "2")], TABLES["meta"]))
-            self.store.commit({"documents": documents, "chunks": chunks, "vectors": kept.unionByName(embedded), "vocabulary": vocabulary, "nodes": all_nodes, "edges": kept_edges.unionByName(edges.withColumn("kb", F.lit(kb)).select(*old_edges.columns)), "meta": meta})
-            total = self.store.read("chunks").where(F.col("kb") == kb).count()
-            entities = self.store.read("nodes").where((F.col("kb") == kb) & (F.col("label") == "Entity")).count()
-            return (kb, *counts, total, entities, self.store.read("vectors").where(F.col("kb") == kb).count(), "synced")
-        finally:
-            for df in held:
-                df.unpersist(blocking=True)
+    def _sync(self, names: list[str], force: bool, dry_run: bool, reembed: bool) -> list[tuple]:
+        store = self.store
+        # the listing is written once, so everything below sees one state of the files
+        listing = materialise(self._files(names).select("kb", "path", "content_hash"), "sync-listing")
+        stored = store.read("documents", names)
+        changes = ingest.diff(listing, stored, force, ("kb",))
+        none = self.spark.createDataFrame([], "kb string, path string")
+        resumed = none if force or self.extractor is None else ingest.resume(stored, listing, changes, ("kb",))
+        changes = materialise(changes.unionByName(resumed.withColumn("change_type", F.lit("resumed"))), "sync-changes")
+        counts: dict[str, dict[str, int]] = {n: {} for n in names}
+        for r in changes.groupBy("kb", "change_type").count().collect():
+            counts[r.kb][r.change_type] = r["count"]
+        if dry_run:
+            return [self._report(n, counts[n], "dry run") for n in names]
+        chunks_before, vectors_before = store.read("chunks", names), store.read("vectors", names)
+        missing = {r.kb for r in ingest.to_embed(chunks_before, vectors_before, self.embedder.dimension).select("kb").distinct().collect()}
+        busy = [n for n in names if set(counts[n]) - {"unchanged"} or reembed or n in missing]
+        if not busy:
+            return [self._report(n, counts[n], "up to date") for n in names]
+
+        changed = changes.where(F.col("change_type").isin("new", "updated"))
+        gone = changes.where(F.col("change_type").isin("new", "updated", "deleted")).select("kb", "path")
+        # content and hash come from one read, so they agree even if a file has changed since the listing
+        fresh = self._files(names).join(changed.select("kb", "path"), ["kb", "path"], "left_semi")
+        fresh = materialise(fresh.select("kb", F.xxhash64("kb", "path").alias("doc_id"), "path", "content", "content_hash"), "sync-fresh")
+        again = stored.join(changes.where("change_type = 'resumed'").select("kb", "path"), ["kb", "path"], "left_semi").select("kb", "path", "content")
+
+        asked = fresh.select("kb", "path", "content").unionByName(again)
+        extracted = materialise(providers.extract_column(asked if self.extractor else asked.limit(0), self.extractor).drop("content"), "sync-extracted")
+        done = extracted.where("ok").select("kb", "path").withColumn("extracted", F.lit(True))
+        fresh_docs = fresh.join(done, ["kb", "path"], "left").withColumn("extracted", F.coalesce("extracted", F.lit(False))).withColumn("updated_at", F.current_timestamp())
+        made = chunking.chunk_documents(fresh, also=("kb",)).join(fresh.select("kb", "path", "doc_id"), ["kb", "path", "doc_id"], "left_semi")
+        made = materialise(made.withColumn("chunk_id", F.xxhash64("kb", "path", "ordinal")).select(*columns_of("chunks")), "sync-chunks")
+
+        # partitions of the paths that change; those of vectors that are to be made too
+        touched = changes.where("change_type <> 'unchanged'").select("kb", "path").distinct()
+        parts = [r.p for r in touched.select(store.part("documents").alias("p")).distinct().collect()]
+
+        def rest(name: str, where: list[str]) -> DataFrame:
+            """What stays in some partitions of a table."""
+            return store.read(name, parts=where).join(gone, ["kb", "path"], "left_anti").select(*columns_of(name))
+
+        documents = ingest.mark_extracted(rest("documents", parts), done, ("kb",)).unionByName(fresh_docs.select(*columns_of("documents")))
+        whole = fresh.withColumn("level", F.lit("document")).withColumn("key", F.col("doc_id")).withColumn("content", F.concat_ws(" ", "path", "content"))
+        texts = made.select("kb", "path", F.lit("chunk").alias("level"), F.col("chunk_id").alias("key"), "content").unionByName(whole.select("kb", "path", "level", "key", "content"))
+        postings = fts.postings(texts, keys=("kb", "path", "level", "key"))
+        lengths = fts.lengths(texts, by=("kb", "path", "level"))
+
+        dimension = self.embedder.dimension
+        kept = vectors_before.join(gone, ["kb", "path"], "left_anti").where(F.size("embedding") == dimension)
+        kept = kept.join(chunks_before.select("kb", "chunk_id"), ["kb", "chunk_id"], "left_semi").select(*columns_of("vectors"))
+        every = chunks_before.join(gone, ["kb", "path"], "left_anti").select(*columns_of("chunks")).unionByName(made)
+        todo = every if reembed else ingest.to_embed(every, kept)
+        embedded = providers.embed_column(todo.withColumn("_input", self.embedder.document_input(T.file_stem(F.col("path")), F.col("content"))), self.embedder, "_input")
+        embedded = materialise(embedded.select(*columns_of("vectors")), "sync-vectors")
+        # those of another dimension and those of chunks that are gone go too
+        stale = vectors_before.where(F.size("embedding") != dimension).select("kb", "path").unionByName(embedded.select("kb", "path")).distinct()
+        vector_parts = sorted({*parts, *(r.p for r in stale.select(store.part("vectors").alias("p")).distinct().collect())})
+        own = kept.join(embedded.select("kb", "chunk_id"), ["kb", "chunk_id"], "left_anti").select(*columns_of("vectors"))
+        others = store.read("vectors", parts=vector_parts).where(~F.col("kb").isin(names))
+        vectors = own.withColumn("_p", store.part("vectors")).where(F.col("_p").isin(vector_parts)).drop("_p").unionByName(others).unionByName(embedded)
+
+        new_nodes, new_edges = graph.ingest(extracted.where("ok"), ("kb",))
+        again_paths = again.select("kb", "path")
+        nodes, edges = graph.merge(store.read("nodes", busy), store.read("edges", busy), new_nodes, new_edges, gone.unionByName(again_paths))
+        base_parts = [store.base_part(n) for n in busy]
+        bases = {n: store.read(n, parts=base_parts).where(~F.col("kb").isin(busy)) for n in ("vocabulary", "nodes", "edges", "meta")}
+        words = vocab.build_vocabulary(stored.where(F.col("kb").isin(busy)).join(gone, ["kb", "path"], "left_anti").select("kb", "content").unionByName(fresh.select("kb", "content")), by=("kb",))
+        stamp = datetime.datetime.now(datetime.timezone.utc).isoformat()
+        meta = self.spark.createDataFrame([x for n in busy for x in ((n, "last_sync", stamp), (n, "schema_version", str(SCHEMA_VERSION)))], TABLES["meta"])
+        store.commit({
+            "documents": (parts, documents), "chunks": (parts, rest("chunks", parts).unionByName(made)), "postings": (parts, rest("postings", parts).unionByName(postings.select(*columns_of("postings")))),
+            "lengths": (parts, rest("lengths", parts).unionByName(lengths.select(*columns_of("lengths")))), "vectors": (vector_parts, vectors),
+            "vocabulary": (base_parts, bases["vocabulary"].unionByName(words.select(*columns_of("vocabulary")))), "nodes": (base_parts, bases["nodes"].unionByName(nodes.select(*columns_of("nodes")))),
+            "edges": (base_parts, bases["edges"].unionByName(edges.select(*columns_of("edges")))), "meta": (base_parts, bases["meta"].unionByName(meta)),
+        })
+        return self._reports(names, busy, counts, extracted, embedded, vectors_before)
+
+    def _report(self, kb: str, counts: dict[str, int], status: str, *more: int) -> tuple:
+        return (kb, *(counts.get(k, 0) for k in ("new", "updated", "deleted", "unchanged", "resumed")), *(more or (0,) * 7), status)
+
+    def _reports(self, names, busy, counts, extracted, embedded, vectors_before) -> list[tuple]:
+        def by_kb(df: DataFrame) -> dict[str, tuple]:
+            return {r[0]: tuple(r)[1:] for r in df.collect()}
+
+        chunks = by_kb(self.store.read("chunks", names).groupBy("kb").count())
+        words = by_kb(self.store.read("vocabulary", names).groupBy("kb").count())
+        found = by_kb(extracted.groupBy("kb").agg(F.sum(F.size("entities")), F.sum(F.size("relationships")), F.count_if(~F.col("ok"))))
+        before = vectors_before.select("kb", "chunk_id").withColumn("_had", F.lit(True))
+        made = by_kb(embedded.join(before, ["kb", "chunk_id"], "left").groupBy("kb").agg(F.count("*"), F.count("_had")))
+        out = []
+        for n in names:
+            entities, relations, errors = found.get(n, (0, 0, 0))
+            new, again = made.get(n, (0, 0))
+            out.append(self._report(n, counts[n], "synced" if n in busy else "up to date", chunks.get(n, (0,))[0], words.get(n, (0,))[0], entities, relations, new, again, errors))
+        return out
+
+    # search
 
     def _chunks(self, kb: str | None) -> DataFrame:
-        df = self.store.read("chunks").where(F.col("kb").isin(self._bases(kb)))
-        return df.withColumn("file", F.concat_ws(":", "kb", "path"))
+        df = self.store.read("chunks", self._bases(kb))
+        return df.withColumn("file", F.concat_ws(":", "kb", "path")).withColumn("chunk_type", F.coalesce("chunk_type", F.lit("")))
+
+    def _vocabulary(self, bases: list[str]) -> DataFrame:
+        return self.store.read("vocabulary", bases).groupBy("word").agg(F.sum("frequency").alias("frequency"))
 
     def corrections(self, query: str, kb: str | None = None) -> DataFrame:
-        words = self.store.read("vocabulary").where(F.col("kb").isin(self._bases(kb))).groupBy("word").agg(F.sum("frequency").alias("frequency"))
-        _, changes = vocab.correct_queries(self.spark.createDataFrame([(0, query)], "qid int, query string"), words)
-        return changes
+        """(qid, pos, from_word, to_word) of the words that the vocabulary corrects."""
+        return vocab.correct_queries(self.spark.createDataFrame([(0, query)], "qid int, query string"), self._vocabulary(self._bases(kb)))[1]
+
+    def sub_queries(self, text: str) -> list[str]:
+        """What a smart search asks: at most five queries."""
+        return self.decomposer.decompose(text)[:5]
+
+    def _task(self, kb: str | None) -> str:
+        """The task that queries are embedded for: code retrieval if the named base holds code."""
+        if kb is None:
+            return "search result"
+        return "code retrieval" if self.store.read("documents", [kb]).agg(files.has_code(F.col("path"))).first()[0] else "search result"
+
+    def _text_hits(self, query: str, bases: list[str], kb: str | None, k: int) -> DataFrame:
+        """Chunks by the index; if none matches, documents by path and content."""
+        postings, lengths = self.store.read("postings", bases), self.store.read("lengths", bases)
+        empty = {"line_start": "int", "line_end": "int", "chunk_type": "string"}
+        keys = ("kb", "path", "key")
+        top = self._small(fts.search_index(postings.where("level = 'chunk'").drop("level"), lengths.where("level = 'chunk'"), query, keys, k))
+        if top.isEmpty():
+            top = self._small(fts.search_index(postings.where("level = 'document'").drop("level"), lengths.where("level = 'document'"), query, keys, k))
+            docs = self.store.read("documents", bases).select(F.col("doc_id").alias("key"), "content")
+            hits = docs.join(F.broadcast(top), "key").select(F.concat_ws(":", "kb", "path").alias("file"), F.lit(None).cast("long").alias("chunk_id"), "score", "content", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+        else:
+            chunks = self._chunks(kb)
+            hits = chunks.join(F.broadcast(top.select(F.col("key").alias("chunk_id"), "score")), "chunk_id").select("file", "chunk_id", "score", "content", "line_start", "line_end", "chunk_type")
+        return hits.withColumn("engine", F.lit("fts"))
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        """At most k rows, brought to the driver once, so that plans over them stay small."""
+        return self.spark.createDataFrame(df.collect(), df.schema)
+
+    def hits(self, query: str, words: str, kb: str | None, k: int, engines: tuple[str, ...], exact: bool = False) -> DataFrame:
+        """The engines' lists of one query, each cut to k; words: the query as corrected for the text engine."""
+        bases, found = self._bases(kb), []
+        columns = [f.split()[0] for f in _HIT.split(", ")]
+        none = {c: F.lit(None).cast(t) for c, t in (f.split() for f in _HIT.split(", "))}
+        if {"fuzzy", "text"} & set(engines):
+            found.append(self._text_hits(words if "fuzzy" in engines else query, bases, kb, k))
+        if "vector" in engines:
+            v = self.embedder.embed([self.embedder.query_input(self._task(kb), query)])[0]
+            near = self._small(vector.knn(self.store.read("vectors", bases), v, k, key="chunk_id").select("chunk_id", "score"))
+            found.append(self._chunks(kb).join(F.broadcast(near), "chunk_id").withColumn("engine", F.lit("vector")))
+        if "graph" in engines:
+            nodes, edges = (self.store.read(t, bases) for t in ("nodes", "edges"))
+            top = graph.search(nodes, edges, " ".join(dict.fromkeys(f"{query} {words}".split())), k, by=("kb",), related=0)
+            found.append(top.withColumns(none | {"file": F.concat_ws(":", "kb", "path"), "score": F.col("score"), "engine": F.lit("graph")}))
+        if "local" in engines:
+            docs = self.store.read("documents", bases).select(F.concat_ws(":", "kb", "path").alias("file"), "content")
+            place = F.col("line_no").cast("int")
+            top = lines.search(docs, query, k, exact).withColumns({"content": F.col("line"), "line_start": place, "line_end": place, "engine": F.lit("fuzzy")})
+            found.append(top.withColumns({c: none[c] for c in ("chunk_id", "chunk_type")}))
+        out = self.spark.createDataFrame([], _HIT)
+        for df in found:
+            out = out.unionByName(self._small(df.select(*columns)))
+        return out
 
     def search(self, query: str, kb: str | None = None, limit: int = 5, engines: tuple[str, ...] = ENGINES, exact: bool = False, doc_score: bool = False, smart: bool = False, fetch_k: int | None = None) -> DataFrame:
         """Ranked results: file, score, sources, content, chunk_id, line_start, line_end, chunk_type.
 
         engines: fuzzy (corrected text), text, graph, vector, local. exact means a line search. smart: several sub-queries, none corrected."""
         engines = ("local",) if exact or "local" in engines and len(engines) == 1 else tuple(engines)
-        bases, k = self._bases(kb), fetch_k or limit
-        chunks = self._chunks(kb)
-        asked = self.decomposer.decompose(query)[:5] if smart else [query]
-        found: list[DataFrame] = []
-        empty = {"chunk_id": F.lit(None).cast("long"), "content": F.lit(None).cast("string"), "line_start": F.lit(None).cast("int"), "line_end": F.lit(None).cast("int"), "chunk_type": F.lit(None).cast("string")}
-        columns = ["engine", "file", "chunk_id", "score", "content", "line_start", "line_end", "chunk_type"]
-        for q in asked:
-            words = q
-            if "fuzzy" in engines and not smart:
-                vocabulary = self.store.read("vocabulary").where(F.col("kb").isin(bases)).groupBy("word").agg(F.sum("frequency").alias("frequency"))
-                fixed, _ = vocab.correct_queries(self.spark.createDataFrame([(0, fts.sanitize(q))], "qid int, query string"), vocabulary)
-                words = fixed.first().corrected or q
-            if {"fuzzy", "text"} & set(engines):
-                hits = fts.search(chunks.select("file", "chunk_id", "content", "line_start", "line_end", "chunk_type"), words if "fuzzy" in engines else q, keys=("file", "chunk_id"), limit=k)
-                found.append(hits.withColumn("engine", F.lit("fts")).select(*columns))
-            if "vector" in engines:
-                v = self.embedder.embed([f"task: search result | query: {q}"])[0]
-                near = vector.knn(self.store.read("vectors").where(F.col("kb").isin(bases)), v, k, key="chunk_id").select("chunk_id", "score")
-                found.append(chunks.join(near, "chunk_id").withColumn("engine", F.lit("vector")).select(*columns))
-            if "graph" in engines:
-                nodes, edges = (self.store.read(t).where(F.col("kb").isin(bases)) for t in ("nodes", "edges"))
-                hits = graph.search(nodes, edges, f"{q} {words}" if words != q else q, k)
-                paths = chunks.select("path", "file").distinct()
-                found.append(hits.join(paths, "path").withColumns(empty).withColumn("engine", F.lit("graph")).select(*columns))
-            if "local" in engines:
-                docs = self.store.read("documents").where(F.col("kb").isin(bases)).select(F.concat_ws(":", "kb", "path").alias("file"), "content")
-                hits = lines.search(docs, q, k, exact)
-                found.append(hits.select("file", F.col("line").alias("content"), F.col("line_no").cast("int").alias("line_start"), F.col("line_no").cast("int").alias("line_end"), "score").withColumn("chunk_id", F.lit(None).cast("long")).withColumn("chunk_type", F.lit(None).cast("string")).withColumn("engine", F.lit("fuzzy")).select(*columns))
-        hits = found[0]
-        for df in found[1:]:
-            hits = hits.unionByName(df)
+        k = fetch_k or limit
         if smart:
+            hits = self.spark.createDataFrame([], _HIT)
+            for q in self.sub_queries(query):
+                hits = hits.unionByName(self.hits(q, q, kb, k, engines, exact))
             key = F.coalesce(F.col("chunk_id").cast("string"), F.col("file"))
-            hits = fusion.dedup_best(hits.withColumn("_key", key), ("engine", "_key"), ("file",)).select(*columns)
+            hits = fusion.dedup_best(hits.withColumn("_key", key), ("engine", "_key"), ("file",)).drop("_key")
+        else:
+            words = query
+            if "fuzzy" in engines:
+                fixed, _ = vocab.correct_queries(self.spark.createDataFrame([(0, fts.sanitize(query))], "qid int, query string"), self._vocabulary(self._bases(kb)))
+                words = fixed.first().corrected or query
+            hits = self.hits(query, words, kb, k, engines, exact)
         out = fusion.fuse(hits, limit=limit, doc_score=doc_score)
-        return out if doc_score else fusion.enrich_graph_only(out, chunks).orderBy(F.desc("score"), "file", F.col("line_start").asc_nulls_last(), "chunk_id")
+        return out if doc_score else fusion.enrich_graph_only(out, self._chunks(kb)).orderBy(F.desc("score"), "file", F.col("line_start").asc_nulls_last(), "chunk_id")
 
     def retrieve(self, chunk_id: int, lines_before: int = 0, lines_after: int = 0, chunks_before: int = 0, chunks_after: int = 0) -> DataFrame:
         """One row: the chunk with lines and chunks around it."""
+        return self.retrieve_many(self.spark.createDataFrame([(chunk_id,)], "chunk_id long"), lines_before, lines_after, chunks_before, chunks_after)
+
+    def retrieve_many(self, wanted: DataFrame, lines_before: int = 0, lines_after: int = 0, chunks_before: int = 0, chunks_after: int = 0) -> DataFrame:
+        """A row for each wanted chunk (chunk_id) that there is."""
         chunks, docs = self.store.read("chunks"), self.store.read("documents").select("doc_id", "content")
-        one = chunks.where(F.col("chunk_id") == chunk_id)
-        out = retrieve.line_context(one, docs, lines_before, lines_after)
-        near = retrieve.neighbours(chunks, one, chunks_before, chunks_after)
+        some = chunks.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").select(*chunks.columns)
+        out = retrieve.line_context(some, docs, lines_before, lines_after)
+        near = retrieve.neighbours(chunks, some, chunks_before, chunks_after)
         part = F.struct("offset", "chunk_id", "line_start", "line_end", "content")
         sides = near.groupBy("wanted_id").agg(F.sort_array(F.collect_list(F.when(F.col("offset") < 0, part))).alias("chunks_before"), F.sort_array(F.collect_list(F.when(F.col("offset") > 0, part))).alias("chunks_after"))
-        return out.join(sides, out["chunk_id"] == sides["wanted_id"]).drop("wanted_id")
+        return out.join(sides, out["chunk_id"] == sides["wanted_id"]).drop("wanted_id").withColumn("chunk_type", F.coalesce("chunk_type", F.lit("")))
+
+    # overviews
 
     def status(self, kb: str | None = None) -> DataFrame:
-        names = self.spark.createDataFrame([(n,) for n in self._bases(kb)], "kb string")
-        out = names.join(self.store.read("documents").groupBy("kb").agg(F.count("*").alias("documents"), F.count_if("extracted").alias("extracted")), "kb", "left")
+        """A row per knowledge base: counts, bytes of text, last sync. vectors is -1 where none were ever made."""
+        bases = self._bases(kb)
+        names = self.spark.createDataFrame([(n, self.config.knowledge_bases[n].description, self.config.knowledge_bases[n].auto_sync) for n in bases], "kb string, description string, auto_sync boolean")
+        docs = self.store.read("documents", bases).groupBy("kb").agg(F.count("*").alias("documents"), F.count_if("extracted").alias("extracted"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+        out = names.join(docs, "kb", "left")
         for table, column in (("chunks", "chunks"), ("vocabulary", "vocabulary"), ("vectors", "vectors"), ("nodes", "node_count"), ("edges", "edge_count")):
-            out = out.join(self.store.read(table).groupBy("kb").agg(F.count("*").alias(column)), "kb", "left")
-        return out.na.fill(0).orderBy("kb")
+            out = out.join(self.store.read(table, bases).groupBy("kb").agg(F.count("*").alias(column)), "kb", "left")
+        last = self.store.read("meta", bases).where("key = 'last_sync'").select("kb", F.col("value").alias("last_sync"))
+        return out.na.fill(-1, ["vectors"]).na.fill(0).join(last, "kb", "left").orderBy("kb")
 
     def list_kbs(self) -> DataFrame:
+        """A row per configured knowledge base, by name: its settings, documents, last sync."""
         rows = [(n, b.description, b.auto_sync, b.watch_paths) for n, b in sorted(self.config.knowledge_bases.items())]
         names = self.spark.createDataFrame(rows, "kb string, description string, auto_sync boolean, watch_paths array<string>")
         docs = self.store.read("documents").groupBy("kb").agg(F.count("*").alias("documents"))

@@ -18,8 +18,8 @@ _FROM, _TO = "".join(_FOLD), "".join(_FOLD.values())
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), _FROM, _TO)
+    """Lower case without diacritics. ASCII texts, which have none, are not searched for them."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(F.lower(F.regexp_replace(text, r"\p{M}+", "")), _FROM, _TO))
 
 
 def fold_text(text: str) -> str:
@@ -104,11 +104,13 @@ def query_input(task: str, query: Column) -> Column:
 
 
 def snippet(content: Column, terms: list[str], words: int = 32) -> Column:
-    """`words` words around the first word that holds a term, with ... where something is left out."""
-    tokens = F.split(F.regexp_replace(content, r"\s+", " "), " ")
-    wanted = F.array(*[F.lit(fold_text(t)) for t in terms]) if terms else F.array().cast("array<string>")
-    marks = F.transform(tokens, lambda w: F.arrays_overlap(fts_tokens(w), wanted))
-    first = F.greatest(F.array_position(marks, True).cast("int"), F.lit(1))
-    start = F.greatest(F.lit(1), F.least(first - words // 4, F.size(tokens) - words + 1))
-    body = F.array_join(F.slice(tokens, start, words), " ")
-    return F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(start + words <= F.size(tokens), "...").otherwise(""))
+    """The `words` words that hold the most of the terms, each counted once in a run of so many, then the first such run; ... where something is left out."""
+    tokens = F.filter(F.split(content, r"\s+"), lambda w: w != "")
+    folded = [fold_text(t) for t in dict.fromkeys(terms)]
+    hit = F.transform(tokens, lambda w: F.array_intersect(fts_tokens(w), F.array(*[F.lit(t) for t in folded]).cast("array<string>")))
+    # runs start at a hit, or as far back as the text's end asks
+    starts = F.transform(F.filter(F.transform(hit, lambda h, i: F.struct(i.alias("i"), F.size(h).alias("n"))), lambda x: x["n"] > 0), lambda x: F.greatest(F.lit(0), F.least(x["i"], F.size(tokens) - words)))
+    scored = F.transform(starts, lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice(hit, i + 1, F.lit(words))))).alias("n"), (-i).alias("i")))
+    start = F.coalesce(-F.array_max(scored)["i"], F.lit(0))
+    body = F.array_join(F.slice(tokens, start + 1, F.lit(words)), " ")
+    return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + words < F.size(tokens), "...").otherwise(""))

@@ -1,15 +1,20 @@
 """Full-text search: a small query grammar and BM25.
 
-One query: tf of each phrase is a higher-order expression on the token
-array, so nothing is exploded or shuffled but one row of statistics and
-the top k. Many queries: a postings table, joined on the term."""
+An index is a postings table, sorted by term: one row per term and
+document with its positions, made inside each document's row, without a
+shuffle. A query reads the postings of its own terms, brings those of a
+document together, and scores. Without an index, search() scans: tf of
+each phrase is a higher-order expression on the token array."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from loamdex.functions.text import RESERVED, fold_text, fts_tokens, sanitize_query
 
@@ -139,44 +144,106 @@ def search(docs: DataFrame, query: str, text: str = "content", keys: tuple[str,
     counted = docs.withColumn("_tokens", fts_tokens(F.col(text)))
     counted = counted.select(*docs.columns, F.size("_tokens").alias("_length"), *[phrase_count(F.col("_tokens"), p).alias(f"_tf{i}") for i, p in enumerate(distinct)])
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_average"), *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(distinct))])
+    # stats is one row
+    return _scored(counted, stats, parsed, phrases, number, docs.columns, keys, limit)
+
+
+def postings(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, term, tf, positions, length): one row per term and document, made where the document lies."""
+    tokens = docs.select(*keys, fts_tokens(F.col(text)).alias("_tokens"))
+    added = "term string, tf int, positions array<int>, length int"
+    schema = StructType([*(docs.schema[k] for k in keys), *StructType.fromDDL(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                words = row.column(len(keys)).to_pylist()[0] or []
+                at: dict[str, list[int]] = {}
+                for place, word in enumerate(words):
+                    at.setdefault(word, []).append(place)
+                if at:
+                    n = len(at)
+                    fixed = [row.column(k).take(pa.array([0] * n)) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(at, pa.string()), pa.array(map(len, at.values()), pa.int32()), pa.array(at.values(), pa.list_(pa.int32())), pa.array([len(words)] * n, pa.int32())], schema.names)
+
+    return tokens.mapInArrow(run, schema)
+
+
+def lengths(docs: DataFrame, text: str = "content", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, tokens): documents and their tokens."""
+    counted = docs.select(*by, F.size(fts_tokens(F.col(text))).alias("_length"))
+    return counted.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_length").alias("tokens"))
+
+
+def corpus_stats(counted: DataFrame) -> DataFrame:
+    """lengths() summed up to one row: n, tokens, average length."""
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")).withColumn("average", F.col("tokens") / F.greatest(F.col("n"), F.lit(1)))
+
+
+def search_index(index: DataFrame, counted: DataFrame, query: str, keys: tuple[str, ...] = ("doc_id",), limit: int | None = 10, strict: bool = False) -> DataFrame:
+    """(keys, score) of documents that match, best first, ties by keys. index: postings(), counted: lengths() of all documents.
+
+    Only postings of the query's terms are read; one shuffle brings a document's together, a row for each of them."""
+    parsed, phrases = parse_query(query, strict)
+    if parsed is None:
+        return index.select(*keys, F.lit(0.0).alias("score")).limit(0)
+    distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
+    number = {tuple(p): i for i, p in enumerate(distinct)}
+    terms = sorted({t for p in distinct for t in p})
+    in_phrase = {t for p in distinct if len(p) > 1 for t in p}
+    found = index.where(F.col("term").isin(terms))
+    picked = [F.max("length").alias("_length"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"_n{i}") for i, t in enumerate(terms)]]
+    picked += [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms) if t in in_phrase]
+    rows = found.groupBy(*keys).agg(*picked)
+
+    def back(positions: Column, k: int) -> Column:
+        return F.transform(positions, lambda x: x - k)
+
+    def count(p: list[str]) -> Column:
+        if len(p) == 1:
+            return F.coalesce(F.col(f"_n{terms.index(p[0])}"), F.lit(0))
+        first = F.col(f"_p{terms.index(p[0])}")
+        for k, t in enumerate(p[1:], 1):
+            first = F.array_intersect(first, back(F.col(f"_p{terms.index(t)}"), k))
+        return F.coalesce(F.size(first), F.lit(0))
+
+    def counted_phrase(p: list[str]) -> Column:
+        some = count(p)
+        return F.when(some > 0, some).otherwise(0)
+
+    rows = rows.select(*keys, "_length", *[counted_phrase(p).alias(f"_tf{i}") for i, p in enumerate(distinct)])
+    stats = corpus_stats(counted).select(F.col("n").cast("double").alias("_n"), F.col("average").alias("_average"))
+    df = rows.agg(*[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"_df{i}") for i in range(len(distinct))])
+    # stats and df are one row each
+    return _scored(rows, stats.crossJoin(F.broadcast(df)), parsed, phrases, number, keys, keys, limit)
+
+
+def _scored(rows: DataFrame, stats: DataFrame, parsed: Query, phrases: list[list[str]], number: dict, columns, keys, limit: int | None) -> DataFrame:
+    """Rows with _length and _tf0, _tf1, ... against one row of statistics: the matching ones with their scores."""
     tf = [F.col(f"_tf{number[tuple(p)]}") for p in phrases]
     counted_in = _counted(parsed, tf, {}, F.lit(True))
     score = F.lit(0.0)
     for i, (p, t) in enumerate(zip(phrases, tf, strict=True)):
         part = idf(F.col("_n"), F.col(f"_df{number[tuple(p)]}")) * gain(t, F.col("_length"), F.col("_average"))
         score = score + F.when(counted_in[i], part).otherwise(0.0)
-    # stats is one row
-    hits = counted.where(_condition(parsed, tf)).crossJoin(F.broadcast(stats)).select(*docs.columns, F.round(score, 6).alias("score"))
+    hits = rows.where(_condition(parsed, tf)).crossJoin(F.broadcast(stats)).select(*columns, F.round(score, 6).alias("score"))
     return hits.orderBy(F.desc("score"), *keys).limit(limit) if limit else hits
 
 
-def postings(docs: DataFrame, text: str = "content", key: str = "doc_id") -> DataFrame:
-    """(term, key, tf, positions, length): one row per term and document, made inside each row, without a shuffle."""
-    tokens = docs.select(key, fts_tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
-    pairs = tokens.select(key, "length", F.posexplode("tokens").alias("pos", "term"))
-    return pairs.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def corpus_stats(index: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row: documents with a token, their average length."""
-    lengths = index.groupBy(key).agg(F.first("length").alias("length"))
-    return lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
-
-
-def search_many(index: DataFrame, queries: DataFrame, docs: DataFrame, key: str = "doc_id", limit: int = 10, require_all: bool = True) -> DataFrame:
-    """BM25 of every query (qid, query) against a postings table: (qid, key, score, rank).
-
-    Only postings of the queries' terms are joined; statistics cover every document in docs (key, length)."""
-    from pyspark.sql import Window
+def search_many(index: DataFrame, queries: DataFrame, counted: DataFrame, key: str = "doc_id", limit: int = 10, require_all: bool = True) -> DataFrame:
+    """BM25 of every query (qid, query) against postings(): (qid, key, score, rank).
 
+    Only postings of the queries' terms are joined; counted: lengths() of all documents."""
     terms = queries.select("qid", F.explode(fts_tokens(sanitize_query(F.col("query")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    # a row per query and term, with what its query asks in all
+    terms = terms.withColumn("wanted", F.count("*").over(Window.partitionBy("qid")))
+    stats = corpus_stats(counted).select(F.col("n").cast("double").alias("n"), "average")
     found = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    scored = found.join(terms, "term").join(df, "term").crossJoin(F.broadcast(stats))
+    scored = found.select("term", key, "tf", "length").join(terms.join(df, "term"), "term").crossJoin(F.broadcast(stats))
     part = F.col("times") * idf(F.col("n"), F.col("df")) * gain(F.col("tf"), F.col("length"), F.col("average"))
-    hits = scored.groupBy("qid", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched")).join(wanted, "qid")
+    hits = scored.groupBy("qid", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.max("wanted").alias("wanted"))
     hits = hits.where("matched = wanted") if require_all else hits
     hits = hits.select("qid", key, F.round("score", 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loamdex.operators.ranks import places
+
 K = 60.0
 # Fixed order of the engines' labels.
 LABELS = ["fts", "vector", "fuzzy", "graph"]
 
 
-def rank_lists(hits: DataFrame, by: tuple[str, ...] = ("engine",), ties: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Each list's rows by score, numbered from 1."""
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), *ties)))
+#: Lists of more rows in all are ranked by a range sort, smaller ones by a window.
+LARGE = 2_000_000
+
+
+def rank_lists(hits: DataFrame, by: tuple[str, ...] = ("engine",), ties: tuple[str, ...] = ("key",), large: int | None = LARGE) -> DataFrame:
+    """Each list's rows by score, numbered from 1. Lists of any length: beyond `large` rows no list is sorted in one task (None: lists are known to be short)."""
+    if large is None or hits.limit(large + 1).count() <= large:
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), *ties)))
+    out = places(hits.withColumn("_down", -F.col("score")), list(by), ["_down", *ties], "_place", "ranked-lists")
+    return out.withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_down", "_place")
 
 
 def rrf(ranked: DataFrame, keys: tuple[str, ...] = ("key",), k: float = K) -> DataFrame:
@@ -26,24 +35,15 @@ def dedup_best(hits: DataFrame, keys: tuple[str, ...], ties: tuple[str, ...]) ->
     return hits.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
-def collapse_paths(chunks: DataFrame, paths: DataFrame, file: str = "file") -> DataFrame:
-    """chunks (file, rrf, sources, ...) take over the score and sources of path hits (file, rrf, sources); paths without chunk rows stay rows."""
-    gained = paths.select(file, F.col("rrf").alias("_more"), F.col("sources").alias("_from"))
-    out = chunks.join(gained, file, "left").withColumn("rrf", F.col("rrf") + F.coalesce("_more", F.lit(0.0)))
-    out = out.withColumn("sources", ordered_sources(F.concat("sources", F.coalesce("_from", F.array().cast("array<string>"))))).drop("_more", "_from")
-    left = paths.join(chunks.select(file).distinct(), file, "left_anti")
-    return out.unionByName(left, allowMissingColumns=True)
-
-
 def ordered_sources(sources):
     """Each label once, in the fixed order."""
     return F.filter(F.array(*map(F.lit, LABELS)), lambda s: F.array_contains(sources, s))
 
 
 def document_scores(rows: DataFrame, file: str = "file", score: str = "score", best: int = 3) -> DataFrame:
-    """(file, score): the sum of a file's best few."""
-    top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, best)
-    return rows.groupBy(file).agg(F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias(score))
+    """(file, score): the sum of a file's best few. Each task sends no more than so many of a file."""
+    place = F.row_number().over(Window.partitionBy(file).orderBy(F.desc(score)))
+    return rows.select(file, score).withColumn("_place", place).where(F.col("_place") <= best).groupBy(file).agg(F.sum(score).alias(score))
 
 
 def document_max(rows: DataFrame, file: str = "file", score: str = "score", position: str = "pos") -> DataFrame:
@@ -57,7 +57,7 @@ def fuse(hits: DataFrame, by: tuple[str, ...] = (), k: float = K, limit: int | N
     fts and vector hits are keyed by chunk (by file if they have none), fuzzy (line) and graph hits by file. Ranks are taken per
     engine, ties by file, chunk and line; the content is the text engine's, then the vector engine's, then the matched line."""
     keyed = hits.withColumn("_chunk", F.when(F.col("engine").isin("fts", "vector"), F.col("chunk_id")))
-    ranked = rank_lists(keyed, (*by, "engine"), ("file", "_chunk", "line_start"))
+    ranked = rank_lists(keyed, (*by, "engine"), ("file", "_chunk", "line_start"), None)  # the engines cut their lists
     priority = F.array_position(F.array(*map(F.lit, LABELS)), F.col("engine"))
     payload = F.struct(priority.alias("p"), F.col("rank").alias("r"), "content", "line_start", "line_end", "chunk_type")
     grouped = ranked.groupBy(*by, "file", "_chunk").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.collect_set("engine").alias("sources"), F.min(F.when(F.col("content").isNotNull(), payload)).alias("x"))

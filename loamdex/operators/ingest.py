@@ -7,26 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from loamdex.functions.text import content_hash
 
 
-def diff(files: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """files (path, content or content_hash) against stored (path, content_hash): (path, change_type) of new, updated, unchanged, deleted.
+def diff(files: DataFrame, stored: DataFrame, force: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """files (by, path, content or content_hash) against stored (by, path, content_hash): (by, path, change_type) of new, updated, unchanged, deleted.
 
     Only paths and hashes are shuffled, never contents."""
-    now = files.select("path", F.col("content_hash") if "content_hash" in files.columns else content_hash(F.col("content")).alias("content_hash")).withColumn("_now", F.lit(True))
-    old = stored.select("path", F.col("content_hash").alias("_old_hash")).withColumn("_old", F.lit(True))
-    both = now.join(old, "path", "full_outer")
+    keys = [*by, "path"]
+    now = files.select(*keys, F.col("content_hash") if "content_hash" in files.columns else content_hash(F.col("content")).alias("content_hash")).withColumn("_now", F.lit(True))
+    old = stored.select(*keys, F.col("content_hash").alias("_old_hash")).withColumn("_old", F.lit(True))
+    both = now.join(old, keys, "full_outer")
     change = (
         F.when(F.col("_old").isNull(), "new")
         .when(F.col("_now").isNull(), "deleted")
         .when(F.lit(force) | F.col("content_hash").isNull() | (F.col("content_hash") != F.col("_old_hash")), "updated")
         .otherwise("unchanged")
     )
-    return both.select("path", change.alias("change_type"))
+    return both.select(*keys, change.alias("change_type"))
 
 
-def resume(stored: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
+def resume(stored: DataFrame, files: DataFrame, changes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Paths still to be extracted: not marked, still on disk, not about to be upserted anyway."""
-    todo = stored.where(~F.col("extracted")).select("path").join(files.select("path"), "path", "left_semi")
-    return todo.join(changes.where(F.col("change_type").isin("new", "updated")).select("path"), "path", "left_anti")
+    keys = [*by, "path"]
+    todo = stored.where(~F.col("extracted")).select(*keys).join(files.select(*keys), keys, "left_semi")
+    return todo.join(changes.where(F.col("change_type").isin("new", "updated")).select(*keys), keys, "left_anti")
 
 
 def upsert_documents(stored: DataFrame, incoming: DataFrame, now) -> DataFrame:
@@ -40,9 +42,10 @@ def delete(table: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     return table.join(gone.select(*on).distinct(), on, "left_anti").select(*table.columns)
 
 
-def mark_extracted(docs: DataFrame, done: DataFrame) -> DataFrame:
-    marks = done.select("path").distinct().withColumn("_done", F.lit(True))
-    return docs.join(marks, "path", "left").withColumn("extracted", F.col("extracted") | F.coalesce("_done", F.lit(False))).select(*docs.columns)
+def mark_extracted(docs: DataFrame, done: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """docs, marked where done (by, path) names them."""
+    marks = done.select(*by, "path").distinct().withColumn("_done", F.lit(True))
+    return docs.join(marks, [*by, "path"], "left").withColumn("extracted", F.col("extracted") | F.coalesce("_done", F.lit(False))).select(*docs.columns)
 
 
 def latest(meta: DataFrame) -> DataFrame:

@@ -25,17 +25,19 @@ def fuzzy_score(line: str, query: str) -> float:
     places = np.arange(len(codes) + 1)
     word = np.array([c.isalnum() for c in line])
     edge = np.concatenate(([True], ~word[:-1] | np.array([a.islower() and b.isupper() for a, b in zip(line, line[1:])], bool)))
-    best, before = np.zeros(len(codes) + 1), None
+    # best[i]: of alignments whose last match stands just before place i
+    best, first = np.zeros(len(codes) + 1), True
     for q in query:
         here = codes == ord(q)
-        # the best score so far at any earlier place, less what the gap costs
-        carry = np.maximum.accumulate(best + _GAP * places * (before is not None)) - _GAP * places * (before is not None)
-        run = np.concatenate(([False], before[:-1])) if before is not None else np.zeros(len(codes), bool)
-        best = np.full(len(codes) + 1, -np.inf)
-        best[1:][here] = (carry[:-1] + _MATCH + _BOUNDARY * edge + _RUN * run)[here]
-        before = here
         if not here.any():
             return 0.0
+        if first:
+            before = np.zeros(len(codes))
+        else:
+            # any earlier place less what the gap costs, or the place before with what a run gains
+            before = np.maximum((np.maximum.accumulate(best + _GAP * places) - _GAP * places)[:-1], best[:-1] + _RUN)
+        best, first = np.full(len(codes) + 1, -np.inf), False
+        best[1:][here] = (before + _MATCH + _BOUNDARY * edge)[here]
     return float(min(max(best.max(), 0.0) / 256.0, 1.0))
 
 

@@ -49,15 +49,3 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "v
 def check_dimension(vectors: DataFrame, dimension: int, embedding: str = "embedding") -> DataFrame:
     """The vectors that have the dimension; the others must be embedded again."""
     return vectors.where(F.size(embedding) == dimension)
-
-
-def signature(embedding: Column, dimension: int, bits: int = 16, seed: int = 7) -> Column:
-    """Random-hyperplane signature, for approximate search: the signs of `bits` projections."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).standard_normal((bits, dimension))
-    out = F.lit(0)
-    for i, plane in enumerate(planes):
-        dot = F.aggregate(F.zip_with(embedding, F.array(*[F.lit(float(x)) for x in plane]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-        out = out + F.when(dot >= 0, 1 << i).otherwise(0)
-    return out

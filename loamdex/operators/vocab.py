@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loamdex.functions.text import split_compound, vocabulary_tokens
 
 
-def build_vocabulary(docs: DataFrame, text: str = "content", camel: bool = False) -> DataFrame:
-    """(word, frequency) over whole documents; tokens count with their compound parts. Partial counts are made before the shuffle."""
-    words = docs.select(F.explode(vocabulary_tokens(F.col(text))).alias("token")).groupBy("token").count()
-    return words.select(F.explode(split_compound(F.col("token"), camel)).alias("word"), "count").groupBy("word").agg(F.sum("count").alias("frequency"))
+def build_vocabulary(docs: DataFrame, text: str = "content", camel: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, word, frequency) over whole documents; tokens count with their compound parts. Partial counts are made before the shuffle."""
+    words = docs.select(*by, F.explode(vocabulary_tokens(F.col(text))).alias("token")).groupBy(*by, "token").count()
+    return words.select(*by, F.explode(split_compound(F.col("token"), camel)).alias("word"), "count").groupBy(*by, "word").agg(F.sum("count").alias("frequency"))
+
+
+#: Unknown words whose substrings are broadcast; more are joined by shuffle.
+BROADCAST_WORDS = 2_000
+
+
+def _segment(length, cap, i):
+    """Start (from 0) and length of the i-th of cap + 1 nearly equal segments of a word."""
+    parts = cap + 1
+    base = F.floor(length / parts).cast("int")
+    longer = length - base * parts
+    return i * base + F.greatest(F.lit(0), i - parts + longer), base + (i >= parts - longer).cast("int")
+
+
+def _segments(vocabulary: DataFrame) -> DataFrame:
+    """(candidate, frequency, cap, n, i, piece): a word's segments, one of which any word within cap edits holds whole, at most cap places away."""
+    grid = F.array(*[F.struct(F.lit(cap).alias("cap"), F.lit(i).alias("i")) for cap in (2, 3) for i in range(cap + 1)])
+    rows = vocabulary.select(F.col("word").alias("candidate"), "frequency", F.length("word").alias("n"), F.explode(grid).alias("g")).select("candidate", "frequency", "n", "g.*")
+    start, size = _segment(F.col("n"), F.col("cap"), F.col("i"))
+    return rows.withColumn("piece", F.substr("candidate", start + 1, size))
+
+
+def _substrings(words: DataFrame) -> DataFrame:
+    """words (word, cap) to (word, cap, n, i, piece): what they hold where segments of words within cap edits may lie."""
+    grid = words.sparkSession.createDataFrame([(cap, more, i, shift) for cap in (2, 3) for more in range(-cap, cap + 1) for i in range(cap + 1) for shift in range(-cap, cap + 1)], "cap int, more int, i int, shift int")
+    rows = words.join(F.broadcast(grid), "cap").withColumn("n", F.length("word") + F.col("more")).where("n > 0")
+    start, size = _segment(F.col("n"), F.col("cap"), F.col("i"))
+    rows = rows.withColumn("at", start + F.col("shift")).withColumn("size", size).where("at >= 0 and at + size <= length(word)")
+    return rows.select("word", "cap", "n", "i", F.substr("word", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
 
 
 def correct_words(words: DataFrame, vocabulary: DataFrame, least: int = 1) -> DataFrame:
     """words (word) to (word, corrected): itself if known or nothing is near; else the vocabulary's nearest within 2 edits
     (3 if longer than 8 bytes), then the most frequent, then the first by name.
 
-    Known words leave by an equi join; only the rest meets the vocabulary in a theta join, whose size is words of queries by distinct words."""
-    asked = words.select("word").distinct()
-    known = asked.join(vocabulary.select("word"), "word", "left_semi")
-    unknown = asked.join(vocabulary.select("word"), "word", "left_anti").where(F.length("word") >= least)
-    cap = F.when(F.octet_length("word") <= 8, 2).otherwise(3)
-    near = vocabulary.select(F.col("word").alias("candidate"), "frequency").join(F.broadcast(unknown.withColumn("cap", cap)), F.abs(F.length("candidate") - F.length("word")) <= F.col("cap"))
+    Candidates come from an equi join: a word cut into cap + 1 segments has one that cap edits leave whole, and that lies at most cap
+    places away. Each is verified by its edit distance."""
+    known = vocabulary.select("word").withColumn("_known", F.lit(True))
+    asked = words.select("word").distinct().join(known, "word", "left")
+    unknown = asked.where(F.col("_known").isNull() & (F.length("word") >= least)).select("word", F.when(F.octet_length("word") <= 8, 2).otherwise(3).alias("cap"))
+    parts = _substrings(unknown)
+    parts = F.broadcast(parts) if unknown.count() <= BROADCAST_WORDS else parts
+    near = _segments(vocabulary).join(parts, ["cap", "n", "i", "piece"])
     near = near.withColumn("distance", F.levenshtein("word", "candidate", 3)).where("distance >= 0 and distance <= cap")
     # the best as one aggregate, so partial results are combined before the shuffle
     best = near.groupBy("word").agg(F.min(F.struct("distance", (-F.col("frequency")).alias("f"), "candidate")).alias("best"))
-    fixed = asked.join(known.withColumn("known", F.lit(True)), "word", "left").join(best, "word", "left")
-    return fixed.select("word", F.when(F.col("known"), F.col("word")).otherwise(F.coalesce("best.candidate", "word")).alias("corrected"))
+    return asked.select("word").join(best, "word", "left").select("word", F.coalesce("best.candidate", "word").alias("corrected"))
 
 
 def correct_queries(queries: DataFrame, vocabulary: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +74,3 @@ def suggest(vocabulary: DataFrame, word: str, limit: int = 5) -> DataFrame:
     cap = 2 if len(word.encode()) <= 8 else 3
     near = vocabulary.withColumn("distance", F.levenshtein("word", F.lit(word), cap)).where("distance >= 0")
     return near.orderBy("distance", F.desc("frequency"), "word").limit(limit)
-
-
-def ranked(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

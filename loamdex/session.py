@@ -86,6 +86,16 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
             outer.extend(df for df in scope if df._scratch in paths)
 
 
+@contextmanager
+def permanent() -> Iterator[None]:
+    """Tables materialised within belong to no scope around them."""
+    _OPEN.scopes = [*getattr(_OPEN, "scopes", []), []]
+    try:
+        yield
+    finally:
+        _OPEN.scopes = _OPEN.scopes[:-1]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no plan still to be run reads."""
     for df in tables:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from loamdex.session import scratch_dir
+
 _LOG = logging.getLogger(__name__)
 
 
@@ -24,16 +27,6 @@ def watch(engine, kb: str | None = None, interval: int | None = None, once: bool
                 _LOG.warning("sync of %s in batch %d failed: %s", name, batch, e)
 
     clock = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{engine.config.data_dir}/watch")
+    writer = clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{scratch_dir(engine.spark)}/loamdex/watch-{uuid.uuid4().hex}")
     # the clock's first batch is empty but runs, so one pass is one sync
     return (writer.trigger(once=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
-
-
-def stream_changes(files: DataFrame, stored: DataFrame) -> DataFrame:
-    """A stream of files (path, content) against a stored table: what is new, updated or unchanged. Deletions need a listing."""
-    from loamdex.functions.text import content_hash
-
-    now = files.select("path", content_hash(F.col("content")).alias("content_hash"))
-    old = stored.select("path", F.col("content_hash").alias("old_hash"))
-    change = F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") != F.col("content_hash"), "updated").otherwise("unchanged")
-    return now.join(old, "path", "left").select("path", "content_hash", change.alias("change_type"))
