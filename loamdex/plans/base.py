@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.session import table
+from loamdex.engine import Engine
+from loamdex.operators import fts, vocab
+from loamdex.session import app_scratch, file_system, materialise, permanent, table
+from loamdex.sources.config import Config, KnowledgeBase, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +26,67 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, tables: str, make: Callable[[], object]):
+    """What make() gives, made once per application and state of the tables: what a sync keeps, searches find ready."""
+    stamps = []
+    for t in tables.split():
+        path = f"{sf_dir}/{t}.parquet"
+        fs, to = file_system(spark, path)
+        status = fs.getFileStatus(to(path))
+        stamps.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, str(sf_dir), name, *stamps)
+    if key not in _MADE:
+        with permanent():
+            _MADE[key] = make()
+    return _MADE[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of documents."""
+
+    def make():
+        docs = documents(spark, sf_dir).select("doc_id", "content")
+        index = fts.postings(docs).sortWithinPartitions("term")
+        return materialise(index, "index-postings"), materialise(fts.lengths(docs), "index-lengths")
+
+    return once(spark, sf_dir, "text", "documents", make)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, frequency) of documents."""
+    return once(spark, sf_dir, "vocabulary", "documents", lambda: materialise(vocab.build_vocabulary(documents(spark, sf_dir)), "index-vocabulary"))
+
+
+ROLES = ("assistant", "system", "user")
+
+
+def config(folder: str) -> Config:
+    return Config({r: KnowledgeBase([], True, f"turns of the {r}") for r in ROLES}, Model(dimensions=32), None, folder)
+
+
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as files: kb (the role), path, content."""
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("kb"), path.alias("path"), F.col("text").alias("content"), "conv_id", "turn")
+
+
+TURN_FILES = "cv as (select role as kb, 'conv/' || conv_id || '/' || turn || '.txt' as path, role || ':conv/' || conv_id || '/' || turn || '.txt' as file, text as content, conv_id, turn from conversations)"
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the turns of conversations, synced."""
+
+    def make():
+        out = Engine(spark, config(f"{app_scratch(spark)}/store-{uuid.uuid4().hex}"), source=lambda names: turn_files(spark, sf_dir).where(F.col("kb").isin(names)))
+        out.sync()
+        return out
+
+    return once(spark, sf_dir, "engine", "conversations", make)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, content, kb (the source)."""
     df = table(spark, sf_dir, "documents")

@@ -8,11 +8,11 @@ from loamdex.functions import text as T
 from loamdex.operators import fts, fusion, lines, retrieve, vector, vocab
 from loamdex.session import table
 
-from .base import DOCS, TURNS, bm25_sql, documents, query, turns
+from .base import DOCS, TURN_FILES, TURNS, bm25_sql, documents, engine, query, text_index, turns, vocabulary
 
 
-def _search(spark, sf_dir, q):
-    return fts.search(documents(spark, sf_dir).select("doc_id", "content"), q).select("doc_id", "score")
+def _search(spark, sf_dir, q, limit=10):
+    return fts.search_index(*text_index(spark, sf_dir), q, limit=limit)
 
 
 @query("fts_bm25_and", f"with {DOCS}, {bm25_sql('docs', [['thing'], ['onble']], 'tf0 > 0 and tf1 > 0')} select * from hits")
@@ -37,61 +37,56 @@ def _fts_phrase(spark, sf_dir):
 
 @query("fts_all_matches", f"with {DOCS}, {bm25_sql('docs', [['erble'], ['ering']], '(tf0 > 0 or tf1 > 0)', limit=None)} select * from hits")
 def _fts_all(spark, sf_dir):
-    return fts.search(documents(spark, sf_dir).select("doc_id", "content"), "erble OR ering", limit=None).select("doc_id", "score")
+    return _search(spark, sf_dir, "erble OR ering", None)
 
 
-@query(
-    "fts_path_fallback",
-    f"with {DOCS}, whole as (select doc_id, path || ' ' || content as body from docs), {bm25_sql('docs', [['src3']], 'tf0 > 0').replace('tok as', 'tok1 as').replace('from tok)', 'from tok1)').replace('cnt as', 'cnt1 as').replace('from cnt)', 'from cnt1)').replace('st as', 'st1 as').replace('from st)', 'from st1)').replace('idfs as', 'idfs1 as').replace('from cnt, idfs', 'from cnt1, idfs1').replace('hits as', 'hits1 as')}, "
-    f"{bm25_sql('whole', [['src3']], 'tf0 > 0', text='body')} select * from hits1 union all select * from hits where not exists (select 1 from hits1)",
-)
+@query("fts_scan", f"with {DOCS}, {bm25_sql('docs', [['of', 'the'], ['thing']], 'tf0 > 0 and tf1 > 0')} select * from hits")
+def _fts_scan(spark, sf_dir):
+    """The same search without an index: a scan of the texts."""
+    return fts.search(documents(spark, sf_dir).select("doc_id", "content"), "of_the thing").select("doc_id", "score")
+
+
+_RANKED = "select file, round(1.0::double / (60 + row_number() over (order by score desc, file)), 9) as score from hits"
+
+
+@query("fts_path_fallback", f"with {TURN_FILES}, whole as (select kb, path, file, path || ' ' || content as body from cv), {bm25_sql('whole', [['txt']], 'tf0 > 0', text='body', key='kb, path', more=', file')} {_RANKED}")
 def _fts_fallback(spark, sf_dir):
-    """The content finds nothing; path and content do."""
-    docs = documents(spark, sf_dir)
-    hits = fts.search(docs.select("doc_id", "content"), "src3")
-    if hits.limit(1).count():
-        return hits.select("doc_id", "score")
-    whole = docs.select("doc_id", F.concat_ws(" ", "path", "content").alias("content"))
-    return fts.search(whole, "src3").select("doc_id", "score")
-
-
-_MANY = """with q as (select item_id as qid, {tok} as w from (select item_id, text from benchmark)),
-qt as (select qid, w[1] as t1, w[2] as t2 from q where len(w) >= 2),
-terms as (select qid, t as term, count(*) as times from (select qid, unnest([t1, t2]) as t from qt) group by qid, t),
-wanted as (select qid, count(*) as wanted from terms group by qid),
-d as (select doc_id, {dtok} as w from documents), dl as (select doc_id, len(w) as l from d),
+    """No chunk holds the word, so the engine searches documents by path and content."""
+    return engine(spark, sf_dir).search("txt", engines=("text",), limit=10).select("file", "score")
+
+
+@query("engine_text", f"with {TURN_FILES}, {bm25_sql('cv', [['the', 'and'], ['of']], 'tf0 > 0 or tf1 > 0', key='kb, path', more=', file')} {_RANKED}")
+def _engine_text(spark, sf_dir):
+    return engine(spark, sf_dir).search("the_and OR of", engines=("text",), limit=10).select("file", "score")
+
+
+_MANY = """with q as (select item_id as qid, {tok} as w from benchmark),
+terms as (select qid, t as term, count(*) as times from (select qid, unnest(w) as t from q) group by qid, t),
+d as (select doc_id, {tok} as w from documents), dl as (select doc_id, len(w) as l from d),
 post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) where term in (select term from terms) group by doc_id, term),
 st as (select cast(count(*) as double) as n, avg(l) as a from dl), df as (select term, cast(count(*) as double) as df from post group by term),
-sc as (select qid, doc_id, sum(times * (case when ln((n - df + 0.5::double) / (df + 0.5::double)) > 0 then ln((n - df + 0.5::double) / (df + 0.5::double)) else 1e-6::double end) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * l / a))) as s, count(*) as m
+sc as (select qid, doc_id, sum(times * (case when ln((n - df + 0.5::double) / (df + 0.5::double)) > 0 then ln((n - df + 0.5::double) / (df + 0.5::double)) else 1e-6::double end) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * l / a))) as s
        from post join terms using (term) join df using (term) join dl using (doc_id), st group by qid, doc_id),
-hits as (select qid, doc_id, round(s, 6) as score from sc join wanted using (qid) where m = wanted)
+hits as (select qid, doc_id, round(s, 6) as score from sc)
 select qid, doc_id, score, cast(row_number() over (partition by qid order by score desc, doc_id) as int) as rank from hits qualify rank <= 10"""
 
 
-@query("fts_batch", _MANY.format(tok=r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')", dtok=r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"))
+@query("fts_batch", _MANY.format(tok=r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"))
 def _fts_batch(spark, sf_dir):
-    """The first two words of every benchmark item as a query; all queries in one plan."""
-    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.fts_tokens(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    queries = words.select("qid", F.concat_ws(" ", F.element_at("w", 1), F.element_at("w", 2)).alias("query"))
-    docs = documents(spark, sf_dir).select("doc_id", "content")
-    tokens = docs.select("doc_id", T.fts_tokens(F.col("content")).alias("t")).select("doc_id", "t", F.size("t").alias("length"))
-    wanted = queries.select(F.explode(F.split("query", " ")).alias("term")).distinct()
-    # only the queries' terms become postings: the explode meets the broadcast terms before any shuffle
-    index = tokens.select("doc_id", "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    return fts.search_many(index, queries, tokens.select("doc_id", "length")).select("qid", "doc_id", "score", "rank")
+    """Every benchmark item as a query of all its words, any of which may match; all queries in one plan."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return fts.search_many(text_index(spark, sf_dir)[0], queries, text_index(spark, sf_dir)[1], require_all=False).select("qid", "doc_id", "score", "rank")
 
 
 @query("fts_postings", r"with d as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from documents) select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest(w) as term from d) group by term")
 def _postings(spark, sf_dir):
     """Document and collection frequency of every term."""
-    index = fts.postings(documents(spark, sf_dir).select("doc_id", "content"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return text_index(spark, sf_dir)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("fts_corpus_stats", r"with d as (select len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) as l from documents) select count(*) as n, cast(sum(l) as bigint) as tokens, round(avg(l), 6) as average from d")
 def _corpus_stats(spark, sf_dir):
-    length = F.size(T.fts_tokens(F.col("content")))
-    return documents(spark, sf_dir).select(length.cast("long").alias("l")).agg(F.count("*").alias("n"), F.sum("l").alias("tokens"), F.round(F.avg("l"), 6).alias("average"))
+    return fts.corpus_stats(fts.lengths(documents(spark, sf_dir))).withColumn("average", F.round("average", 6))
 
 
 @query("fts_sanitize", r"""select item_id, trim(regexp_replace(translate('  ("' || text || '"*) ? + {x}^~-y', '?*()"+-^{}~', ''), '\s+', ' ', 'g')) as clean from benchmark""")
@@ -116,26 +111,25 @@ def _compound(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.split_compound(token), " ").alias("parts"))
 
 
-_WORDS = "asked as (select distinct lower(substr(w, 1, length(w) - 1) || 'q') as word from (select regexp_extract(text, '[a-zA-Z]{4,}') as w from benchmark) where w <> '')"
+_WORDS = "asked as (select distinct lower(unnest(string_split(p_name || ' ' || p_type, ' '))) as word from part)"
 _CORRECT = """near as (select a.word, v.word as candidate, frequency, levenshtein(a.word, v.word) as distance from asked a join voc v on abs(length(a.word) - length(v.word)) <= 3 where a.word not in (select word from voc)),
 best as (select word, arg_min(candidate, (distance, -frequency, candidate)) as best from near where distance <= case when strlen(word) <= 8 then 2 else 3 end group by word)"""
 
 
 def _asked(spark, sf_dir):
-    first = F.regexp_extract("text", "[a-zA-Z]{4,}", 0)
-    words = table(spark, sf_dir, "benchmark").select(first.alias("w")).where("w <> ''")
-    return words.select(F.lower(F.concat(F.expr("substr(w, 1, length(w) - 1)"), F.lit("q"))).alias("word")).distinct()
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    return table(spark, sf_dir, "part").select(F.explode(F.transform(words, F.lower)).alias("word")).distinct()
 
 
 @query("fuzzy_correct", f"with {_VOCAB}, {_WORDS}, {_CORRECT} select word, coalesce(best, word) as corrected from asked left join best using (word)")
 def _correct(spark, sf_dir):
-    """The first word of every benchmark item with its last letter wrong."""
-    return vocab.correct_words(_asked(spark, sf_dir), vocab.build_vocabulary(documents(spark, sf_dir)))
+    """The words of all names and types of parts, by the vocabulary of documents."""
+    return vocab.correct_words(_asked(spark, sf_dir), vocabulary(spark, sf_dir))
 
 
 @query("fuzzy_suggest", f"with {_VOCAB} select word, frequency, cast(levenshtein(word, 'thingk') as int) as distance from voc where levenshtein(word, 'thingk') <= 2 order by distance, frequency desc, word limit 5")
 def _suggest(spark, sf_dir):
-    return vocab.suggest(vocab.build_vocabulary(documents(spark, sf_dir)), "thingk")
+    return vocab.suggest(vocabulary(spark, sf_dir), "thingk")
 
 
 _FUZZY = _CORRECT.replace("asked a", "asked a")
@@ -153,10 +147,9 @@ from c, s where f0 > 0 and f1 > 0 order by score desc, doc_id limit 10""",
 )
 def _fuzzy_search(spark, sf_dir):
     """Typo correction, then BM25 on the corrected words."""
-    docs = documents(spark, sf_dir).select("doc_id", "content")
     asked = spark.createDataFrame([(0, "Thingg onblle")], "qid int, query string")
-    fixed, _ = vocab.correct_queries(asked, vocab.build_vocabulary(docs))
-    return fts.search(docs, fixed.first().corrected).select("doc_id", "score")
+    fixed, _ = vocab.correct_queries(asked, vocabulary(spark, sf_dir))
+    return _search(spark, sf_dir, fixed.first().corrected)
 
 
 def _first_vector(spark, sf_dir):
@@ -218,45 +211,41 @@ def _top1(spark, sf_dir):
     return fusion.document_max(rows)
 
 
-_HYBRID = f"""with {TURNS}, {bm25_sql('turns', [['the'], ['and']], '(tf0 > 0 or tf1 > 0)', key='chunk_id', limit=20, more=', file, line_start')},
-f as (select 'fts' as engine, file, chunk_id, row_number() over (order by score desc, file, chunk_id, line_start) as rank from hits),
+_HYBRID = f"""with {TURN_FILES}, {bm25_sql('cv', [['the'], ['and']], '(tf0 > 0 or tf1 > 0)', key='kb, path', limit=20, more=', file')},
+f as (select 'fts' as engine, file, row_number() over (order by score desc, file) as rank from hits),
 vq as (select cast(arg_min(embedding, vec_id) as double[]) as v from embeddings),
-vk as (select vec_id, round(list_distance(cast(embedding as double[]), v), 6) as distance from embeddings, vq order by distance, vec_id limit 20),
-v as (select 'vector' as engine, file, chunk_id, row_number() over (order by distance, file, chunk_id) as rank from (select file, chunk_id, round(1 / (1 + distance), 6) as s, -round(1 / (1 + distance), 6) as distance from vk join turns on turns.doc_id = vk.vec_id and line_start = 1)),
-ll as (select file, chunk_id, line_start as cl, unnest(range(1, len(x) + 1)) as line_no, unnest(x) as line from (select file, chunk_id, line_start, string_split(content, chr(10)) as x from turns)),
-lh as (select file, cl, line_no from ll where contains(lower(trim(line)), 'from') order by file, cl, line_no limit 20),
-l as (select 'fuzzy' as engine, file, cast(null as bigint) as chunk_id, row_number() over (order by file, cl) as rank from lh),
-a as (select * from f union all select * from v union all select * from l),
-g as (select file, chunk_id, sum(1.0::double / (60 + rank)) as rrf, list(distinct engine) as sources from a group by file, chunk_id),
-p as (select file, rrf, sources from g where chunk_id is null),
-o as (select g.file, g.chunk_id, g.rrf + coalesce(p.rrf, 0) as s, list_concat(g.sources, coalesce(p.sources, [])) as src from g left join p using (file) where g.chunk_id is not null
-      union all select p.file, null, p.rrf, p.sources from p where not exists (select 1 from g where g.file = p.file and g.chunk_id is not null))
-select o.file, o.chunk_id, round(s, 9) as score, array_to_string(list_filter(['fts', 'vector', 'fuzzy', 'graph'], lambda x: list_contains(src, x)), ',') as sources
-from o left join turns t on t.chunk_id = o.chunk_id order by score desc, o.file, t.line_start nulls last, o.chunk_id limit 10"""
+vk as (select vec_id, round(1 / (1 + distance), 6) as score from (select vec_id, round(list_distance(cast(embedding as double[]), v), 6) as distance from embeddings, vq order by distance, vec_id limit 20)),
+v as (select 'vector' as engine, file, row_number() over (order by score desc, file) as rank from vk join cv on cv.conv_id = vk.vec_id and turn = 0),
+ll as (select file, unnest(range(1, len(x) + 1)) as line_no, trim(unnest(x)) as line from (select file, string_split(content, chr(10)) as x from cv)),
+lh as (select file, line_no, line from ll where contains(lower(line), 'from') and line <> '' order by file, line_no limit 20),
+l as (select 'fuzzy' as engine, file, line, row_number() over (order by file, line_no) as rank from lh),
+gh as (select kb, path, file from cv where len(list_filter(regexp_extract_all(content, '\\b[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*'), lambda n: contains(lower(n), 'ther'))) > 0 order by kb, path limit 20),
+g as (select 'graph' as engine, file, row_number() over (order by file) as rank from gh),
+a as (select engine, file, rank, null as line from f union all select engine, file, rank, null from v union all select engine, file, rank, line from l union all select engine, file, rank, null from g),
+s as (select file, sum(1.0::double / (60 + rank)) as s, list(distinct engine) as src, bool_or(engine in ('fts', 'vector')) as chunk, arg_min(line, rank) filter (line is not null) as line from a group by file)
+select file, round(s, 9) as score, array_to_string(list_filter(['fts', 'vector', 'fuzzy', 'graph'], lambda x: list_contains(src, x)), ',') as sources,
+case when chunk then content when line is not null then line else content end as content from s join cv using (file) order by score desc, file limit 10"""
 
 
 @query("hybrid_search", _HYBRID)
 def _hybrid(spark, sf_dir):
-    """Text, vector and line hits over conversation turns, fused; line hits count for every chunk of their file."""
-    chunks = turns(spark, sf_dir)
-    columns = ["file", "chunk_id", "content", "line_start", "line_end", "chunk_type"]
-    text = fts.search(chunks.select(*columns), "the OR and", keys=("chunk_id",), limit=20).withColumn("engine", F.lit("fts"))
+    """The engine's text, graph and line hits and the nearest vectors, fused: hits of a file count for its chunks, and what the graph alone finds shows the file's first chunk."""
+    e = engine(spark, sf_dir)
+    hits = e.hits("the OR and", "the OR and", None, 20, ("text",)).unionByName(e.hits("ther", "ther", None, 20, ("graph",))).unionByName(e.hits("from", "from", None, 20, ("local",), True))
+    chunks = e._chunks(None)
     near = vector.knn(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20)
-    near = near.join(chunks.where("line_start = 1"), near["vec_id"] == chunks["doc_id"]).select(*columns, "score", F.lit("vector").alias("engine"))
-    found = chunks.select("file", "line_start", F.posexplode(T.lines(F.col("content"))).alias("k", "line")).where(F.contains(F.lower(F.trim("line")), F.lit("from")))
-    found = found.orderBy("file", "line_start", "k").limit(20).select("file", F.lit(None).cast("long").alias("chunk_id"), F.col("line").alias("content"), "line_start", F.col("line_start").alias("line_end"), F.lit(None).cast("string").alias("chunk_type"), F.lit(1.0).alias("score"), F.lit("fuzzy").alias("engine"))
-    fused = fusion.fuse(text.unionByName(near).unionByName(found), limit=10)
-    return fused.select("file", "chunk_id", "score", F.array_join("sources", ",").alias("sources"))
+    near = chunks.join(near, F.col("path") == F.concat(F.lit("conv/"), F.col("vec_id").cast("string"), F.lit("/0.txt"))).withColumn("engine", F.lit("vector")).select(*hits.columns)
+    out = fusion.enrich_graph_only(fusion.fuse(hits.unionByName(near), limit=10), chunks)
+    return out.select("file", "score", F.array_join("sources", ",").alias("sources"), "content")
 
 
-@query("smart_fanout_dedup", f"""with {TURNS}, {bm25_sql('turns', [['the']], 'tf0 > 0', key='chunk_id', limit=20).replace('hits as', 'h0 as')},
-{bm25_sql('turns', [['and']], 'tf0 > 0', key='chunk_id', limit=20).replace('tok as', 'tok2 as').replace('from tok)', 'from tok2)').replace('cnt as', 'cnt2 as').replace('from cnt)', 'from cnt2)').replace('st as', 'st2 as').replace('from st)', 'from st2)').replace('idfs as', 'idfs2 as').replace('from cnt, idfs', 'from cnt2, idfs2').replace('hits as', 'h1 as')}
-select chunk_id, max(score) as score from (select * from h0 union all select * from h1) group by chunk_id""")
+@query("smart_fanout_dedup", f"""with {TURN_FILES}, {bm25_sql('cv', [['the']], 'tf0 > 0', key='kb, path', limit=20, more=', file').replace('hits as', 'h0 as')},
+{bm25_sql('cv', [['and']], 'tf0 > 0', key='kb, path', limit=20, more=', file').replace('tok as', 'tok2 as').replace('from tok)', 'from tok2)').replace('cnt as', 'cnt2 as').replace('from cnt)', 'from cnt2)').replace('st as', 'st2 as').replace('from st)', 'from st2)').replace('idfs as', 'idfs2 as').replace('from cnt, idfs', 'from cnt2, idfs2').replace('hits as', 'h1 as')},
+hits as (select file, max(score) as score from (select * from h0 union all select * from h1) group by file)
+{_RANKED} order by score desc limit 10""")
 def _fanout(spark, sf_dir):
-    """Two sub-queries; of a chunk that both find the better hit stays."""
-    chunks = turns(spark, sf_dir).select("chunk_id", "content")
-    hits = [fts.search(chunks, q, keys=("chunk_id",), limit=20).select("chunk_id", "score") for q in ("the", "and")]
-    return fusion.dedup_best(hits[0].unionByName(hits[1]), ("chunk_id",), ())
+    """A smart search of two sub-queries; of a chunk that both find the better hit counts."""
+    return engine(spark, sf_dir).search("the! And?", engines=("text",), smart=True, limit=10, fetch_k=20).select("file", "score")
 
 
 @query("first_chunk_enrich", f"with {TURNS} select file, arg_min(chunk_id, line_start) as chunk_id, arg_min(content, line_start) as content, min(line_start) as line_start from turns group by file")
@@ -282,12 +271,13 @@ def _neighbours(spark, sf_dir):
     return retrieve.neighbours(chunks, chunks.where("chunk_type = 'assistant'"), 1, 2).select("wanted_id", "chunk_id", "offset")
 
 
-@query("retrieve_context_lines", """with d as (select doc_id, string_split(text, chr(10)) as x from documents)
-select doc_id, array_to_string(list_slice(x, 1, 2), '|') as before, array_to_string(list_slice(x, 5, 6), '|') as after from d where len(x) >= 4""")
+@query("retrieve_context_lines", """with d as (select doc_id, string_split(case when text[-1] = chr(10) then text[1:-2] else text end, chr(10)) as x from documents where text <> '')
+select doc_id, array_to_string(list_slice(x, greatest(1, m - 2), m - 1), '|') as before, array_to_string(list_slice(x, m + 1, m + 2), '|') as after from (select *, len(x) // 2 + 1 as m from d)""")
 def _context(spark, sf_dir):
-    """Lines 3 and 4 of each document as a chunk, with the two lines before and after."""
+    """The middle line of each document as a chunk, with the two lines before and after."""
     docs = documents(spark, sf_dir).select("doc_id", "content")
-    chunks = docs.where(F.size(T.lines(F.col("content"))) >= 4).select("doc_id", F.lit(3).alias("line_start"), F.lit(4).alias("line_end"))
+    middle = F.floor(F.size(T.lines(F.col("content"))) / 2).cast("int") + 1
+    chunks = docs.where("content <> ''").select("doc_id", middle.alias("line_start"), middle.alias("line_end"))
     out = retrieve.line_context(chunks, docs, 2, 2)
     return out.select("doc_id", F.array_join("context_before_lines", "|").alias("before"), F.array_join("context_after_lines", "|").alias("after"))
 
@@ -297,21 +287,23 @@ def _preview(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.preview(F.col("content")).alias("preview"), "path")
 
 
-@query("snippet")
+@query("snippet", f"""with {DOCS}, {bm25_sql('docs', [['thing'], ['onble']], 'tf0 > 0 and tf1 > 0')},
+w as (select doc_id, list_filter(string_split_regex(content, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from docs where doc_id in (select doc_id from hits)),
+m as (select doc_id, w, list_transform(w, lambda x: list_filter(['thing', 'onble'], lambda t: list_contains(regexp_extract_all(strip_accents(lower(x)), '[\\p{{L}}\\p{{N}}]+'), t))) as h from w),
+c as (select doc_id, w, h, greatest(0, least(i, len(w) - 32)) as s from (select *, unnest(range(0, len(w))) as i from m) where len(h[i + 1]) > 0),
+b as (select doc_id, any_value(w) as w, arg_min(s, (-n, s)) as s from (select *, len(list_distinct(flatten(list_slice(h, s + 1, s + 32)))) as n from c) group by doc_id)
+select doc_id, case when s > 0 then '...' else '' end || array_to_string(list_slice(w, s + 1, s + 32), ' ') || case when s + 32 < len(w) then '...' else '' end as snippet from b""")
 def _snippet(spark, sf_dir):
-    hits = fts.search(documents(spark, sf_dir).select("doc_id", "content"), "thing onble")
-    return hits.select("doc_id", T.snippet(F.col("content"), ["thing", "onble"]).alias("snippet"))
+    hits = _search(spark, sf_dir, "thing onble")
+    return documents(spark, sf_dir).join(F.broadcast(hits), "doc_id").select("doc_id", T.snippet(F.col("content"), ["thing", "onble"]).alias("snippet"))
 
 
-@query("embed_format", """select doc_id, 'title: ' || doc_id || ' | text: ' || text as input, 'task: search result | query: ' || substr(text, 1, 20) as query from documents""")
+@query("embed_format", """select doc_id, 'title: ' || doc_id || ' | text: ' || text as input, 'task: search result | query: ' || text as query from documents""")
 def _embed_format(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", T.document_input(T.file_stem(F.col("path")), F.col("content")).alias("input"), T.query_input("search result", F.substring("content", 1, 20)).alias("query"))
+    return docs.select("doc_id", T.document_input(T.file_stem(F.col("path")), F.col("content")).alias("input"), T.query_input("search result", F.col("content")).alias("query"))
 
 
-@query("levenshtein_names", "select a.p_brand || b.p_type as pair, cast(levenshtein(a.p_brand, b.p_type) as int) as distance from (select distinct p_brand from part) a, (select distinct p_type from part) b")
+@query("levenshtein_names", "select p_partkey, cast(levenshtein(p_brand, p_type) as int) as distance from part")
 def _levenshtein(spark, sf_dir):
-    """Every brand against every type: two short lists of names."""
-    part = table(spark, sf_dir, "part")
-    pairs = part.select("p_brand").distinct().crossJoin(F.broadcast(part.select("p_type").distinct()))
-    return pairs.select(F.concat("p_brand", "p_type").alias("pair"), F.levenshtein("p_brand", "p_type").alias("distance"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_brand", "p_type").alias("distance"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from loamdex.engine import Engine
 from loamdex.functions import text as T
 from loamdex.operators import chunking, graph, ingest
-from loamdex.session import table
+from loamdex.session import app_scratch, materialise, table
 from loamdex.sources import files
 
-from .base import DOCS, documents, query
+from .base import DOCS, TURN_FILES, config, documents, engine, once, query, turn_files
 
 _OLD = "case when kb = 'src1' then content || 'x' else content end"
 _STORED = f"stored as (select path, kb, sha256({_OLD}) as content_hash from docs where strlen(content) < 6000), files as (select path, sha256(content) as content_hash from docs where strlen(content) > 300)"
@@ -123,13 +126,62 @@ def _chunk_markdown(spark, sf_dir):
     return out.select("conv_id", "ordinal", "line_start", "line_end", "chunk_type", T.content_hash(F.col("content")).alias("digest"))
 
 
-@query("chunk_code")
+# Documents of one sentence a line, with marks in some of them, and the reference lists spelt out once more for the oracles.
+_SENTENCES = "string_split(replace(text, '. ', '.' || chr(10)), chr(10))"
+_STARTS = [
+    "fn ", "pub fn ", "async fn ", "pub async fn ", "impl ", "pub impl ", "struct ", "pub struct ", "enum ", "pub enum ", "trait ", "pub trait ", "mod ", "pub mod ", "def ", "async def ", "class ", "function ",
+    "async function ", "export function ", "export async function ", "export class ", "export default function", "export default class", "func ", "public class ", "private class ", "protected class ", "fun ",
+]
+_NEARLY = ["const ", "export const ", "private ", "public ", "static ", "pub(crate) fn ", "impl<", "let ", "Def ", "functions "]
+_MARKS = [f"  {x}" if i % 3 == 0 else x for i, x in enumerate(_STARTS + _NEARLY)]
+_LINES = """d as (select doc_id, case when x[len(x)] = '' then x[1:len(x) - 1] else x end as x from (select doc_id, {lines} as x from documents)), l as (select doc_id, unnest(range(1, len(x) + 1)) as k, unnest(x) as line from d),
+p as (select doc_id, k, sum(strlen(line) + 1) over w as total, max(case when trim(line, e' \\t\\r\\n\\f\\v') = '' then k end) over w as blank, {mark} as mark, line from l window w as (partition by doc_id order by k))"""
+_PIECES = """parts as (select doc_id, a1 as a, b1 as b, t1 as t from s where b1 >= a1 union all select doc_id, a2, b2, t2 from s where b2 >= a2 union all select doc_id, a, k, {rest} from s where not exists (select 1 from l where l.doc_id = s.doc_id and l.k = s.k + 1) and a <= k),
+c as (select parts.doc_id, a, b, t, string_agg(line, chr(10) order by k) as content from parts join l on l.doc_id = parts.doc_id and l.k between a and b group by all),
+ok as (select * from c where strlen(trim(content, e' \\t\\r\\n\\f\\v')) >= 30),
+whole as (select doc_id, 1 as a, greatest(1, max(k)) as b, '{whole}' as t, string_agg(line, chr(10) order by k) as content from l where doc_id not in (select doc_id from ok) group by doc_id having trim(string_agg(line, chr(10) order by k), e' \\t\\r\\n\\f\\v') <> '')
+select doc_id, cast(row_number() over (partition by doc_id order by a) - 1 as int) as ordinal, cast(a as int) as line_start, cast(b as int) as line_end, t as chunk_type, sha256(content) as digest from (select * from ok union all select * from whole)"""
+
+
+def _sentences(spark, sf_dir, kind: str, line):
+    rows = F.transform(F.split(F.replace("content", F.lit(". "), F.lit(".\n")), "\n"), line)
+    return documents(spark, sf_dir).select("doc_id", F.lit(f"a/b.{kind}").alias("path"), F.array_join(rows, "\n").alias("content"))
+
+
+def _chunked(docs):
+    out = chunking.chunk_documents(docs)
+    return out.select("doc_id", "ordinal", "line_start", "line_end", "chunk_type", T.content_hash(F.col("content")).alias("digest"))
+
+
+_CODE_LINES = _LINES.format(
+    lines=f"list_transform({_SENTENCES}, lambda v, i: case when i % 7 = 3 then ([{', '.join(repr(m) for m in _MARKS)}])[(i + doc_id) % {len(_MARKS)} + 1] || v else v end)",
+    mark=" or ".join(f"starts_with(ltrim(line, e' \\t\\r\\n\\f\\v'), {x!r})" for x in _STARTS),
+)
+
+
+@query("chunk_code", f"""with recursive {_CODE_LINES},
+s as (select distinct doc_id, 0::bigint as k, 1::bigint as a, 0::hugeint as base, 1::bigint as a1, 0::bigint as b1, '' as t1, 1::bigint as a2, 0::bigint as b2, '' as t2 from d
+union all select doc_id, k, case when big then k + 1 else c end, case when big then total else cbase end, a, case when cut then k - 1 else 0 end, 'function', c, case when big then k else 0 end, 'code_block'
+from (select *, total - cbase > 8000 or k - c + 1 >= 100 as big from (select s.doc_id, p.k, s.a, p.total, p.mark and s.a < p.k as cut, case when p.mark then p.k else s.a end as c, case when p.mark and s.a < p.k then p.total - strlen(p.line) - 1 else s.base end as cbase from s join p on p.doc_id = s.doc_id and p.k = s.k + 1))),
+{_PIECES.format(rest="'function'", whole="code_block")}""")
 def _chunk_code(spark, sf_dir):
-    """A function per turn of a conversation."""
-    line = F.concat(F.lit("def turn_"), F.col("turn").cast("string"), F.lit("():\n    return '''"), F.col("text"), F.lit("'''"))
-    made = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("t")))).alias("x"))
-    docs = made.select("conv_id", F.lit("a/b.py").alias("path"), F.array_join(F.transform("x", lambda t: t["t"]), "\n\n").alias("content"))
-    return chunking.chunk_documents(docs, key="conv_id")
+    """Every seventh line starts with a word that opens a definition, or with one that looks like it; long runs are cut."""
+    marks = F.array(*[F.lit(m) for m in _MARKS])
+    return _chunked(_sentences(spark, sf_dir, "py", lambda v, i: F.when((i + 1) % 7 == 3, F.concat(F.element_at(marks, ((i + 1 + F.col("doc_id")) % len(_MARKS) + 1).cast("int")), v)).otherwise(v)))
+
+
+_MD_LINES = _LINES.format(lines=f"list_transform({_SENTENCES}, lambda v, i: case when i % 97 = 50 then '# ' || v when i % 61 = 3 then '' else '- ' || v end)", mark="starts_with(line, '#')")
+
+
+@query("chunk_markdown_long", f"""with recursive {_MD_LINES},
+s as (select distinct doc_id, 0::bigint as k, 1::bigint as a, 0::hugeint as base, 'paragraph' as kind, 1::bigint as a1, 0::bigint as b1, '' as t1, 1::bigint as a2, 0::bigint as b2, '' as t2 from d
+union all select z.doc_id, z.k, case when big then cut_at + 1 else c end, case when big then coalesce(m.total, 0) else cbase end, now, a, case when z.mark then z.k - 1 else 0 end, kind, c, case when big then cut_at else 0 end, now
+from (select *, case when blank >= c + (k - c + 1) // 2 then blank else c + (k - c + 1) // 2 - 1 end as cut_at from (select *, total - cbase > 8000 as big from (select s.doc_id, p.k, s.a, p.total, p.blank, p.mark, s.kind, case when p.mark then p.k else s.a end as c, case when p.mark then p.total - strlen(p.line) - 1 else s.base end as cbase, case when p.mark then 'heading_section' else s.kind end as now from s join p on p.doc_id = s.doc_id and p.k = s.k + 1))) z
+left join p m on z.big and m.doc_id = z.doc_id and m.k = z.cut_at),
+{_PIECES.format(rest="kind", whole="paragraph")}""")
+def _chunk_markdown_long(spark, sf_dir):
+    """Sections of over 8000 bytes are cut after their last blank line beyond the middle, or in the middle."""
+    return _chunked(_sentences(spark, sf_dir, "md", lambda v, i: F.when((i + 1) % 97 == 50, F.concat(F.lit("# "), v)).when((i + 1) % 61 == 3, "").otherwise(F.concat(F.lit("- "), v))))
 
 
 def _extractions(spark, sf_dir):
@@ -152,33 +204,41 @@ rel as (select distinct regexp_replace(lower(a.p_name), '[^\p{L}\p{N}]', '_', 'g
 both_ways as (select src, dst from rel union select dst, src from rel)"""
 
 
+def _graph(spark, sf_dir):
+    """Nodes and edges, as a sync would have stored them."""
+
+    def make():
+        extractions = materialise(_extractions(spark, sf_dir), "graph-extractions")
+        nodes, edges = graph.ingest(extractions)
+        return materialise(nodes, "graph-nodes"), materialise(edges, "graph-edges")
+
+    return once(spark, sf_dir, "graph", "lineitem part", make)
+
+
 @query("graph_dedup", f"with {_GRAPH} select node_id, name, type from ent")
 def _graph_nodes(spark, sf_dir):
     """Entities by id: many parts collapse into one node, the last document's type wins."""
-    nodes, _ = graph.ingest(_extractions(spark, sf_dir))
-    return nodes.where("label = 'Entity'").select("node_id", "name", "type")
+    return _graph(spark, sf_dir)[0].where("label = 'Entity'").select("node_id", "name", "type")
 
 
 @query("graph_search", f"with {_GRAPH}, hit as (select path, min(dst) as e from men where dst in (select node_id from ent where contains(lower(name), 'ring') or contains(lower(name), 'hot')) group by path) select path, 1.0::double as score, coalesce((select string_agg(distinct name, ',' order by name) from both_ways b join ent on ent.node_id = b.dst where b.src = hit.e), '') as related from hit")
 def _graph_search(spark, sf_dir):
-    nodes, edges = graph.ingest(_extractions(spark, sf_dir))
-    return graph.search(nodes, edges, "Ring hot", limit=None).select("path", "score", F.array_join("related_entities", ",").alias("related"))
+    return graph.search(*_graph(spark, sf_dir), "Ring hot", limit=None).select("path", "score", F.array_join("related_entities", ",").alias("related"))
 
 
 @query("graph_neighbors", f"with {_GRAPH} select f.node_id, f.name, string_agg(distinct o.name, ',' order by o.name) as neighbours from ent f join both_ways b on b.src = f.node_id join ent o on o.node_id = b.dst where contains(lower(f.name), 'red') group by 1, 2")
 def _graph_neighbours(spark, sf_dir):
-    nodes, edges = graph.ingest(_extractions(spark, sf_dir))
-    return graph.neighbours(nodes, edges, "red").select("node_id", "name", F.array_join("neighbours", ",").alias("neighbours"))
+    return graph.neighbours(*_graph(spark, sf_dir), "red").select("node_id", "name", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query("graph_stats", f"with {_GRAPH} select (select count(*) from ent) + (select count(*) from doc) as node_count, (select count(*) from men) + (select count(*) from rel) as edge_count")
 def _graph_stats(spark, sf_dir):
-    return graph.stats(*graph.ingest(_extractions(spark, sf_dir)))
+    return graph.stats(*_graph(spark, sf_dir))
 
 
 @query("graph_remove_document", f"with {_GRAPH}, gone as (select distinct 'order/' || o_orderkey as path from orders where o_orderpriority like '1%') select (select count(*) from ent) + (select count(*) from doc where path not in (select path from gone)) as node_count, (select count(*) from men where path not in (select path from gone)) + (select count(*) from rel where path not in (select path from gone)) as edge_count")
 def _graph_remove(spark, sf_dir):
-    nodes, edges = graph.ingest(_extractions(spark, sf_dir))
+    nodes, edges = _graph(spark, sf_dir)
     gone = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
     return graph.stats(*graph.remove_document(nodes, edges, gone))
 
@@ -199,16 +259,55 @@ def _extraction(spark, sf_dir):
     return parsed.select("event_id", name.alias("name"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.size("x.entities").alias("entities"))
 
 
-@query("kb_status", "select source as kb, count(*) as documents, count(l.doc_id) as extracted, cast(sum(strlen(text)) as bigint) as bytes from documents d left join (select distinct doc_id from labels) l using (doc_id) group by source")
+_ENTITIES = "e as (select kb, path, regexp_replace(lower(n), '[^\\p{L}\\p{N}]', '_', 'g') as id from (select kb, path, unnest(regexp_extract_all(content, '\\b[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*')) as n from cv))"
+_WORDS = "v as (select distinct kb, unnest(list_distinct(list_concat([t], list_filter(string_split_regex(t, '[_-]'), lambda p: length(p) >= 3)))) as word from (select kb, lower(unnest(regexp_extract_all(content, '[a-zA-Z][a-zA-Z0-9_-]{2,}'))) as t from cv))"
+
+
+@query("kb_status", f"""with {TURN_FILES}, {_ENTITIES}, {_WORDS}, d as (select kb, count(*) as n, cast(sum(strlen(content)) as bigint) as bytes from cv group by kb)
+select kb, 'turns of the ' || kb as description, n as documents, n as extracted, bytes, n as chunks, (select count(*) from v where v.kb = d.kb) as vocabulary, n as vectors, n + (select count(distinct id) from e where e.kb = d.kb) as node_count from d""")
 def _status(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("extracted", F.lit(True))
-    docs = documents(spark, sf_dir).join(labels, "doc_id", "left")
-    return docs.groupBy("kb").agg(F.count("*").alias("documents"), F.count("extracted").alias("extracted"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+    return engine(spark, sf_dir).status().select("kb", "description", "documents", "extracted", "bytes", "chunks", "vocabulary", "vectors", "node_count")
 
 
-@query("kb_list", "select source as kb, count(*) as documents, max(doc_id) as last_doc from documents group by source order by kb")
+@query("kb_list", "select role as kb, 'turns of the ' || role as description, true as auto_sync, count(*) as documents, true as synced from conversations group by role")
 def _list(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy("kb").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last_doc")).orderBy("kb")
+    return engine(spark, sf_dir).list_kbs().select("kb", "description", "auto_sync", "documents", F.col("last_sync").isNotNull().alias("synced"))
+
+
+@query("chunks_stored", f"with {TURN_FILES} select kb, path, 0 as ordinal, content, 1 as line_start, cast(len(string_split(content, chr(10))) as int) as line_end, 'paragraph' as chunk_type from cv")
+def _chunks_stored(spark, sf_dir):
+    """What a sync has stored of turns, each a paragraph."""
+    return engine(spark, sf_dir).store.read("chunks").select("kb", "path", "ordinal", "content", "line_start", "line_end", "chunk_type")
+
+
+def _second_sync(spark, sf_dir):
+    """A store synced twice: before the second time turns were added, changed and taken away."""
+
+    def make():
+        now = [True]
+        every = turn_files(spark, sf_dir)
+        first = every.where("turn <> 1").withColumn("content", F.when(F.col("conv_id") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+        e = Engine(spark, config(f"{app_scratch(spark)}/store-{uuid.uuid4().hex}"), source=lambda names: (first if now[0] else every.where("turn <> 2")).where(F.col("kb").isin(names)))
+        e.sync()
+        now[0] = False
+        return e, materialise(e.sync(), "second-sync")
+
+    return once(spark, sf_dir, "second sync", "conversations", make)
+
+
+_CHANGED = "x as (select role as kb, case when turn = 1 then 'new' when turn = 2 then 'deleted' when conv_id % 3 = 0 then 'updated' else 'unchanged' end as change, text from conversations)"
+
+
+@query("sync_incremental", f"with {_CHANGED} select kb, count(*) filter (change = 'new') as new, count(*) filter (change = 'updated') as updated, count(*) filter (change = 'deleted') as deleted, count(*) filter (change = 'unchanged') as unchanged, 0::bigint as resumed, count(*) filter (change <> 'deleted') as chunks, count(*) filter (change in ('new', 'updated')) as vectors_embedded, 0::bigint as errors, case when count(*) filter (change <> 'unchanged') > 0 then 'synced' else 'up to date' end as status from x group by kb")
+def _sync_incremental(spark, sf_dir):
+    return _second_sync(spark, sf_dir)[1].select("kb", "new", "updated", "deleted", "unchanged", "resumed", "chunks", "vectors_embedded", "errors", "status")
+
+
+@query("sync_index", r"with d as (select regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w, row_number() over () as k from conversations where turn <> 2) select term, count(distinct k) as df, count(*) as cf from (select k, unnest(w) as term from d) group by term")
+def _sync_index(spark, sf_dir):
+    """The index that the second sync has kept up with the changes."""
+    index = _second_sync(spark, sf_dir)[0].store.read("postings").where("level = 'chunk'")
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 _PATH = r"p as (select page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || case page_id % 5 when 0 then '.md' when 1 then '.RS' when 2 then '.png' when 3 then '.log' else '' end as path from pages)"
@@ -220,9 +319,28 @@ def _paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(bare, end).alias("path"))
 
 
-@query("ext_filter", f"with {_PATH} select page_id, path from p where regexp_matches(lower(path), '[^/]\\.(md|rs|html)$')")
+# The endings of the filters' tests: all indexed ones, in both cases, and others.
+_INDEXED = "md txt rs toml yaml yml json py js ts tsx jsx sh css html xml csv sql tf hcl conf ini cfg env".split()
+_ENDINGS = [*_INDEXED, "MD", "Html", "CFG", "markdown", "rst", "org", "adoc", "go", "java", "c", "cpp", "h", "rb", "png", "log", ""]
+
+
+@query("ext_filter", f"with p as (select page_id, 'a/x' || page_id || '.' || ([{', '.join(repr(x) for x in _ENDINGS)}])[page_id % {len(_ENDINGS)} + 1] as path from pages) select page_id, path from p where list_contains([{', '.join(repr(x) for x in _INDEXED)}], lower(regexp_extract(path, '[^.]*$')))")
 def _ext(spark, sf_dir):
-    return _paths(spark, sf_dir).where(files.allowed_extension(F.col("path")))
+    end = F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), (F.col("page_id") % len(_ENDINGS) + 1).cast("int"))
+    paths = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("a/x"), F.col("page_id").cast("string"), F.lit("."), end).alias("path"))
+    return paths.where(files.allowed_extension(F.col("path")))
+
+
+_CODE_ENDINGS = "rs py ts tsx js jsx go java kt c cpp h cs rb swift zig lua sh bash zsh ps1 sql toml yaml yml json xml html css scss".split()
+
+
+@query("code_bases", f"with p as (select user_id, 'a/x.' || ([{', '.join(repr(x) for x in [*_ENDINGS, *_CODE_ENDINGS])}])[event_id % {len(_ENDINGS) + len(_CODE_ENDINGS)} + 1] as path from events where event_id % 5 <> 0) select user_id as kb, bool_or(list_contains([{', '.join(repr(x) for x in _CODE_ENDINGS)}], regexp_extract(path, '[^.]*$'))) as code from p group by 1")
+def _code_bases(spark, sf_dir):
+    """Whether a base holds code decides the task that its queries are embedded for."""
+    endings = [*_ENDINGS, *_CODE_ENDINGS]
+    end = F.element_at(F.array(*[F.lit(x) for x in endings]), (F.col("event_id") % len(endings) + 1).cast("int"))
+    paths = table(spark, sf_dir, "events").where("event_id % 5 <> 0").select(F.col("user_id").alias("kb"), F.concat(F.lit("a/x."), end).alias("path"))
+    return paths.groupBy("kb").agg(files.has_code(F.col("path")).alias("code"))
 
 
 @query("ignore_filter", f"with {_PATH} select page_id, path from p where not path like '%.log' and not contains(regexp_extract(path, '[^/]*$'), '7') and not path like 'blog.%'")
@@ -231,9 +349,14 @@ def _ignore(spark, sf_dir):
     return _paths(spark, sf_dir).where(~files.ignored(F.col("path"), ["# comment", "", "*.log", "blog.*"]) & ~F.contains(T.file_name(F.col("path")), F.lit("7")))
 
 
-@query("directory_prune", f"with {_PATH} select page_id, path from p where len(list_filter(string_split(path, '/')[1:-2], lambda s: s in ('target', 'node_modules') or starts_with(s, '.'))) = 0")
+_FOLDERS = [".git", ".venv", "node_modules", "__pycache__", "target", "dist", "build", ".next", ".nuxt", ".idea", ".vscode", ".x", "out", "venv", "src", "builds", "Target", ""]
+
+
+@query("directory_prune", f"with p as (select page_id, 'a/' || ([{', '.join(repr(x) for x in _FOLDERS)}])[page_id % {len(_FOLDERS)} + 1] || '/b/target' as path from pages) select page_id, path from p where len(list_filter(string_split(path, '/')[1:-2], lambda s: s in ('node_modules', '__pycache__', 'target', 'dist', 'build') or starts_with(s, '.'))) = 0")
 def _prune(spark, sf_dir):
-    return _paths(spark, sf_dir).where(files.kept_directory(F.col("path")))
+    """Directories alone are pruned; a file may be called like one."""
+    folder = F.element_at(F.array(*[F.lit(x) for x in _FOLDERS]), (F.col("page_id") % len(_FOLDERS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("a/"), folder, F.lit("/b/target")).alias("path")).where(files.kept_directory(F.col("path")))
 
 
 @query("file_parts", r"with p as (select page_id, 'a/b/' || regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g') || '.Tar.GZ' as path from pages) select page_id, 'gz' as ext, regexp_extract(path, '[^/]*$') as name, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') as stem from p")

@@ -1,5 +1,7 @@
 import io
 import json
+import socket
+import threading
 import time
 
 import pytest
@@ -24,9 +26,9 @@ def tree(tmp_path):
     return tmp_path
 
 
-def engine(spark, tree):
+def engine(spark, tree, **parts):
     config = C.parse_config(f'data_dir = "{tree}/data"\n[knowledge_bases.main]\nwatch_paths = ["notes"]\nauto_sync = true\n[embeddings]\nprovider = "offline"\ndimensions = 32\n', tree)
-    return Engine(spark, config)
+    return Engine(spark, config, **parts)
 
 
 def test_life_cycle(spark, tree):
@@ -57,6 +59,160 @@ def test_life_cycle(spark, tree):
         e.search("x", kb="nope")
 
 
+def test_resume_and_errors(spark, tree):
+    class Flaky:
+        def extract(self, content, path):
+            if (tree / "broken").exists() and "Ferries" in content:
+                raise RuntimeError("no reply")
+            return {"entities": [{"name": path, "type": "tool", "description": None}], "relationships": []}
+
+    e = engine(spark, tree, extractor=Flaky())
+    (tree / "broken").touch()
+    first = e.sync().first()
+    assert (first.errors, first.entities_extracted, first.resumed) == (1, 2, 0) and e.status().first().extracted == 2
+    again = e.sync().first()
+    assert (again.resumed, again.errors, again.new, again.updated) == (1, 1, 0, 0)
+    (tree / "broken").unlink()
+    third = e.sync().first()
+    assert (third.resumed, third.errors, third.entities_extracted) == (1, 0, 1) and e.status().first().extracted == 3
+    assert e.sync().first().status == "up to date"
+    assert "main:beta.txt" in [r.file for r in e.search("beta", engines=("graph",)).collect()]
+
+
+def test_only_changed_partitions_are_written_and_a_crash_leaves_the_last_snapshot(spark, tree, monkeypatch):
+    e = engine(spark, tree)
+    e.sync()
+    before = e.store.manifest()
+    (tree / "notes" / "beta.txt").write_text("Trains, and nothing else, are what this file is about from now on.\n")
+    real = e.store._publish
+    steps = []
+
+    def crash(manifest):
+        steps.append(manifest)
+        raise OSError("the disk is full")
+
+    monkeypatch.setattr(e.store, "_publish", crash)
+    with pytest.raises(OSError):
+        e.sync()
+    assert e.store.manifest() == before and e.search("ferries", engines=("text",)).count() > 0 and len(steps) == 1
+    e.store._write_text(f"{e.store.folder}/manifests/halfway.tmp", '{"version": 99')  # what a crash before the rename leaves
+    monkeypatch.setattr(e.store, "_publish", real)
+    assert e.store.manifest() == before
+    assert e.sync().first().updated == 1
+    after = e.store.manifest()
+    for name in ("documents", "chunks", "postings", "vectors"):
+        parts = after["tables"][name]
+        assert len(parts) == 3 and sum(before["tables"][name][p] != f for p, f in parts.items()) == 1, name
+    assert e.search("trains", engines=("text",)).first().file == "main:beta.txt"
+    found = e.search("ferries", engines=("text",)).collect()
+    assert [r.file for r in found] == ["main:deep/gamma.py"]
+    assert e.store._names(f"{e.store.folder}/manifests")[0] == f"{before['version']:012d}.json"
+
+
+def test_fallback_to_documents(spark, tree):
+    e = engine(spark, tree)
+    e.sync()
+    got = e.search("gamma", engines=("text",)).collect()
+    assert [(r.file, r.chunk_id) for r in got] == [("main:deep/gamma.py", None)] and "ferry_price" in got[0].content
+
+
+def test_lock(spark, tree):
+    e = engine(spark, tree)
+    assert e.store.lock() and not e.store.lock()
+    with pytest.raises(RuntimeError):
+        e.sync()
+    e.store.unlock()
+    for stale in ('{"host": "%s", "pid": 99999999}' % socket.gethostname(),):
+        e.store._write_text(f"{e.store.folder}/LOCK", stale)
+        assert e.store.lock()
+        e.store.unlock()
+    e.store._write_text(f"{e.store.folder}/LOCK", '{"host": "elsewhere", "pid": 1}')
+    assert not e.store.lock()
+    e.store.unlock()
+
+
+def test_migration_of_an_older_store(spark, tree):
+    e = engine(spark, tree)
+    e.sync()
+    old = e.store.manifest()
+    e.store._publish(old | {"version": old["version"] + 1, "schema_version": 0})
+    again = engine(spark, tree)
+    assert again.store.manifest()["schema_version"] == 2 and again.status().first().extracted == 0
+    assert again.sync().first().resumed == 3
+
+
+def test_reembedding(spark, tree):
+    e = engine(spark, tree)
+    made = e.sync().first().vectors_embedded
+    again = e.sync(reembed=True).first()
+    assert (again.vectors_embedded, again.vectors_reembedded) == (made, made) and e.status().first().vectors == made
+    other = engine(spark, tree, embedder=providers.HashingEmbedder(16))
+    assert other.sync().first().vectors_embedded == made and {len(r.embedding) for r in other.store.read("vectors").collect()} == {16}
+
+
+def test_remote_providers():
+    asked = []
+
+    def post(url, body, headers=None):
+        asked.append((url, body, headers))
+        if "batchEmbedContents" in url:
+            return {"embeddings": [{"values": [1.0, 0.0]} for _ in body["requests"]]}
+        if "embeddings" in url:
+            return {"data": [{"index": 1, "embedding": [0.0, 1.0]}, {"index": 0, "embedding": [1.0, 0.0]}]}
+        if "api/embed" in url:
+            return {"embeddings": [[1.0, 0.0]]}
+        if "generateContent" in url:
+            return {"candidates": [{"content": {"parts": [{"text": '["a", "b"]'}]}}]}
+        if "chat" in url:
+            return {"choices": [{"message": {"content": '{"entities": [{"name": "A"}]}'}}]}
+        return {"response": "no json"}
+
+    model = lambda provider, name="m", key="k": C.Model(provider, name, 2, True, key)
+    assert len(providers.RemoteEmbedder(model("gemini", "embedding-001"), post).embed(["x"] * 150, "code retrieval")) == 150
+    assert [len(b["requests"]) for _, b, _ in asked] == [100, 50] and asked[0][1]["requests"][0]["taskType"] == "CODE_RETRIEVAL_QUERY" and asked[0][0].endswith("key=k")
+    second = providers.RemoteEmbedder(model("gemini", "embedding-2"), post)
+    assert second.query_input("search result", "q") == "task: search result | query: q"
+    second.embed(["x"])
+    assert "taskType" not in asked[-1][1]["requests"][0]
+    assert providers.RemoteEmbedder(model("openai"), post).embed(["x", "y"]) == [[1.0, 0.0], [0.0, 1.0]] and asked[-1][2] == {"Authorization": "Bearer k"}
+    assert providers.RemoteEmbedder(model("ollama", key=None), post).embed([None]) == [[1.0, 0.0]]
+    assert providers.RemoteDecomposer(model("gemini"), post).decompose("t") == ["a", "b"]
+    assert providers.RemoteExtractor(model("openai"), post).extract("c", "p")["entities"] == [{"name": "A"}]
+    with pytest.raises(ValueError):
+        providers.RemoteExtractor(model("ollama"), post).extract("c", "p")
+    with pytest.raises(ValueError, match="unknown provider"):
+        providers.make_embedder(model("nobody"))
+    with pytest.raises(ValueError, match="api_key"):
+        providers.make_extractor(model("openai", key=None))
+    with pytest.raises(providers.ProviderError, match="dimensions"):
+        providers.RemoteEmbedder(C.Model("ollama", "m", 3), post).embed(["x"])
+
+
+def test_http():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            bad = self.path.startswith("/bad")
+            self.send_response(429 if bad else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"error": {"message": "slow down"}} if bad else {"got": body, "key": self.headers.get("Authorization")}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        assert providers.post_json(f"{base}/x", {"a": 1}, {"Authorization": "Bearer t"}) == {"got": {"a": 1}, "key": "Bearer t"}
+        with pytest.raises(providers.ProviderError, match="429: slow down"):
+            providers.post_json(f"{base}/bad?key=secret", {})
+    finally:
+        server.shutdown()
+
+
 def test_watch_once(spark, tree):
     from loamdex.streaming.watch import watch
 

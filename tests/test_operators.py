@@ -25,8 +25,9 @@ def test_bm25_equals_sqlite(spark, query):
     con.execute("create virtual table t using fts5(content)")
     con.executemany("insert into t(rowid, content) values (?, ?)", list(enumerate(texts, 1)))
     want = con.execute("select rowid, -bm25(t) from t where t match ? order by bm25(t), rowid", (fts.sanitize(query),)).fetchall()
-    got = fts.search(docs(spark, texts), query, limit=None).orderBy(F.desc("score"), "doc_id").collect()
-    assert {r.doc_id: r.score for r in got} == pytest.approx({i: round(s, 6) for i, s in want}, abs=1e-6)
+    d = docs(spark, texts)
+    for hits in (fts.search(d, query, limit=None), fts.search_index(fts.postings(d), fts.lengths(d), query, limit=None)):
+        assert {r.doc_id: r.score for r in hits.collect()} == pytest.approx({i: round(s, 6) for i, s in want}, abs=1e-6)
 
 
 def test_query_grammar(spark):
@@ -47,8 +48,9 @@ def test_phrases_that_overlap(spark):
 def test_batch_equals_single(spark):
     d = docs(spark, ["the cat sat", "the dog", "a cat and a dog and a cat", "nothing"])
     index = fts.postings(d)
-    lengths = d.select("doc_id", F.size(T.fts_tokens(F.col("content"))).alias("length"))
-    many = fts.search_many(index, spark.createDataFrame([(1, "cat"), (2, "cat dog")], "qid int, query string"), lengths).collect()
+    asked = spark.createDataFrame([(1, "cat"), (2, "cat dog")], "qid int, query string")
+    many = fts.search_many(index, asked, fts.lengths(d)).collect()
+    assert {(r.qid, r.doc_id) for r in fts.search_many(index, asked, fts.lengths(d), require_all=False).collect()} == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)}
     for qid, q in ((1, "cat"), (2, "cat dog")):
         assert {r.doc_id: r.score for r in many if r.qid == qid} == {r.doc_id: r.score for r in fts.search(d, q).collect()}
 
@@ -67,6 +69,63 @@ def test_vocabulary_and_correction(spark):
     assert [column(spark, lambda x: F.levenshtein(x, F.lit(b)), a) for a, b in (("kitten", "sitting"), ("", "abc"), ("fuzzy", "fussy"), ("ä", "ö"))] == [3, 3, 2, 1]
 
 
+def test_correction_finds_all_candidates(spark):
+    """The segments' join against every word of the vocabulary."""
+    rng = random.Random(8)
+    word = lambda least, most: "".join(rng.choice("abc") for _ in range(rng.randint(least, most)))
+    words = {word(1, 13): rng.randint(1, 5) for _ in range(500)}
+    asked = {word(1, 13) for _ in range(150)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for a in asked:
+        near = [(d, -f, w) for w, f in words.items() if (d := distance(a, w)) <= (2 if len(a) <= 8 else 3)]
+        want[a] = a if a in words or not near else min(near)[2]
+    got = vocab.correct_words(spark.createDataFrame([(a,) for a in asked], "word string"), spark.createDataFrame(list(words.items()), "word string, frequency long"))
+    assert dict(map(tuple, got.collect())) == want
+
+
+def test_long_lists_are_ranked_alike(spark):
+    rng = random.Random(3)
+    hits = spark.createDataFrame([(rng.choice("ab"), str(i), float(rng.randint(0, 9))) for i in range(300)], "engine string, key string, score double")
+    assert sorted(map(tuple, fusion.rank_lists(hits, large=10).collect())) == sorted(map(tuple, fusion.rank_lists(hits).collect()))
+
+
+def test_snippet_takes_the_densest_words(spark):
+    text = " ".join(["cat"] + ["x"] * 20 + ["cat,", "y", "Dog"] + ["z"] * 9)
+    show = lambda n: spark.createDataFrame([(text,)], "c string").select(T.snippet(F.col("c"), ["cat", "dog"], n)).first()[0]
+    assert show(5) == "...cat, y Dog z z..." and show(100) == text
+    assert spark.createDataFrame([("a b c",)], "c string").select(T.snippet(F.col("c"), ["q"], 2)).first()[0] == "a b..."
+
+
+def test_fuzzy_score_is_the_best_alignment():
+    import itertools
+
+    def brute(line, query):
+        best = 0
+        for at in itertools.combinations(range(len(line)), len(query)):
+            if any(line[i].lower() != q for i, q in zip(at, query, strict=True)):
+                continue
+            points = 0
+            for k, i in enumerate(at):
+                edge = i == 0 or not line[i - 1].isalnum() or line[i - 1].islower() and line[i].isupper()
+                points += 16 + 8 * edge + (16 * (i == at[k - 1] + 1) - (i - at[k - 1] - 1) if k else 0)
+            best = max(best, points)
+        return min(best / 256, 1)
+
+    rng = random.Random(1)
+    for _ in range(300):
+        line, query = "".join(rng.choice("abA -") for _ in range(rng.randint(1, 8))), "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+        assert lines.fuzzy_score(line, query) == pytest.approx(brute(line, query)), (line, query)
+
+
 def test_rrf(spark):
     hits = spark.createDataFrame([("a", "x", 9.0), ("a", "y", 1.0), ("b", "x", 2.0), ("b", "x", 1.0)], "engine string, key string, score double")
     got = {r.key: r.rrf for r in fusion.rrf(fusion.rank_lists(hits)).collect()}
@@ -134,6 +193,13 @@ def test_markdown_chunks():
     assert len(lines_) == len(set(lines_))
 
 
+def test_long_sections_are_cut_after_a_blank_line():
+    text = "# H\n" + "\n".join("" if i == 60 else "x" * 99 for i in range(1, 92))
+    assert [(c[1], c[2]) for c in chunking.chunk("a.md", text)] == [(1, 61), (62, 92)]
+    # the 61st line is blank and goes with the first part, also when it is the last line that fits
+    assert chunking.chunk("a.md", text)[0][0].endswith("\n")
+
+
 def test_code_and_text_chunks():
     code = "import a_module_with_a_long_name\ndef first():\n    return 'something long enough'\n\nclass Second:\n    attribute = 'long enough to keep'\n"
     assert [(c[3], c[1], c[2]) for c in chunking.chunk("a.PY", code)] == [("function", 1, 1), ("function", 2, 4), ("function", 5, 6)]
