@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from loamdex import views
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="loamdex")
@@ -19,18 +21,22 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument(f"--{flag}", action="store_true")
     s = sub.add_parser("sync")
     s.add_argument("--kb")
-    for flag in ("force", "dry-run", "reembed"):
+    for flag in ("force", "dry-run", "reembed", "json"):
         s.add_argument(f"--{flag}", action="store_true")
     s = sub.add_parser("retrieve")
     s.add_argument("chunk_id", type=int)
     for flag in ("lines-before", "lines-after", "chunks-before", "chunks-after"):
         s.add_argument(f"--{flag}", type=int, default=0)
+    s.add_argument("--json", action="store_true")
     for name in ("status", "list", "mcp"):
-        sub.add_parser(name).add_argument("--kb")
+        s = sub.add_parser(name)
+        s.add_argument("--kb")
+        s.add_argument("--json", action="store_true")
     s = sub.add_parser("watch")
     s.add_argument("--kb")
     s.add_argument("--interval", type=int)
-    s.add_argument("--once", action="store_true")
+    for flag in ("once", "daemon", "stop"):
+        s.add_argument(f"--{flag}", action="store_true")
     s = sub.add_parser("init")
     s.add_argument("name")
     s.add_argument("paths", nargs="+")
@@ -43,14 +49,18 @@ def chosen_engines(args) -> tuple[str, ...]:
     return tuple(n for n in ("fuzzy", "text", "graph", "vector") if getattr(args, n)) or ("fuzzy", "graph", "vector")
 
 
-def show(rows: list[dict]) -> str:
-    out = []
-    for i, r in enumerate(rows, 1):
-        place = f":{r['line_start']}-{r['line_end']}" if r.get("line_start") else ""
-        out.append(f"{i}. {r['file']}{place}  {r['score']:.4f}  [{', '.join(r['sources'])}]")
-        if r.get("content"):
-            out.append("   " + r["content"][:200].replace("\n", " "))
-    return "\n".join(out) or "No results."
+def search(engine, args) -> str:
+    engines = chosen_engines(args)
+    rows = [r.asDict(True) for r in engine.search(args.query, args.kb, args.limit, engines, args.exact, args.doc_score, args.smart).collect()]
+    if args.smart:
+        more = {"smart_queries": engine.sub_queries(args.query)}
+    else:
+        more = {"corrections": [r.asDict() for r in engine.corrections(args.query, args.kb).collect()] if "fuzzy" in engines and not args.exact else []}
+    if args.json:
+        return json.dumps({"results": rows, **more}, ensure_ascii=False, indent=2)
+    shown = views.line_results(rows) if args.exact or engines == ("local",) else views.text_results(rows) if engines in (("text",), ("fuzzy",)) else views.results(rows)
+    told = f"Searched for: {', '.join(more['smart_queries'])}" if args.smart else views.corrections(more["corrections"])
+    return f"{told}\n{shown}" if told else shown
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -60,26 +70,36 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "init":
         print(render_config({args.name: KnowledgeBase(args.paths, True)}), end="")
         return 0
+    config = load_config(args.config)
+    if args.command == "watch" and (args.daemon or args.stop):
+        from loamdex.streaming import daemon
+
+        print(daemon.stop(config.data_dir) if args.stop else daemon.start(config.data_dir, [a for a in (argv if argv is not None else sys.argv[1:]) if a != "--daemon"]))
+        return 0
     from pyspark.sql import SparkSession
 
     from loamdex.engine import Engine
 
-    engine = Engine(SparkSession.builder.appName("loamdex").getOrCreate(), load_config(args.config))
+    engine = Engine(SparkSession.builder.appName("loamdex").getOrCreate(), config)
     if args.command == "search":
-        rows = [r.asDict(True) for r in engine.search(args.query, args.kb, args.limit, chosen_engines(args), args.exact, args.doc_score, args.smart).collect()]
-        changes = [] if args.smart else [r.asDict() for r in engine.corrections(args.query, args.kb).collect()]
-        print(json.dumps({"results": rows, "corrections": changes}, ensure_ascii=False, indent=2) if args.json else show(rows))
+        print(search(engine, args))
     elif args.command == "watch":
-        engine_query = __import__("loamdex.streaming.watch", fromlist=["watch"]).watch(engine, args.kb, args.interval, args.once)
-        engine_query.awaitTermination()
+        from loamdex.streaming.watch import watch
+
+        watch(engine, args.kb, args.interval, args.once).awaitTermination()
     elif args.command == "mcp":
         from loamdex.server import serve
 
         serve(engine)
     else:
-        df = {"sync": lambda: engine.sync(args.kb, args.force, args.dry_run, args.reembed), "retrieve": lambda: engine.retrieve(args.chunk_id, args.lines_before, args.lines_after, args.chunks_before, args.chunks_after), "status": lambda: engine.status(args.kb), "list": engine.list_kbs}[args.command]()
-        for row in df.toJSON().collect():
-            print(row)
+        df, show = {
+            "sync": lambda: (engine.sync(args.kb, args.force, args.dry_run, args.reembed), views.report),
+            "retrieve": lambda: (engine.retrieve(args.chunk_id, args.lines_before, args.lines_after, args.chunks_before, args.chunks_after), lambda rows: "\n".join(map(views.chunk, rows)) or "No such chunk."),
+            "status": lambda: (engine.status(args.kb), lambda rows: views.status(rows, config.data_dir)),
+            "list": lambda: (engine.list_kbs(), views.bases),
+        }[args.command]()
+        rows = [r.asDict(True) for r in df.collect()]
+        print(json.dumps(rows, ensure_ascii=False, indent=2, default=str) if args.json else show(rows))
     return 0
 
 

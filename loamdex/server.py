@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import sys
 
+from loamdex import views
+
+# The tools and their arguments.
 TOOLS = {
     "memory_search": {"query": "string", "kb": "string?", "limit": "integer?", "mode": "string?", "exact": "boolean?", "smart": "boolean?", "doc_score": "boolean?"},
     "retrieve_chunk": {"chunk_id": "integer", "lines_before": "integer?", "lines_after": "integer?", "chunks_before": "integer?", "chunks_after": "integer?"},
@@ -16,10 +19,10 @@ _MODES = {"all": ("fuzzy", "graph", "vector"), "fuzzy": ("fuzzy",), "text": ("te
 
 
 def call(engine, name: str, args: dict) -> str:
-    """A tool's rows as JSON."""
+    """A tool's rows as text: a search's in sections by engine, the others' as JSON."""
     if name == "memory_search":
-        df = engine.search(args["query"], args.get("kb"), args.get("limit", 5), _MODES[args.get("mode", "all")], args.get("exact", False), args.get("doc_score", False), args.get("smart", False))
-    elif name == "retrieve_chunk":
+        return search(engine, args)
+    if name == "retrieve_chunk":
         df = engine.retrieve(int(args["chunk_id"]), *(int(args.get(k, 0)) for k in ("lines_before", "lines_after", "chunks_before", "chunks_after")))
     elif name == "memory_sync":
         df = engine.sync(args.get("kb"), args.get("force", False), args.get("dry_run", False))
@@ -32,6 +35,20 @@ def call(engine, name: str, args: dict) -> str:
     return json.dumps([json.loads(x) for x in df.toJSON().collect()], ensure_ascii=False)
 
 
+def search(engine, args: dict) -> str:
+    """Fused results first, then each engine's own list."""
+    kb, k, engines = args.get("kb"), args.get("limit", 5), _MODES[args.get("mode", "all")]
+    engines = ("local",) if args.get("exact") else engines
+    asked = engine.sub_queries(args["query"]) if args.get("smart") else [args["query"]]
+    fused = [r.asDict(True) for r in engine.search(args["query"], kb, k, engines, args.get("exact", False), args.get("doc_score", False), args.get("smart", False)).collect()]
+    lists: dict[str, list[dict]] = {}
+    for q in asked if len(engines) > 1 else ():
+        for r in engine.hits(q, q, kb, k, engines, args.get("exact", False)).collect():
+            lists.setdefault(r.engine, []).append(r.asDict())
+    told = views.sections(lists, asked if args.get("smart") else ()) if lists else ""
+    return views.results(fused) + (f"\n\n{told}" if told else "")
+
+
 def handle(engine, request: dict) -> dict | None:
     """The reply to one request; None for a notification."""
     method, params, key = request.get("method"), request.get("params") or {}, request.get("id")

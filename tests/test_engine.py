@@ -239,6 +239,48 @@ def test_server(spark, tree):
     assert got[2]["error"]["code"] == -32603 and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32700
 
 
+def test_command_line(spark, tree, capsys, monkeypatch):
+    from loamdex import cli
+
+    (tree / C.NAME).write_text('data_dir = "data"\n[knowledge_bases.main]\nwatch_paths = ["notes"]\nauto_sync = true\n[embeddings]\nprovider = "offline"\ndimensions = 16\n')
+
+    def run(*argv):
+        assert cli.main(["--config", str(tree / C.NAME), *argv]) == 0
+        return capsys.readouterr().out
+
+    assert "main: synced: 3 new" in run("sync") and json.loads(run("sync", "--json"))[0]["status"] == "up to date"
+    assert "Corrected: harbuor -> harbour" in run("search", "harbuor ferries", "--fuzzy")
+    got = json.loads(run("search", "bridges, ferries", "--smart", "--text", "--json"))
+    assert got["smart_queries"] == ["bridges", "ferries"] and got["results"]
+    assert run("search", "TICKETS", "--exact").startswith("main:beta.txt:3: The Harbour Office")
+    chunk = json.loads(run("search", "Authority", "--text", "--json"))["results"][0]["chunk_id"]
+    assert "main:alpha.md" in run("retrieve", str(chunk)) and run("retrieve", "1") == "No such chunk.\n"
+    assert "documents  3 (" in run("status") and "[auto]" in run("list")
+    assert run("watch", "--stop") == "not watching\n"
+
+
+def test_views():
+    from loamdex import views
+
+    assert [views.format_size(x) for x in (0, 1023, 1024, 1536, 5 << 20, 3 << 30, 5000 << 30)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 GB", "5000.0 GB"]
+    assert views.tilde_path("/home/a/b", "/home/a") == "~/b" and views.tilde_path("/home/ab", "/home/a") == "/home/ab"
+    assert views.sections({}) == "No results." and views.sections({"graph": [{"file": "f"}]}, ["a", "b"]) == "Searched for: a, b\n\n## Graph\n\n1. f"
+
+
+def test_daemon(tmp_path):
+    import sys
+
+    from loamdex.streaming import daemon
+
+    folder = str(tmp_path / "data")
+    assert daemon.stop(folder) == "not watching"
+    told = daemon.start(folder, ["import time; time.sleep(60)"], [sys.executable, "-c"])
+    assert told.startswith("watching: process") and daemon.start(folder, []).startswith("already watching")
+    assert daemon.stop(folder).startswith("stopped") and daemon.running(folder) is None
+    (tmp_path / "data" / "watch.pid").write_text("99999999")
+    assert daemon.running(folder) is None
+
+
 def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv("LOAM_KEY", "s3")
     text = C.render_config({"a b": KnowledgeBase(["x", "/abs"], True, 'say "hi"')}) + '[extraction]\nprovider = "p"\nmodel = "m"\n[providers.p]\napi_key = "k-${LOAM_KEY}"\n'
