@@ -7,8 +7,8 @@ ASCII. A window is `width` consecutive words of an item; an item of fewer
 words, but not none, is one window. Only the benchmark is broadcast, as
 flat arrays (the words' bytes, their ends, sorted window hashes and where
 each window starts), and only up to `block_bytes` of its words at a time,
-which take about `5 * block_bytes` of memory; long items are cut into
-pieces that overlap by a window less a word. A larger benchmark is worked
+which take about `5 * block_bytes` of memory, and a table of the block's
+distinct words in each worker; long items are cut into pieces that overlap by a window less a word. A larger benchmark is worked
 through in blocks, one after the other: the driver builds one, a pass over
 the documents writes the spans and items that it hits, one row for each
 document hit, and the block is dropped. The spans of all blocks are merged
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import as_bytes, materialise, slices, with_id
 
-WIDTH, BLOCK_BYTES = 10, 16_000_000
+WIDTH, BLOCK_BYTES = 10, 8_000_000
 #: Words of one piece of a long item.
 PIECE = 50_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,31 +45,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_CACHED = 400_000
-
-
 class Hasher:
-    """Rolling hashes of windows of words; the hashes of words are kept up to a bound."""
+    """Hashes of windows of words, as sums of the words' own hashes times an odd number for each place."""
 
     def __init__(self, width: int = WIDTH):
         self.odd = np.random.default_rng(20240229).integers(0, 2**63, max(width, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.known = _Hashes()
-        self.owners: dict[tuple[int, bytes], set[str | None]] = {}
 
-    def words(self, docs: list[list[bytes]]) -> np.ndarray:
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        if len(self.owners) > _CACHED // 16:
-            self.owners.clear()
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.uint64, sum(map(len, docs)))
+    def words(self, words: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
     def windows(self, words: np.ndarray, n: int) -> np.ndarray:
         """The hash of every n words in a row."""
@@ -78,6 +63,17 @@ class Hasher:
             out += words[j : j + len(out)] * self.odd[j]
         return out ^ out >> np.uint64(29)
 
+    def at(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """The same at some places only."""
+        out = np.zeros(len(starts), np.uint64)
+        for j in range(n):
+            out += words[starts + j] * self.odd[j]
+        return out ^ out >> np.uint64(29)
+
+
+#: Owners of windows that a worker keeps.
+_OWNERS = 25_000
+
 
 class Windows:
     """The windows of one block of items, as flat arrays: by number of words, sorted hashes and the first word of each.
@@ -94,7 +90,7 @@ class Windows:
         hasher, found = Hasher(width), {}
         for start in range(0, len(items), 256):  # the words of few items at a time are objects
             some = items[start : start + 256]
-            hashes = hasher.words([text.split(b" ") for _, text in some])
+            hashes = hasher.words(list(chain.from_iterable(text.split(b" ") for _, text in some)))
             base = int(self.first[start])
             for n in {min(width, int(c)) for c in counts[start : start + 256]}:
                 rolled = hasher.windows(hashes, n)
@@ -106,33 +102,54 @@ class Windows:
             hashes, at = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(hashes, kind="stable")
             self.tables[n] = hashes[order], at[order]
+        self._numbers: dict[bytes, int] | None = None
 
     def _text(self, word: int, n: int) -> bytes:
         start = int(self.ends[word - 1]) + 1 if word else 0
         return self.blob[start : int(self.ends[word + n - 1])]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_numbers": None}
+
+    def _prepare(self) -> None:
+        """In a worker: a number for each distinct word of the block, its hash, and owners known so far."""
+        self._numbers = {w: i for i, w in enumerate(dict.fromkeys(self.blob.split()), 1)}
+        self._hasher, self._owned = Hasher(self.width), {}
+        self._hashes = np.concatenate(([np.uint64(0)], self._hasher.words(list(self._numbers))))
+
     def _owners(self, text: bytes, n: int, places: np.ndarray) -> set[str | None]:
         return {self.names[int(np.searchsorted(self.first, w, "right")) - 1] for w in places.tolist() if self._text(w, n) == text}
 
-    def find(self, docs: list[list[bytes]], hasher: Hasher) -> Iterator[tuple[int, int, int, set[str | None]]]:
+    def find(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, set[str | None]]]:
         """(document, first word, number of words, items) of each occurrence, verified word by word."""
-        lengths = np.array([len(d) for d in docs], np.int64)
+        if self._numbers is None:
+            self._prepare()
+        if len(self._owned) > _OWNERS:
+            self._owned.clear()
+        lengths = np.array([len(d) + 1 for d in docs], np.int64)
         base = np.concatenate(([0], np.cumsum(lengths)))
-        words = hasher.words(docs)
+        # one more word, which no item has, after each document
+        numbers = np.zeros(base[-1], np.int64)
+        inside = np.ones(len(numbers), bool)
+        inside[base[1:] - 1] = False
+        numbers[inside] = np.fromiter(map(self._numbers.get, chain.from_iterable(docs), repeat(0)), np.int64, int(inside.sum()))
+        unknown = np.concatenate(([0], np.cumsum(numbers == 0)))
+        words = self._hashes[numbers]
         for n, (hashes, places) in self.tables.items():
-            rolled = hasher.windows(words, n)
-            if not len(rolled):
+            if len(numbers) < n:
+                continue
+            starts = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
+            if not len(starts):
                 continue
+            rolled = self._hasher.at(words, starts, n)
             at = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
-            for p in np.flatnonzero(hashes[at] == rolled).tolist():
-                doc = int(np.searchsorted(base, p, "right")) - 1
-                start = p - int(base[doc])
-                if start + n > lengths[doc]:  # runs into the next document
-                    continue
+            for k in np.flatnonzero(hashes[at] == rolled).tolist():
+                doc = int(np.searchsorted(base, starts[k], "right")) - 1
+                start = int(starts[k] - base[doc])
                 text = b" ".join(docs[doc][start : start + n])
-                own = hasher.owners.get((n, text))
+                own = self._owned.get((n, text))
                 if own is None:
-                    own = hasher.owners[n, text] = self._owners(text, n, places[int(at[p]) : int(np.searchsorted(hashes, rolled[p], "right"))])
+                    own = self._owned[n, text] = self._owners(text, n, places[int(at[k]) : int(np.searchsorted(hashes, rolled[k], "right"))])
                 if own:
                     yield doc, start, n, own
 
@@ -190,10 +207,10 @@ def _broadcast(sc, pieces: DataFrame, width: int):
     return sc.broadcast(Windows([(r.item, bytes(r.words)) for r in pieces.toLocalIterator()], width))
 
 
-def _marked(docs: list[list[bytes]], windows: Windows, hasher: Hasher) -> tuple[dict[int, np.ndarray], dict[int, set[str | None]]]:
+def _marked(docs: list[list[bytes]], windows: Windows) -> tuple[dict[int, np.ndarray], dict[int, set[str | None]]]:
     hit: dict[int, np.ndarray] = {}
     items: dict[int, set[str | None]] = {}
-    for i, at, n, own in windows.find(docs, hasher):
+    for i, at, n, own in windows.find(docs):
         if i not in hit:
             hit[i], items[i] = np.zeros(len(docs[i]), bool), set()
         hit[i][at : at + n] = True
@@ -224,11 +241,10 @@ def _judge(table):
     """One block is all: results where the documents lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(table.value.width)
         for batch in batches:
             for part in slices(batch, "text"):
                 docs = _words(part)
-                yield _results(part, docs, *_marked(docs, table.value, hasher))
+                yield _results(part, docs, *_marked(docs, table.value))
 
     return run
 
@@ -237,10 +253,9 @@ def _hits(table):
     """One block of several: a row for each document that it hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(table.value.width)
         for batch in batches:
             for part in slices(batch, "text"):
-                hit, items = _marked(_words(part), table.value, hasher)
+                hit, items = _marked(_words(part), table.value)
                 if hit:
                     k = sorted(hit)
                     rows, own = part.column("row").take(pa.array(k)), [sorted(x for x in items[i] if x is not None) for i in k]
