@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
@@ -148,6 +149,28 @@ def search(docs: DataFrame, query: str, text: str = "content", keys: tuple[str,
     return _scored(counted, stats, parsed, phrases, number, docs.columns, keys, limit)
 
 
+#: Tokens that a task inverts at a time.
+STEP = 1_000_000
+
+
+def _inverted(batch: pa.RecordBatch, sizes: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Rows of keys and tokens to a row per key and term."""
+    n = batch.num_columns - 1
+    coded = batch.column(n).flatten().dictionary_encode()
+    terms = np.asarray(coded.indices).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = row * len(coded.dictionary) + terms
+    order = np.argsort(key, kind="stable")  # keeps places in order
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+    first = order[edges]
+    offsets = np.append(edges, len(order)).astype(np.int32)
+    at = pa.array(row[first])
+    columns = [batch.column(k).take(at) for k in range(n)]
+    columns += [coded.dictionary.take(pa.array(terms[first])), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32))), pa.array(sizes[row[first]].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def postings(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, term, tf, positions, length): one row per term and document, made where the document lies."""
     tokens = docs.select(*keys, fts_tokens(F.col(text)).alias("_tokens"))
@@ -156,16 +179,12 @@ def postings(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                words = row.column(len(keys)).to_pylist()[0] or []
-                at: dict[str, list[int]] = {}
-                for place, word in enumerate(words):
-                    at.setdefault(word, []).append(place)
-                if at:
-                    n = len(at)
-                    fixed = [row.column(k).take(pa.array([0] * n)) for k in range(len(keys))]
-                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(at, pa.string()), pa.array(map(len, at.values()), pa.int32()), pa.array(at.values(), pa.list_(pa.int32())), pa.array([len(words)] * n, pa.int32())], schema.names)
+            sizes = np.asarray(batch.column(len(keys)).value_lengths().fill_null(0))
+            # about STEP tokens at a time; a longer document is a step of its own
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // STEP, prepend=0))
+            for first, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if sizes[first:end].sum():
+                    yield _inverted(batch.slice(first, end - first), sizes[first:end], schema.names)
 
     return tokens.mapInArrow(run, schema)
 

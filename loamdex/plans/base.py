@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamdex.engine import Engine
-from loamdex.operators import fts, vocab
+from loamdex.operators import fts, graph, vocab
 from loamdex.session import app_scratch, file_system, materialise, permanent, table
 from loamdex.sources.config import Config, KnowledgeBase, Model
 
@@ -60,6 +60,28 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "vocabulary", "documents", lambda: materialise(vocab.build_vocabulary(documents(spark, sf_dir)), "index-vocabulary"))
 
 
+def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents; their parts as entities, each related to the part of the next line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    each = lines.join(part, "l_partkey")
+    rows = each.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name", "p_type"))).alias("x"))
+    path = F.concat(F.lit("order/"), F.col("l_orderkey").cast("string"))
+    entities = F.transform("x", lambda x: F.struct(x["p_name"].alias("name"), x["p_type"].alias("type"), F.lit(None).cast("string").alias("description")))
+    nexts = F.zip_with("x", F.slice("x", F.lit(2), F.size("x")), lambda a, b: F.struct(a["p_name"].alias("source"), b["p_name"].alias("target"), F.lit("next to").alias("relation"), F.lit(None).cast("string").alias("description")))
+    return rows.select(path.alias("path"), entities.alias("entities"), F.filter(nexts, lambda r: r["target"].isNotNull()).alias("relationships"))
+
+
+def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of extractions(), as a sync would have stored them."""
+
+    def make():
+        nodes, edges = graph.ingest(materialise(extractions(spark, sf_dir), "graph-extractions"))
+        return materialise(nodes, "graph-nodes"), materialise(edges, "graph-edges")
+
+    return once(spark, sf_dir, "graph", "lineitem part", make)
+
+
 ROLES = ("assistant", "system", "user")
 
 

@@ -12,7 +12,7 @@ from loamdex.operators import chunking, graph, ingest
 from loamdex.session import app_scratch, materialise, table
 from loamdex.sources import files
 
-from .base import DOCS, TURN_FILES, config, documents, engine, once, query, turn_files
+from .base import DOCS, TURN_FILES, config, documents, engine, graph_tables, once, query, turn_files
 
 _OLD = "case when kb = 'src1' then content || 'x' else content end"
 _STORED = f"stored as (select path, kb, sha256({_OLD}) as content_hash from docs where strlen(content) < 6000), files as (select path, sha256(content) as content_hash from docs where strlen(content) > 300)"
@@ -184,18 +184,6 @@ def _chunk_markdown_long(spark, sf_dir):
     return _chunked(_sentences(spark, sf_dir, "md", lambda v, i: F.when((i + 1) % 97 == 50, F.concat(F.lit("# "), v)).when((i + 1) % 61 == 3, "").otherwise(F.concat(F.lit("- "), v))))
 
 
-def _extractions(spark, sf_dir):
-    """Orders as documents; their parts as entities, each related to the part of the next line."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    each = lines.join(part, "l_partkey")
-    rows = each.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name", "p_type"))).alias("x"))
-    path = F.concat(F.lit("order/"), F.col("l_orderkey").cast("string"))
-    entities = F.transform("x", lambda x: F.struct(x["p_name"].alias("name"), x["p_type"].alias("type"), F.lit(None).cast("string").alias("description")))
-    nexts = F.zip_with("x", F.slice("x", F.lit(2), F.size("x")), lambda a, b: F.struct(a["p_name"].alias("source"), b["p_name"].alias("target"), F.lit("next to").alias("relation"), F.lit(None).cast("string").alias("description")))
-    return rows.select(path.alias("path"), entities.alias("entities"), F.filter(nexts, lambda r: r["target"].isNotNull()).alias("relationships"))
-
-
 _GRAPH = r"""x as (select l_orderkey, l_linenumber, p_name, p_type, 'order/' || l_orderkey as path, row_number() over (partition by l_orderkey order by l_linenumber, p_name, p_type) as k from lineitem join part on p_partkey = l_partkey),
 ent as (select distinct on (node_id) regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '_', 'g') as node_id, p_name as name, p_type as type, path from x order by node_id, path desc, p_name desc, p_type desc),
 doc as (select distinct path, regexp_replace(lower(path), '[^\p{L}\p{N}]', '_', 'g') as node_id from x),
@@ -204,41 +192,30 @@ rel as (select distinct regexp_replace(lower(a.p_name), '[^\p{L}\p{N}]', '_', 'g
 both_ways as (select src, dst from rel union select dst, src from rel)"""
 
 
-def _graph(spark, sf_dir):
-    """Nodes and edges, as a sync would have stored them."""
-
-    def make():
-        extractions = materialise(_extractions(spark, sf_dir), "graph-extractions")
-        nodes, edges = graph.ingest(extractions)
-        return materialise(nodes, "graph-nodes"), materialise(edges, "graph-edges")
-
-    return once(spark, sf_dir, "graph", "lineitem part", make)
-
-
 @query("graph_dedup", f"with {_GRAPH} select node_id, name, type from ent")
 def _graph_nodes(spark, sf_dir):
     """Entities by id: many parts collapse into one node, the last document's type wins."""
-    return _graph(spark, sf_dir)[0].where("label = 'Entity'").select("node_id", "name", "type")
+    return graph_tables(spark, sf_dir)[0].where("label = 'Entity'").select("node_id", "name", "type")
 
 
 @query("graph_search", f"with {_GRAPH}, hit as (select path, min(dst) as e from men where dst in (select node_id from ent where contains(lower(name), 'ring') or contains(lower(name), 'hot')) group by path) select path, 1.0::double as score, coalesce((select string_agg(distinct name, ',' order by name) from both_ways b join ent on ent.node_id = b.dst where b.src = hit.e), '') as related from hit")
 def _graph_search(spark, sf_dir):
-    return graph.search(*_graph(spark, sf_dir), "Ring hot", limit=None).select("path", "score", F.array_join("related_entities", ",").alias("related"))
+    return graph.search(*graph_tables(spark, sf_dir), "Ring hot", limit=None).select("path", "score", F.array_join("related_entities", ",").alias("related"))
 
 
 @query("graph_neighbors", f"with {_GRAPH} select f.node_id, f.name, string_agg(distinct o.name, ',' order by o.name) as neighbours from ent f join both_ways b on b.src = f.node_id join ent o on o.node_id = b.dst where contains(lower(f.name), 'red') group by 1, 2")
 def _graph_neighbours(spark, sf_dir):
-    return graph.neighbours(*_graph(spark, sf_dir), "red").select("node_id", "name", F.array_join("neighbours", ",").alias("neighbours"))
+    return graph.neighbours(*graph_tables(spark, sf_dir), "red").select("node_id", "name", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 @query("graph_stats", f"with {_GRAPH} select (select count(*) from ent) + (select count(*) from doc) as node_count, (select count(*) from men) + (select count(*) from rel) as edge_count")
 def _graph_stats(spark, sf_dir):
-    return graph.stats(*_graph(spark, sf_dir))
+    return graph.stats(*graph_tables(spark, sf_dir))
 
 
 @query("graph_remove_document", f"with {_GRAPH}, gone as (select distinct 'order/' || o_orderkey as path from orders where o_orderpriority like '1%') select (select count(*) from ent) + (select count(*) from doc where path not in (select path from gone)) as node_count, (select count(*) from men where path not in (select path from gone)) + (select count(*) from rel where path not in (select path from gone)) as edge_count")
 def _graph_remove(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = graph_tables(spark, sf_dir)
     gone = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
     return graph.stats(*graph.remove_document(nodes, edges, gone))
 
