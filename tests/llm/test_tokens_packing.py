@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -89,3 +90,35 @@ def test_second_pass_closes_no_bin_early(spark):
     assert sorted((r.doc_id, r.piece) for r in got) == [(r[0], 0) for r in rows]
     assert max(r.offset + r.length for r in got) <= 64
     assert len({r.sequence_id for r in got}) <= 1.1 * sum(r.length for r in got) / 64
+
+
+def test_packer_equals_a_naive_best_fit():
+    """Piece by piece against a scan of all open bins: the bin of least free space that takes the piece; the fullest closes when too many are open."""
+    rng = random.Random(6)
+    for most in (3, 10, 10_000):
+        packer, bins, naive, got = Packer(100, most), [], [], []
+        for i in range(500):
+            length = rng.choice((rng.randint(1, 100), rng.randint(1, 30)))
+            got += [(sorted(x), used) for x, used in packer.add(i, length)]
+            fitting = [b for b in bins if b[0] >= length]
+            if length == 100:
+                naive.append(([i], 100))
+                continue
+            if fitting:
+                best = max((b for b in bins if b[0] == min(f[0] for f in fitting)), key=lambda b: b[2])
+            else:
+                if len(bins) >= most:
+                    fullest = max((b for b in bins if b[0] == min(x[0] for x in bins)), key=lambda b: b[2])
+                    bins.remove(fullest)
+                    naive.append((sorted(fullest[1]), 100 - fullest[0]))
+                best = [100, [], 0]
+                bins.append(best)
+            best[0] -= length
+            best[1].append(i)
+            best[2] = i  # of equally full bins the one that was touched last
+            if not best[0]:
+                bins.remove(best)
+                naive.append((sorted(best[1]), 100))
+        got += [(sorted(x), used) for x, used in packer.rest()]
+        naive += [(sorted(b[1]), 100 - b[0]) for b in bins]
+        assert sorted(got) == sorted(naive)
