@@ -36,10 +36,17 @@ class Engine:
             return [kb]
         return sorted(n for n, b in self.config.knowledge_bases.items() if b.auto_sync or not auto_only)
 
-    def _files(self, names: list[str]) -> DataFrame:
-        """(kb, path, content, content_hash) of what the watch paths hold now."""
+    def _files(self, names: list[str], only: DataFrame | None = None) -> DataFrame:
+        """(kb, path, content, content_hash) of what the watch paths hold now; only: of these (kb, path). A file that two watch paths hold
+        counts once. Contents are shuffled for `only` at most: a listing of hashes never moves them."""
+        found = self._found(names)
+        if only is not None:
+            found = found.join(only.select("kb", "path"), ["kb", "path"], "left_semi")
+        return found.dropDuplicates(["kb", "path"])
+
+    def _found(self, names: list[str]) -> DataFrame:
         if self.source is not None:
-            return self.source(names).select("kb", "path", "content", T.content_hash(F.col("content")).alias("content_hash")).dropDuplicates(["kb", "path"])
+            return self.source(names).select("kb", "path", "content", T.content_hash(F.col("content")).alias("content_hash"))
         ignore = self.config.folder / ".loamignore"
         patterns = files.ignore_patterns(ignore.read_text()) if ignore.is_file() else []
         out = self.spark.createDataFrame([], "kb string, path string, content string, content_hash string")
@@ -48,7 +55,7 @@ class Engine:
                 df = files.read_watch_path(self.spark, p, patterns)
                 if df is not None:
                     out = out.unionByName(df.select(F.lit(kb).alias("kb"), "path", "content", "content_hash"))
-        return out.dropDuplicates(["kb", "path"])
+        return out
 
     def diff(self, kb: str, force: bool = False) -> DataFrame:
         """(path, change_type) of one knowledge base."""
@@ -93,7 +100,7 @@ class Engine:
         changed = changes.where(F.col("change_type").isin("new", "updated"))
         gone = changes.where(F.col("change_type").isin("new", "updated", "deleted")).select("kb", "path")
         # content and hash come from one read, so they agree even if a file has changed since the listing
-        fresh = self._files(names).join(changed.select("kb", "path"), ["kb", "path"], "left_semi")
+        fresh = self._files(names, changed)
         fresh = materialise(fresh.select("kb", F.xxhash64("kb", "path").alias("doc_id"), "path", "content", "content_hash"), "sync-fresh")
         again = stored.join(changes.where("change_type = 'resumed'").select("kb", "path"), ["kb", "path"], "left_semi").select("kb", "path", "content")
 
@@ -101,7 +108,7 @@ class Engine:
         extracted = materialise(providers.extract_column(asked if self.extractor else asked.limit(0), self.extractor).drop("content"), "sync-extracted")
         done = extracted.where("ok").select("kb", "path").withColumn("extracted", F.lit(True))
         fresh_docs = fresh.join(done, ["kb", "path"], "left").withColumn("extracted", F.coalesce("extracted", F.lit(False))).withColumn("updated_at", F.current_timestamp())
-        made = chunking.chunk_documents(fresh, also=("kb",)).join(fresh.select("kb", "path", "doc_id"), ["kb", "path", "doc_id"], "left_semi")
+        made = chunking.chunk_documents(fresh, also=("kb",))
         made = materialise(made.withColumn("chunk_id", F.xxhash64("kb", "path", "ordinal")).select(*columns_of("chunks")), "sync-chunks")
 
         # partitions of the paths that change; those of vectors that are to be made too
