@@ -19,8 +19,8 @@ def rank_lists(hits: DataFrame, by: tuple[str, ...] = ("engine",), ties: tuple[s
     """Each list's rows by score, numbered from 1. Lists of any length: beyond `large` rows no list is sorted in one task (None: lists are known to be short)."""
     if large is None or hits.limit(large + 1).count() <= large:
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), *ties)))
-    out = places(hits.withColumn("_down", -F.col("score")), list(by), ["_down", *ties], "_place", "ranked-lists")
-    return out.withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_down", "_place")
+    out = places(hits, list(by), [F.desc("score"), *ties], "_place", "ranked-lists")
+    return out.withColumn("rank", (F.col("_place") + 1).cast("int")).drop("_place")
 
 
 def rrf(ranked: DataFrame, keys: tuple[str, ...] = ("key",), k: float = K) -> DataFrame:

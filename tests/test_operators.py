@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamdex.functions import text as T
-from loamdex.operators import chunking, fts, fusion, graph, ingest, lines, retrieve, vector, vocab
+from loamdex.operators import chunking, fts, fusion, graph, ingest, lines, ranks, retrieve, vector, vocab
 
 
 def column(spark, expression, value, kind="string"):
@@ -92,10 +92,14 @@ def test_correction_finds_all_candidates(spark):
     assert dict(map(tuple, got.collect())) == want
 
 
-def test_long_lists_are_ranked_alike(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_long_lists_are_ranked_alike(spark, monkeypatch, most):
+    monkeypatch.setattr(ranks, "BROADCAST_COUNTS", most)
     rng = random.Random(3)
-    hits = spark.createDataFrame([(rng.choice("ab"), str(i), float(rng.randint(0, 9))) for i in range(300)], "engine string, key string, score double")
-    assert sorted(map(tuple, fusion.rank_lists(hits, large=10).collect())) == sorted(map(tuple, fusion.rank_lists(hits).collect()))
+    rows = [(rng.choice(["a", "b", None]), str(i), rng.choice([*map(float, range(9)), None, float("nan")])) for i in range(300)]
+    hits = spark.createDataFrame(rows, "engine string, key string, score double")
+    got, want = (fusion.rank_lists(hits, large=large).select("engine", "key", "rank") for large in (10, fusion.LARGE))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_snippet_takes_the_densest_words(spark):
@@ -126,6 +130,17 @@ def test_fuzzy_score_is_the_best_alignment():
         assert lines.fuzzy_score(line, query) == pytest.approx(brute(line, query)), (line, query)
 
 
+def test_fuzzy_scores_of_many_lines_are_those_of_each(monkeypatch):
+    rng = random.Random(2)
+    for step in (1, 7, 1_000_000):
+        monkeypatch.setattr(lines, "STEP", step)
+        for _ in range(100):
+            rows = ["".join(rng.choice("abAB -é1İßK") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 8))]
+            query = "".join(rng.choice("abAé 1") for _ in range(rng.randint(0, 4)))
+            assert lines.fuzzy_scores(rows, query).tolist() == [lines.fuzzy_score(x, query) for x in rows]
+    assert lines.fuzzy_score("", "a") == lines.fuzzy_score("a", "") == 0
+
+
 def test_rrf(spark):
     hits = spark.createDataFrame([("a", "x", 9.0), ("a", "y", 1.0), ("b", "x", 2.0), ("b", "x", 1.0)], "engine string, key string, score double")
     got = {r.key: r.rrf for r in fusion.rrf(fusion.rank_lists(hits)).collect()}
