@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loamdex.catalog import SCHEMA_VERSION, TABLES, Store, columns_of
@@ -180,12 +183,10 @@ class Engine:
         df = self.store.read("chunks", self._bases(kb))
         return df.withColumn("file", F.concat_ws(":", "kb", "path")).withColumn("chunk_type", F.coalesce("chunk_type", F.lit("")))
 
-    def _vocabulary(self, bases: list[str]) -> DataFrame:
-        return self.store.read("vocabulary", bases).groupBy("word").agg(F.sum("frequency").alias("frequency"))
-
     def corrections(self, query: str, kb: str | None = None) -> DataFrame:
         """(qid, pos, from_word, to_word) of the words that the vocabulary corrects."""
-        return vocab.correct_queries(self.spark.createDataFrame([(0, query)], "qid int, query string"), self._vocabulary(self._bases(kb)))[1]
+        changes = vocab.correct_query(query, self.store.read("vocabulary", self._bases(kb)))[1]
+        return self.spark.createDataFrame([(0, *c) for c in changes], "qid int, pos int, from_word string, to_word string")
 
     def sub_queries(self, text: str) -> list[str]:
         """What a smart search asks: at most five queries."""
@@ -216,29 +217,44 @@ class Engine:
         """At most k rows, brought to the driver once, so that plans over them stay small."""
         return self.spark.createDataFrame(df.collect(), df.schema)
 
-    def hits(self, query: str, words: str, kb: str | None, k: int, engines: tuple[str, ...], exact: bool = False) -> DataFrame:
-        """The engines' lists of one query, each cut to k; words: the query as corrected for the text engine."""
-        bases, found = self._bases(kb), []
+    def hits(self, query: str, words: str | Callable[[], str], kb: str | None, k: int, engines: tuple[str, ...], exact: bool = False) -> DataFrame:
+        """The engines' lists of one query, each cut to k. words: the query as corrected for the text and graph engines, or what corrects it.
+
+        The lists are independent jobs of few tasks each, so they run side by side; what needs no corrected words does not wait for them."""
+        bases = self._bases(kb)
         columns = [f.split()[0] for f in _HIT.split(", ")]
         none = {c: F.lit(None).cast(t) for c, t in (f.split() for f in _HIT.split(", "))}
-        if {"fuzzy", "text"} & set(engines):
-            found.append(self._text_hits(words if "fuzzy" in engines else query, bases, kb, k))
-        if "vector" in engines:
+
+        def text() -> DataFrame:
+            return self._text_hits(fixed.result() if "fuzzy" in engines else query, bases, kb, k)
+
+        def near() -> DataFrame:
             v = self.embedder.embed([self.embedder.query_input(self._task(kb), query)])[0]
-            near = self._small(vector.knn(self.store.read("vectors", bases), v, k, key="chunk_id").select("chunk_id", "score"))
-            found.append(self._chunks(kb).join(F.broadcast(near), "chunk_id").withColumn("engine", F.lit("vector")))
-        if "graph" in engines:
+            top = self._small(vector.knn(self.store.read("vectors", bases), v, k, key="chunk_id").select("chunk_id", "score"))
+            return self._chunks(kb).join(F.broadcast(top), "chunk_id").withColumn("engine", F.lit("vector"))
+
+        def related() -> DataFrame:
             nodes, edges = (self.store.read(t, bases) for t in ("nodes", "edges"))
-            top = graph.search(nodes, edges, " ".join(dict.fromkeys(f"{query} {words}".split())), k, by=("kb",), related=0)
-            found.append(top.withColumns(none | {"file": F.concat_ws(":", "kb", "path"), "score": F.col("score"), "engine": F.lit("graph")}))
-        if "local" in engines:
+            top = graph.search(nodes, edges, " ".join(dict.fromkeys(f"{query} {fixed.result()}".split())), k, by=("kb",), related=0)
+            return top.withColumns(none | {"file": F.concat_ws(":", "kb", "path"), "score": F.col("score"), "engine": F.lit("graph")})
+
+        def local() -> DataFrame:
             docs = self.store.read("documents", bases).select(F.concat_ws(":", "kb", "path").alias("file"), "content")
             place = F.col("line_no").cast("int")
             top = lines.search(docs, query, k, exact).withColumns({"content": F.col("line"), "line_start": place, "line_end": place, "engine": F.lit("fuzzy")})
-            found.append(top.withColumns({c: none[c] for c in ("chunk_id", "chunk_type")}))
+            return top.withColumns({c: none[c] for c in ("chunk_id", "chunk_type")})
+
+        asked = [(text, {"fuzzy", "text"}), (near, {"vector"}), (related, {"graph"}), (local, {"local"})]
         out = self.spark.createDataFrame([], _HIT)
-        for df in found:
-            out = out.unionByName(self._small(df.select(*columns)))
+        with ThreadPoolExecutor(len(asked) + 1) as pool:
+
+            def start(f: Callable):
+                return pool.submit(inheritable_thread_target(self.spark)(f))
+
+            fixed = start(words if callable(words) else lambda: words)
+            found = [start(lambda f=f: self._small(f().select(*columns))) for f, names in asked if names & set(engines)]
+            for df in found:
+                out = out.unionByName(df.result())
         return out
 
     def search(self, query: str, kb: str | None = None, limit: int = 5, engines: tuple[str, ...] = ENGINES, exact: bool = False, doc_score: bool = False, smart: bool = False, fetch_k: int | None = None) -> DataFrame:
@@ -254,11 +270,11 @@ class Engine:
             key = F.coalesce(F.col("chunk_id").cast("string"), F.col("file"))
             hits = fusion.dedup_best(hits.withColumn("_key", key), ("engine", "_key"), ("file",)).drop("_key")
         else:
-            words = query
-            if "fuzzy" in engines:
-                fixed, _ = vocab.correct_queries(self.spark.createDataFrame([(0, fts.sanitize(query))], "qid int, query string"), self._vocabulary(self._bases(kb)))
-                words = fixed.first().corrected or query
-            hits = self.hits(query, words, kb, k, engines, exact)
+
+            def corrected() -> str:
+                return vocab.correct_query(fts.sanitize(query), self.store.read("vocabulary", self._bases(kb)))[0] or query
+
+            hits = self.hits(query, corrected if "fuzzy" in engines else query, kb, k, engines, exact)
         out = fusion.fuse(hits, limit=limit, doc_score=doc_score)
         return out if doc_score else fusion.enrich_graph_only(out, self._chunks(kb)).orderBy(F.desc("score"), "file", F.col("line_start").asc_nulls_last(), "chunk_id")
 

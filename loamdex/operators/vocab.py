@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from loamdex.functions.text import split_compound, vocabulary_tokens
@@ -69,6 +71,34 @@ def correct_queries(queries: DataFrame, vocabulary: DataFrame, least: int = 1) -
     return queries.join(whole, "qid", "left").withColumn("corrected", F.coalesce("corrected", F.lit(""))), changes
 
 
+#: Words of one query that each vocabulary word is held against; more go by segments.
+FEW = 16
+
+
+def correct_query(query: str, vocabulary: DataFrame, least: int = 1) -> tuple[str, list[tuple[int, str, str]]]:
+    """One query as correct_queries() corrects it, and its changes (pos, from_word, to_word).
+
+    vocabulary: (word, frequency), a word in any number of rows. Its few words are literals of one scan, whose partial results are
+    combined before the shuffle; frequencies are summed for the words that are near only."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", query.lower()) if w]
+    asked = list(dict.fromkeys(w for w in words if len(w) >= least))
+    if not asked:
+        return " ".join(words), []
+    if len(asked) > FEW:
+        whole = vocabulary.groupBy("word").agg(F.sum("frequency").alias("frequency"))
+        found = correct_words(vocabulary.sparkSession.createDataFrame([(w,) for w in asked], "word string"), whole).select("word", "corrected")
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(w).alias("asked"), F.lit(2 if len(w.encode()) <= 8 else 3).alias("cap")) for w in asked])).alias("a")
+        near = vocabulary.select("word", "frequency", each).select("word", "frequency", "a.*").where(F.abs(F.length("word") - F.length("asked")) <= F.col("cap"))
+        near = near.withColumn("distance", F.levenshtein("asked", "word", 3)).where("distance >= 0 and distance <= cap")
+        near = near.groupBy("asked", "distance", "word").agg(F.sum("frequency").alias("frequency"))
+        best = F.min(F.struct("distance", (-F.col("frequency")).alias("f"), "word"))
+        found = near.groupBy("asked").agg(best.alias("best")).select("asked", "best.word")
+    to = {a: b for a, b in found.collect()}
+    fixed = [to.get(w, w) for w in words]
+    return " ".join(fixed), [(i, a, b) for i, (a, b) in enumerate(zip(words, fixed, strict=True)) if a != b]
+
+
 def suggest(vocabulary: DataFrame, word: str, limit: int = 5) -> DataFrame:
     """The nearest words of a vocabulary to one word."""
     cap = 2 if len(word.encode()) <= 8 else 3

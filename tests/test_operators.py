@@ -90,6 +90,13 @@ def test_correction_finds_all_candidates(spark):
         want[a] = a if a in words or not near else min(near)[2]
     got = vocab.correct_words(spark.createDataFrame([(a,) for a in asked], "word string"), spark.createDataFrame(list(words.items()), "word string, frequency long"))
     assert dict(map(tuple, got.collect())) == want
+    # a query at a time, by one scan and by segments; a word's rows add up
+    table = spark.createDataFrame([(w, n) for w, f in words.items() for n in (f - f // 2, f // 2)], "word string, frequency long")
+    for query in (sorted(asked)[: vocab.FEW // 2], sorted(asked)[-vocab.FEW - 4 :]):
+        fixed, changes = vocab.correct_query("  ".join(query).upper(), table)
+        assert fixed.split() == [want[w] for w in query]
+        assert changes == [(i, w, want[w]) for i, w in enumerate(query) if want[w] != w]
+    assert vocab.correct_query(" ", table) == ("", [])
 
 
 @pytest.mark.parametrize("most", [0, 500_000])
