@@ -2,8 +2,10 @@ import math
 import random
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from loamdex.functions import text as T
 from loamdex.operators import chunking, fts, fusion, graph, ingest, lines, ranks, retrieve, vector, vocab
@@ -179,6 +181,54 @@ def test_vectors(spark):
     assert vector.check_dimension(v, 2).count() == 3
 
 
+def test_batch_of_queries_equals_all_pairs(spark, monkeypatch):
+    rng, nan = random.Random(5), float("nan")
+    grid = [[rng.randint(-2, 2) * 0.5 for _ in range(5)] for _ in range(700)]
+    odd = [[1e160] * 5, [-1e160, 1e160, 0.0, 0.0, 0.0], [nan] * 5, [math.inf, 0.0, 0.0, 0.0, 0.0], [5e-7, 0.0, 0.0, 0.0, 0.0], [1.0], [], None]
+    rows = [*enumerate([*grid, *odd, *[[0.5] * 5] * 300])]
+    rng.shuffle(rows)
+    v = spark.createDataFrame([(f"v{i}", x) for i, x in rows], "vec_id string, embedding array<double>")
+    asked = {i: x for i, x in rows if i % 9 == 0 or i >= 700}
+    q = spark.createDataFrame(list(asked.items()), "qid int, qvec array<double>")
+    all_pairs = v.join(q, F.size("embedding") == F.size("qvec")).select("qid", F.round(vector.l2(F.col("embedding"), F.col("qvec")), 6).alias("distance"), "vec_id")
+    want = all_pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where("rank <= 7")
+    want = sorted(map(str, want.collect()))
+    monkeypatch.setattr(vector, "PART_ROWS", 300)
+    for broadcast_rows in (1_000_000, 700):
+        got = vector.knn_batch(v, q, 7, broadcast_rows=broadcast_rows)
+        assert got.columns == ["qid", "distance", "vec_id", "rank"] and sorted(map(str, got.collect())) == want
+    # Spark does not multiply the pairs out
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("copies", [0, 1500])
+def test_few_pairs_get_a_distance(monkeypatch, copies):
+    rng, asked, keep = np.random.default_rng(7), [], vector._Nearest._keep
+    monkeypatch.setattr(vector._Nearest, "_keep", lambda self, query, *a: (asked.append(len(query)), keep(self, query, *a)))
+    x = rng.normal(size=(3000, 16))
+    x[rng.permutation(3000)[:copies]] = x[0]
+    search = vector._Nearest(x[::20], 5)
+    search.add(pa.array(range(3000)), x)
+    row, distance, key = (a.to_numpy() for a in search.found())
+    all_pairs = np.round(np.sqrt(((x[::20, None] - x[None]) ** 2).sum(2)), 6)
+    assert np.array_equal(key.reshape(150, 5), np.argsort(all_pairs, axis=1, kind="stable")[:, :5])
+    assert sum(asked) < 0.05 * all_pairs.size
+
+
+def test_vectors_with_nulls_or_of_no_query_are_no_neighbours(spark):
+    v = spark.createDataFrame([(1, [0.0, None]), (2, [3.0, 4.0]), (3, None), (4, [1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(9, [0.0, 0.0]), (8, [None, 0.0]), (7, None), (6, [0.0] * 3)], "qid long, qvec array<float>")
+    assert [tuple(r) for r in vector.knn_batch(v, q).collect()] == [(9, 5.0, 2, 1)]
+    assert vector.knn_batch(v, q.limit(0)).count() == 0 and vector.knn_batch(v.limit(0), q).count() == 0
+
+
+def test_distances_are_rounded_like_columns(spark):
+    rng = random.Random(6)
+    x = [0.0, 5e-7, 1.5e-6, 0.0000025, 1.0000005, 2.1234565, 1e9 + 0.0000005, 1e15 + 0.5, 1e300, math.inf, *[rng.randint(0, 10**9) / 1e7 for _ in range(3000)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i")
+    assert [r[0] for r in df.select(F.round("v", 6)).collect()] == vector._six(np.array(x)).tolist()
+
+
 def test_graph(spark):
     entity, relation = "struct<name:string,type:string,description:string>", "struct<source:string,target:string,relation:string,description:string>"
     rows = [("a.md", [("Rust", "technology", "d"), ("Ann Lee", "person", None)], [("Ann Lee", "Rust", "works on", None), ("Rust", "LLVM", "uses", None)]), ("b.md", [("rust", "tool", "e")], [])]
